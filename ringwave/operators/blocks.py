@@ -214,38 +214,39 @@ def pack(
 
 
 def filtered(
-    df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str, kernel: np.ndarray, centre: int,
-    edge: str, block: int = BLOCK,
+    df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str, taps_for, edge: str, *,
+    param=0.0, before=0, after=0, block: int = BLOCK,
 ) -> DataFrame:
-    """Apply a FIR kernel along ``idx``: ``out[i] = sum_j kernel[j] * value[i + j - centre]``.
+    """Apply a FIR kernel along ``idx``: ``out[i] = sum_j taps[j] * value[i + j - before]``.
 
-    ``edge`` is ``first`` (hold the first value, for causal kernels) or ``reflect`` (half-sample
-    mirror). Returns keys, idx and the filtered value.
+    ``taps_for`` maps ``param`` (a number or a column constant per key) to ``before + 1 + after``
+    taps. ``edge`` is ``first`` (hold the first value, for causal kernels) or ``reflect``
+    (half-sample mirror). Returns keys, idx and the filtered value.
     """
-    taps = np.asarray(kernel, dtype=float)
-    before, after = int(centre), int(len(taps) - 1 - centre)
-    reach = max(before, after)
-    block = max(block, reach + 1)
-    left = right = reach
-    if edge == "first":
-        left, right = before, after
+    keys = list(keys)
     mode = "edge" if edge == "first" else "symmetric"
+    b, a = _col(before).cast("long"), _col(after).cast("long")
+    halo = F.greatest(b, a) if edge == "reflect" else b
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(vals: pd.Series, i0: pd.Series, start: pd.Series, length: pd.Series) -> pd.Series:
-        res = []
-        for v, a, s, n in zip(vals, i0, start, length):
+    def run(vals: pd.Series, i0: pd.Series, start: pd.Series, length: pd.Series,
+            par: pd.Series, bef: pd.Series, aft: pd.Series) -> pd.Series:
+        res, cache = [], {}
+        for v, first, s, n, q, nb, na in zip(vals, i0, start, length, par, bef, aft):
             v = np.asarray(v, dtype=float)
-            own = int(min(s + n, a + len(v)) - s)
-            lead = int(s - a)  # halo samples in front
-            pad_l, pad_r = max(0, before - lead), max(0, after - (len(v) - lead - own))
-            ext = np.pad(v, (pad_l, pad_r), mode=mode)
-            off = lead + pad_l - before
-            seg = ext[off: off + own + before + after]
-            res.append(np.correlate(seg, taps, mode="valid") if own else np.empty(0))
+            if q not in cache:
+                cache[q] = np.asarray(taps_for(q), dtype=float)
+            lead = int(s - first)  # halo samples in front of the block
+            own = int(min(n, len(v) - lead))
+            ext = np.pad(v, (max(0, nb - lead), max(0, na - (len(v) - lead - own))), mode=mode)
+            off = max(lead, nb) - nb
+            res.append(np.correlate(ext[off: off + own + nb + na], cache[q], mode="valid"))
         return pd.Series(res)
 
-    packed = pack(df, keys, idx, value, block, left=left, right=right)
-    done = packed.select(*keys, "start", run("vals", "i0", "start", "len").alias("_y"))
+    d = df.select(*keys, idx, value, _col(param).cast("double").alias("_q"), b.alias("_b"), a.alias("_a"), halo.alias("_halo"))
+    group = [*keys, "_q", "_b", "_a", "_halo"]
+    packed = pack(d, group, idx, value, F.greatest(F.lit(block).cast("long"), F.col("_halo") + 1), left="_halo",
+                  right="_halo" if edge == "reflect" else "_a")
+    done = packed.select(*keys, "start", run("vals", "i0", "start", "len", "_q", "_b", "_a").alias("_y"))
     return done.select(*keys, "start", F.posexplode("_y").alias("_p", out)).select(
         *keys, (F.col("start") + F.col("_p")).alias(idx), out)

@@ -277,11 +277,12 @@ def smooth_axis(df: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[str
     """
     if sigma <= 0:
         return df
-    taps = gaussian_taps(sigma)
+    radius = int(4.0 * float(sigma) + 0.5)
     rest = [c for c in df.columns if c not in (*keys, idx, *cols)]
     out = df.select(*keys, idx, *rest)
     for c in cols:
-        out = out.join(blocks.filtered(df, keys, idx, c, c, taps, len(taps) // 2, "reflect"), [*keys, idx])
+        out = out.join(blocks.filtered(
+            df, keys, idx, c, c, gaussian_taps, "reflect", param=float(sigma), before=radius, after=radius), [*keys, idx])
     return out.select(*df.columns)
 
 
