@@ -175,7 +175,7 @@ def set_name_key(name) -> Column:
 
 def int_list(text) -> Column:
     """Parse ``"1,2,3"`` into an int array, skipping blanks."""
-    parts = F.filter(F.transform(F.split(_c(text), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(_c(text), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(parts, lambda x: x.cast("int"))
 
 

@@ -189,64 +189,69 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, n
 
 # ---- packed blocks for vectorised kernels ----------------------------------------------
 def pack(
-    df: DataFrame, keys: Sequence[str], idx: str, value: str, block, *, left=0, right=0,
+    df: DataFrame, keys: Sequence[str], idx: str, values: Sequence[str], block, *, left=0, right=0, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per (keys, block): ``i0`` and the ``vals`` of the block plus its halo, in order.
+    """One row per (keys, block): ``i0`` and the ``rows`` of the block plus its halo, in order.
 
     ``left``/``right`` samples of the neighbours are added to each block, so that filters see no
     seam. Block, halo and index may be columns. Blocks that would hold only halo are dropped.
+    ``rows`` holds ``_i``, the values as doubles and the carried columns.
     """
     keys = list(keys)
     i, b = F.col(idx), _col(block)
     first = F.greatest(F.floor((i - _col(right)) / b), F.lit(0))
     last = F.floor((i + _col(left)) / b)
+    row = F.struct(i.alias("_i"), *[F.col(v).cast("double").alias(v) for v in values], *[F.col(c) for c in carry if c not in values])
     return (
-        df.select(*keys, i.alias("_i"), F.col(value).cast("double").alias("_v"), b.alias("_len"),
-                  F.explode(F.sequence(first, last)).alias("blk"))
-        .groupBy(*keys, "blk", "_len")
-        .agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_rows"))
-        .select(*keys, "blk", F.col("_rows")[0]["_i"].alias("i0"),
-                F.element_at("_rows", -1)["_i"].alias("_top"),
-                (F.col("blk") * F.col("_len")).alias("start"), F.col("_len").alias("len"),
-                F.col("_rows._v").alias("vals"))
-        .where(F.col("_top") >= F.col("start")).drop("_top")
+        df.select(*keys, row.alias("_r"), b.alias("_len"), F.explode(F.sequence(first, last)).alias("blk"))
+        .groupBy(*keys, "blk", "_len").agg(F.sort_array(F.collect_list("_r")).alias("rows"))
+        .withColumns({"i0": F.col("rows")[0]["_i"], "_edge": F.col("blk") * F.col("_len")})
+        .where(F.element_at("rows", -1)["_i"] >= F.col("_edge"))
+        .withColumn("start", F.greatest("_edge", "i0"))  # a record may begin inside its first block
+        .withColumn("len", F.least(F.col("_edge") + F.col("_len") - F.col("start"), F.col("i0") + F.size("rows") - F.col("start")))
+        .drop("_edge", "_len")
     )
 
 
 def filtered(
-    df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str, taps_for, edge: str, *,
-    param=0.0, before=0, after=0, block: int = BLOCK,
+    df: DataFrame, keys: Sequence[str], idx: str, values: dict[str, str], taps_for, edge: str, *,
+    param=0.0, before=0, after=0, block: int = BLOCK, carry: Sequence[str] = (),
 ) -> DataFrame:
     """Apply a FIR kernel along ``idx``: ``out[i] = sum_j taps[j] * value[i + j - before]``.
 
-    ``taps_for`` maps ``param`` (a number or a column constant per key) to ``before + 1 + after``
-    taps. ``edge`` is ``first`` (hold the first value, for causal kernels) or ``reflect``
-    (half-sample mirror). Returns keys, idx and the filtered value.
+    ``values`` maps output names to input columns. ``taps_for`` maps ``param`` (a number or a column
+    constant per key) to ``before + 1 + after`` taps. ``edge`` is ``first`` (hold the first value, for
+    causal kernels) or ``reflect`` (half-sample mirror). ``carry`` columns travel inside the packed
+    rows, so the result needs no join back. Returns keys, idx, the carried columns and the outputs.
     """
-    keys = list(keys)
+    keys, ins = list(keys), list(dict.fromkeys(values.values()))
     mode = "edge" if edge == "first" else "symmetric"
     b, a = _col(before).cast("long"), _col(after).cast("long")
     halo = F.greatest(b, a) if edge == "reflect" else b
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
     def run(vals: pd.Series, i0: pd.Series, start: pd.Series, length: pd.Series,
             par: pd.Series, bef: pd.Series, aft: pd.Series) -> pd.Series:
         res, cache = [], {}
-        for v, first, s, n, q, nb, na in zip(vals, i0, start, length, par, bef, aft):
-            v = np.asarray(v, dtype=float)
+        for columns, first, s, own, q, nb, na in zip(vals, i0, start, length, par, bef, aft):
             if q not in cache:
                 cache[q] = np.asarray(taps_for(q), dtype=float)
             lead = int(s - first)  # halo samples in front of the block
-            own = int(min(n, len(v) - lead))
-            ext = np.pad(v, (max(0, nb - lead), max(0, na - (len(v) - lead - own))), mode=mode)
-            off = max(lead, nb) - nb
-            res.append(np.correlate(ext[off: off + own + nb + na], cache[q], mode="valid"))
+            done = []
+            for v in columns:
+                v = np.asarray(v, dtype=float)
+                ext = np.pad(v, (max(0, nb - lead), max(0, na - (len(v) - lead - own))), mode=mode)
+                off = max(lead, nb) - nb
+                done.append(np.correlate(ext[off: off + own + nb + na], cache[q], mode="valid"))
+            res.append(done)
         return pd.Series(res)
 
-    d = df.select(*keys, idx, value, _col(param).cast("double").alias("_q"), b.alias("_b"), a.alias("_a"), halo.alias("_halo"))
+    more = [c for c in carry if c not in (*keys, idx)]
+    d = df.select(*keys, idx, *dict.fromkeys([*ins, *more]), _col(param).cast("double").alias("_q"), b.alias("_b"), a.alias("_a"), halo.alias("_halo"))
     group = [*keys, "_q", "_b", "_a", "_halo"]
-    packed = pack(d, group, idx, value, F.greatest(F.lit(block).cast("long"), F.col("_halo") + 1), left="_halo",
-                  right="_halo" if edge == "reflect" else "_a")
-    done = packed.select(*keys, "start", run("vals", "i0", "start", "len", "_q", "_b", "_a").alias("_y"))
-    return done.select(*keys, "start", F.posexplode("_y").alias("_p", out)).select(
-        *keys, (F.col("start") + F.col("_p")).alias(idx), out)
+    packed = pack(d, group, idx, ins, F.greatest(F.lit(block).cast("long"), F.col("_halo") + 1), left="_halo",
+                  right="_halo" if edge == "reflect" else "_a", carry=more)
+    y = run(F.array(*[F.col(f"rows.{c}") for c in ins]), "i0", "start", "len", "_q", "_b", "_a")
+    done = packed.select(*keys, F.slice("rows", (F.col("start") - F.col("i0") + 1).cast("int"), F.col("len").cast("int")).alias("_r"), y.alias("_y"))
+    cols = {idx: F.col("_r._i"), **{c: F.col(f"_r.{c}") for c in more}, **{o: F.col("_y")[ins.index(c)] for o, c in values.items()}}
+    return done.select(*keys, F.inline(F.arrays_zip(*[e.alias(n) for n, e in cols.items()])))

@@ -151,7 +151,7 @@ def channel_filter(channels: DataFrame, wanted: Sequence[str] | str, flat: DataF
     patterns = asked.join(known.select("_key"), "_key", "left_anti").select("w")
     by_name = channels.join(members, column, "left_semi")
     by_pattern = channels.select(column).distinct().join(
-        F.broadcast(patterns), F.col(column).rlike(F.concat(F.lit("^(?:"), F.col("w"), F.lit(")"))), "left_semi")  # the caller's short list
+        F.broadcast(patterns), F.rlike(F.col(column), F.concat(F.lit("^(?:"), F.col("w"), F.lit(")"))), "left_semi")  # the caller's short list
     return by_name.unionByName(channels.join(by_pattern, column, "left_semi")).distinct()
 
 

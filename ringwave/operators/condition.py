@@ -35,8 +35,8 @@ def remove_mean(samples: DataFrame, keys: Sequence[str] = KEYS, value: str = "va
 def remove_running_mean(samples: DataFrame, points, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
     """Subtract a centred running average of an odd number of samples, mirrored at the ends."""
     half = F.floor((_col(points) - 1) / 2).cast("long")
-    run = blocks.filtered(samples, keys, "i", value, "_m", box_taps, "reflect", param=points, before=half, after=half)
-    return samples.join(run, [*keys, "i"]).withColumn(value, F.col(value) - F.col("_m")).drop("_m")
+    run = blocks.filtered(samples, keys, "i", {"_m": value}, box_taps, "reflect", param=points, before=half, after=half, carry=samples.columns)
+    return run.withColumn(value, F.col(value) - F.col("_m")).select(*samples.columns)
 
 
 def cumulative_trapezoid(samples: DataFrame, keys: Sequence[str] = KEYS, value: str = "value", t: str = "t_s", out: str = "integral",
@@ -71,8 +71,8 @@ def causal_gaussian(samples: DataFrame, sigma, keys: Sequence[str] = KEYS, value
     """Gaussian average of present and past samples only; ``sigma`` in samples, a number or a column."""
     s = _col(sigma).cast("double")
     radius = F.when(s > 0, F.floor(4.0 * s + 0.5)).otherwise(0).cast("long")
-    run = blocks.filtered(samples, keys, "i", value, "_y", causal_taps, "first", param=s, before=radius)
-    return samples.join(run, [*keys, "i"]).withColumn(out or value, F.col("_y")).drop("_y")
+    run = blocks.filtered(samples, keys, "i", {"_y": value}, causal_taps, "first", param=s, before=radius, carry=samples.columns)
+    return run.withColumn(out or value, F.col("_y")).drop("_y")
 
 
 def filter_step(n, dt, f_high) -> Column:

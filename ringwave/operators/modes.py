@@ -75,13 +75,13 @@ def cursor_frames(cursors: DataFrame, frames: DataFrame, window_s: float = 0.004
         return F.greatest(F.lit(0), F.least(F.col("_top"), x.cast("long")))
 
     lo, hi = F.least(clamp(lo), clamp(mid - 3)), F.greatest(clamp(hi), clamp(mid + 5))
-    cand = c.select(*cursors.columns, F.explode(F.sequence(lo, hi)).alias("frame")).join(frames.select(*keys, "frame", "t_s"), [*keys, "frame"])
+    cand = c.select(*cursors.columns, "_top", F.explode(F.sequence(lo, hi)).alias("frame")).join(frames.select(*keys, "frame", "t_s"), [*keys, "frame"])
     id_cols = list(cursors.columns)
-    per = cand.groupBy(*id_cols).agg(
+    per = cand.groupBy(*id_cols, "_top").agg(
         F.count_if(F.abs(F.col("t_s") - F.col("t0")) <= window_s / 2).alias("_in"),
         F.min_by("frame", F.struct(F.abs(F.col("t_s") - F.col("t0")), "frame")).alias("_near"),
         F.collect_list(F.when(F.abs(F.col("t_s") - F.col("t0")) <= window_s / 2, F.col("frame"))).alias("_hits"),
-    ).join(grid.select(*keys, "_top"), keys)
+    )
     start = F.greatest(F.lit(0).cast("long"), F.col("_near") - 2)
     fallback = F.sequence(start, F.least(F.col("_top"), start + 4))
     return per.select(*id_cols, F.explode(F.when(F.col("_in") < 3, fallback).otherwise(F.col("_hits"))).alias("frame"))
@@ -94,22 +94,23 @@ def mode_at(spectra: DataFrame, angles: DataFrame, slices: DataFrame, ref: DataF
     reference channel per recording. ``angles``: recording, channel, phi.
     """
     keys = list(keys)
-    cells = spectra.join(slices.select(*keys, "slice", "frame", "k"), [*keys, "frame", "k"])
-    reference = (
-        cells.join(ref.select(*keys, F.col("ref").alias("channel")), [*keys, "channel"])
-        .select(*keys, "slice", "frame", F.col("re").alias("rr"), F.col("im").alias("ri"))
-    )
     on = [c for c in angles.columns if c != "phi"]
+    cells = (
+        spectra.join(slices.select(*keys, "slice", "frame", "k"), [*keys, "frame", "k"])
+        .join(angles, on).join(ref.select(*keys, "ref"), keys)
+    )
+    frame = Window.partitionBy(*keys, "slice", "frame")  # the probes of one frame
+    is_ref = F.col("channel") == F.col("ref")
+    cells = cells.withColumns({"rr": F.max(F.when(is_ref, F.col("re"))).over(frame), "ri": F.max(F.when(is_ref, F.col("im"))).over(frame)})
     avg = (
-        cells.join(reference, [*keys, "slice", "frame"])
-        .groupBy(*keys, "slice", "k", "channel").agg(
+        cells.where(F.col("rr").isNotNull())
+        .groupBy(*keys, "slice", "k", "channel", "phi", "ref").agg(
             F.avg(F.col("re") * F.col("rr") + F.col("im") * F.col("ri")).alias("xre"),
             F.avg(F.col("re") * F.col("ri") - F.col("im") * F.col("rr")).alias("xim"),
             F.avg(F.col("rr") ** 2 + F.col("ri") ** 2).alias("sxx"),
             F.avg(F.col("re") ** 2 + F.col("im") ** 2).alias("syy"),
             F.count(F.lit(1)).alias("n_segments"),
         )
-        .join(angles, on).join(ref.select(*keys, "ref"), keys)
     )
     amp = F.hypot("xre", "xim")
     d = avg.select(
@@ -127,52 +128,41 @@ def mode_at(spectra: DataFrame, angles: DataFrame, slices: DataFrame, ref: DataF
 
 
 # ---- circular fit -----------------------------------------------------------------------
-def fit_weights(df: DataFrame, keys: Sequence[str], weights: str = "amplitude") -> DataFrame:
-    """Non-negative finite weights; a key whose weights are all zero gets uniform ones."""
-    if weights == "uniform":
-        return df.withColumn("w", F.lit(1.0))
-    raw = F.col("coherence" if weights == "coherence" else "amplitude").cast("double")
-    bad = raw.isNull() | F.isnan(raw) | (raw == float("inf")) | (raw < 0)
-    d = df.withColumn("w", F.when(bad, 0.0).otherwise(raw))
-    any_weight = d.groupBy(*keys).agg(F.max("w").alias("_wmax"))
-    return d.join(any_weight, list(keys)).withColumn("w", F.when(F.col("_wmax") > 0, F.col("w")).otherwise(1.0)).drop("_wmax")
-
-
 def circular_fit(mode: DataFrame, keys: Sequence[str], n_range: tuple[int, int] = (-6, 6), weights: str = "amplitude") -> DataFrame:
     """Integer n whose residual phase + n*phi clusters best on the circle, with its posterior.
 
-    First aggregation: weighted resultant per candidate. Second: chi-square per candidate around
-    its own intercept. Both keep candidates as columns, so no row is multiplied.
+    A key is one slice's probes, at most the channels of a recording. One shuffle by key serves both
+    passes: windows give the weighted resultant of each candidate, the following aggregation the
+    chi-square around each candidate's intercept. Candidates are columns; no row is multiplied.
+    Bad weights count as zero, all-zero weights as uniform; missing sigmas take the median.
     """
     if n_range[1] < n_range[0]:
         raise ValueError(f"n_range {n_range} is empty: upper bound < lower bound")
     keys = list(keys)
     ns = list(range(n_range[0], n_range[1] + 1))
-    has_sigma = "phase_error" in mode.columns
-    d = fit_weights(mode.withColumn("_sig", F.col("phase_error") if has_sigma else F.lit(float("nan"))), keys, weights)
-    d = d.withColumn("_sig", F.when(F.col("_sig").isNotNull() & ~F.isnan("_sig") & (F.col("_sig") > 0), F.col("_sig")))
-    aggs = [F.sum("w").alias("_w"), F.median("_sig").alias("_fill"), F.count(F.lit(1)).alias("n_probes")]
+    group = Window.partitionBy(*keys)
+    sig = F.col("phase_error").cast("double") if "phase_error" in mode.columns else F.lit(None).cast("double")
+    raw = F.lit(1.0) if weights == "uniform" else F.col("coherence" if weights == "coherence" else "amplitude").cast("double")
+    bad = raw.isNull() | F.isnan(raw) | (raw == float("inf")) | (raw < 0)
+    d = mode.select(*keys, "phase", "phi", F.when(bad, 0.0).otherwise(raw).alias("_raw"), F.when(~F.isnan(sig) & (sig > 0), sig).alias("_sig"))
+    d = d.withColumn("w", F.when(F.max("_raw").over(group) > 0, F.col("_raw")).otherwise(1.0))
+    d = d.withColumn("_sig", F.coalesce("_sig", F.median("_sig").over(group), F.lit(1.0)))
+    sums = {"_w": F.sum("w").over(group)}
     for j, n in enumerate(ns):
         a = F.radians(F.col("phase") + n * F.col("phi"))
-        aggs += [F.sum(F.col("w") * F.cos(a)).alias(f"_c{j}"), F.sum(F.col("w") * F.sin(a)).alias(f"_s{j}")]
-    first = d.groupBy(*keys).agg(*aggs)
-    res = [F.hypot(F.col(f"_c{j}"), F.col(f"_s{j}")) / F.col("_w") for j in range(len(ns))]
+        sums |= {f"_c{j}": F.sum(F.col("w") * F.cos(a)).over(group), f"_s{j}": F.sum(F.col("w") * F.sin(a)).over(group)}
+    d = d.withColumns(sums)
     icpt = [F.degrees(F.atan2(F.col(f"_s{j}"), F.col(f"_c{j}"))) for j in range(len(ns))]
-    best = best_of([(j, r) for j, r in enumerate(res)])
-    first = first.select(*keys, "_fill", "n_probes", F.array(*icpt).alias("_icpt"), best.alias("_best"))
-    sig = F.coalesce("_sig", "_fill", F.lit(1.0))
-    second = d.select(*keys, "phase", "phi", "_sig").join(first.select(*keys, "_icpt", "_fill"), keys).groupBy(*keys).agg(
-        F.sum(1.0 / (sig * sig)).alias("_iv"),
-        *[F.sum((wrap180(F.col("phase") + n * F.col("phi") - F.col("_icpt")[j]) / sig) ** 2).alias(f"_x{j}") for j, n in enumerate(ns)],
-    )
-    chi = F.array(*[F.col(f"_x{j}") for j in range(len(ns))])
-    second = second.select(*keys, "_iv", chi.alias("_chi")).withColumn(
-        "_post", F.transform("_chi", lambda x: F.exp(-(x - F.array_min("_chi")) / 2.0))
-    )
-    both = first.join(second, keys)
-    weight_sum = F.aggregate("_post", F.lit(0.0), lambda a, x: a + x)
-    j = F.col("_best.n")
-    return both.select(
+    aggs = [F.first("_w").alias("_w"), F.count(F.lit(1)).alias("n_probes"), F.sum(1.0 / (F.col("_sig") * F.col("_sig"))).alias("_iv")]
+    for j, n in enumerate(ns):
+        aggs += [F.first(f"_c{j}").alias(f"_c{j}"), F.first(f"_s{j}").alias(f"_s{j}"),
+                 F.sum((wrap180(F.col("phase") + n * F.col("phi") - icpt[j]) / F.col("_sig")) ** 2).alias(f"_x{j}")]
+    g = d.groupBy(*keys).agg(*aggs)
+    best = best_of([(j, F.hypot(F.col(f"_c{j}"), F.col(f"_s{j}")) / F.col("_w")) for j in range(len(ns))])
+    g = g.select(*keys, "n_probes", "_iv", F.array(*icpt).alias("_icpt"), best.alias("_best"), F.array(*[F.col(f"_x{j}") for j in range(len(ns))]).alias("_chi"))
+    g = g.withColumn("_post", F.transform("_chi", lambda x: F.exp(-(x - F.array_min("_chi")) / 2.0)))
+    j, weight_sum = F.col("_best.n"), F.aggregate("_post", F.lit(0.0), lambda a, x: a + x)
+    return g.select(
         *keys, (j + ns[0]).cast("int").alias("n"), wrap360(F.get("_icpt", j)).alias("intercept_deg"),
         F.col("_best.v").alias("resultant"), F.sqrt(1.0 / F.col("_iv")).alias("phase_sigma"),
         (F.get("_post", j) / weight_sum).alias("n_confidence"), "n_probes",

@@ -64,7 +64,7 @@ def _turn(df: DataFrame, angle: Column) -> DataFrame:
 
 def split_fft(df: DataFrame, keys: Sequence[str], size: str, pos: str = "n") -> DataFrame:
     """Forward FFT of a power-of-two ``size`` column: columns, twiddle, rows. Output position ``k``."""
-    rows = F.shiftleft(F.lit(1).cast("long"), F.floor(F.round(F.log2(F.col(size))) / 2).cast("int"))
+    rows = F.pow(F.lit(2.0), F.floor(F.round(F.log2(F.col(size))) / 2)).cast("long")
     d = df.withColumn("_n1", rows).withColumn("_n2", (F.col(size) / F.col("_n1")).cast("long"))
     group = [*keys, size, "_n1", "_n2"]
     step = _lines(d, group, F.col(pos) % F.col("_n2"), F.floor(F.col(pos) / F.col("_n2")), F.col("_n1"))
@@ -91,7 +91,7 @@ def chirp_dft(df: DataFrame, keys: Sequence[str], length: str, pos: str = "n", s
     """DFT of any ``length`` per key (``sign`` -1 forward, +1 backward, unscaled). Output position ``k``."""
     keys = list(keys)
     n = F.col(length)
-    size = F.shiftleft(F.lit(1).cast("long"), F.ceil(F.log2(2 * n - 1)).cast("int"))
+    size = F.pow(F.lit(2.0), F.ceil(F.log2(2 * n - 1))).cast("long")
     group = [*keys, length, "_m"]
     a = _turn(df.select(*keys, F.col(length).cast("long"), F.col(pos).cast("long").alias("n"), "re", "im"), sign * _chirp_angle(F.col(pos), n)).withColumn("_m", size)
     sizes = a.select(*group).distinct()
@@ -135,8 +135,8 @@ def resample(samples: DataFrame, sample_rate: float, *, t_range: tuple[float, fl
         F.min("t_s").alias("t0"), (F.min(F.when(F.col("i") == 1, F.col("t_s"))) - F.min("t_s")).alias("dt"))
     d = d.join(meta, keys)
     group = [*keys, "n_in", "num", "t0", "dt"]
-    short = blocks.pack(d.where(F.col("n_in") <= limit), group, "i", "value", limit)
-    short = short.select(*group, _resample_direct("vals", "num").alias("y")).select(*group, F.posexplode("y").alias("i", "value"))
+    short = blocks.pack(d.where(F.col("n_in") <= limit), group, "i", ["value"], limit)
+    short = short.select(*group, _resample_direct("rows.value", "num").alias("y")).select(*group, F.posexplode("y").alias("i", "value"))
     long_ = _resample_long(d.where(F.col("n_in") > limit), keys)
     both = short.withColumn("i", F.col("i").cast("long")).unionByName(long_.select(*group, "i", "value"))
     return both.select(*keys, "i", (F.col("t0") + F.col("i") * F.col("dt") * F.col("n_in") / F.col("num")).alias("t_s"), "value")

@@ -90,10 +90,9 @@ def stft(
     )
     group = [*keys, "_n", "_h", "_lo", "_hi"]
     per_block = F.greatest(F.lit(1), F.floor(F.lit(blocks.BLOCK) / F.col("_h"))) * F.col("_h")
-    packed = blocks.pack(d, group, "i", value, per_block, right=F.greatest(F.col("_n") - F.col("_h"), F.lit(0)))
+    packed = blocks.pack(d, group, "i", [value], per_block, right=F.greatest(F.col("_n") - F.col("_h"), F.lit(0)))
     width = F.col("_hi") - F.col("_lo") + 1
-    own = F.least(F.col("len"), F.col("i0") + F.size("vals") - F.col("start"))
-    spec = S.frame_transform("vals", own, "_n", "_h", "_lo", "_hi", F.col("blk") == 0)
+    spec = S.frame_transform(F.col(f"rows.{value}"), "len", "_n", "_h", "_lo", "_hi", F.col("blk") == 0)
     return (
         packed.select(*group, "start", spec.alias("s"))
         .select(*group, "start", F.posexplode(F.arrays_zip("s.re", "s.im")).alias("_p", "z"))
@@ -279,10 +278,7 @@ def smooth_axis(df: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[str
         return df
     radius = int(4.0 * float(sigma) + 0.5)
     rest = [c for c in df.columns if c not in (*keys, idx, *cols)]
-    out = df.select(*keys, idx, *rest)
-    for c in cols:
-        out = out.join(blocks.filtered(
-            df, keys, idx, c, c, gaussian_taps, "reflect", param=float(sigma), before=radius, after=radius), [*keys, idx])
+    out = blocks.filtered(df, keys, idx, {c: c for c in cols}, gaussian_taps, "reflect", param=float(sigma), before=radius, after=radius, carry=rest)
     return out.select(*df.columns)
 
 

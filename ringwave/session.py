@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,17 +24,21 @@ def local_session(cores: str = "8", app: str = "ringwave") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session; a new local folder only when unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if current:
-        return current
-    target = configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(target)
-    return target
+    """The shared folder named by ``spark.checkpoint.dir``; a new local folder only when unset."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(configured)
+    return configured
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: a lost executor re-reads the shared files instead of losing the data."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate table to the shared folder and read it back.
+
+    Used where several steps read the same expensive result. The table is columnar, so later reads
+    prune columns, its size is known to the planner, and a lost executor re-reads files instead of
+    recomputing the lineage.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/ringwave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
