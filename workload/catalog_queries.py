@@ -6,14 +6,12 @@ from pyspark.sql import functions as F
 from ringwave.functions import scalar as X
 from ringwave.operators import catalog, summaries
 from ringwave.sources import lake
-from workload.inputs import event_samples, line_samples, micros, table
+from workload.inputs import event_samples, micros, table
 from workload.registry import out, query
 
 DAY = 86400e6
-LOOK = """lk as (select l_orderkey, l_linenumber, o_custkey as sensor, epoch_us(l_shipdate) / 86400000000 as day,
-  row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) as rid from lineitem join orders on o_orderkey = l_orderkey)"""
 ERA = """er as (select o_custkey as sensor, epoch_us(o_orderdate) / 86400000000 as since, max(o_orderkey) as okey, arg_max(o_totalprice, o_orderkey) as price,
-  arg_max(case when o_orderstatus = 'P' then 'NotAvailable' when o_orderpriority = '5-LOW' then null else o_orderpriority end, o_orderkey) as pt0, arg_max(o_orderstatus, o_orderkey) as st from orders group by all),
+  arg_max({'p': case when o_orderstatus = 'P' then 'NotAvailable' when o_orderpriority = '5-LOW' then null else o_orderpriority end}, o_orderkey).p as pt0, arg_max(o_orderstatus, o_orderkey) as st from orders group by all),
 eu as (select *, lead(since) over (partition by sensor order by since) as until from er)"""
 
 
@@ -33,17 +31,17 @@ def lookups(spark, sf):
         "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
 
-LOOK2 = """lk as (select o_custkey as sensor, epoch_us(l_shipdate) / 86400000000 as day, l_orderkey, l_linenumber, l_partkey, l_extendedprice from lineitem join orders on o_orderkey = l_orderkey)"""
+LOOK = """lk as (select o_custkey as sensor, epoch_us(l_shipdate) / 86400000000 as day, l_orderkey, l_linenumber, l_partkey, l_extendedprice from lineitem join orders on o_orderkey = l_orderkey)"""
 
 
-@query("geometry_asof", f"""with {LOOK2}, {ERA}
+@query("geometry_asof", f"""with {LOOK}, {ERA}
 select l_orderkey, l_linenumber, l_partkey, l_extendedprice, since as since_shot, price from lk left join eu on eu.sensor = lk.sensor and day >= since and (until is null or day < until)""")
 def geometry_asof(spark, sf):
     d = catalog.active_segments(lookups(spark, sf), eras(spark, sf).drop("pointname"), width=365.0)
     return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "since_shot", "price")
 
 
-@query("pointname_at", f"""with {LOOK2}, {ERA}
+@query("pointname_at", f"""with {LOOK}, {ERA}
 select l_orderkey, l_linenumber, l_partkey, l_extendedprice, case when since is null then null when lower(coalesce(pt0, lk.sensor::varchar)) = 'notavailable' then null else coalesce(pt0, lk.sensor::varchar) end as pointname
 from lk left join (select eu.*, from eu) eu on eu.sensor = lk.sensor and day >= since and (until is null or day < until)""")
 def pointname_at(spark, sf):
@@ -51,14 +49,14 @@ def pointname_at(spark, sf):
     return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "pointname")
 
 
-@query("geometry_strict", f"""with {LOOK2}, {ERA}
+@query("geometry_strict", f"""with {LOOK}, {ERA}
 select l_orderkey, l_linenumber, l_partkey, l_extendedprice, price from lk join eu on eu.sensor = lk.sensor and day >= since and (until is null or day < until)
 where lower(coalesce(pt0, 'x')) <> 'notavailable'""")
 def geometry_strict(spark, sf):
     return catalog.geometry_at(lookups(spark, sf), eras(spark, sf), width=365.0).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "price")
 
 
-@query("geometry_nearest", f"""with {LOOK2}, {ERA}, f as (select sensor, arg_min(price, since) as p0 from er group by sensor)
+@query("geometry_nearest", f"""with {LOOK}, {ERA}, f as (select sensor, arg_min(price, since) as p0 from er group by sensor)
 select l_orderkey, l_linenumber, l_partkey, l_extendedprice, case when since is null or lower(coalesce(pt0, 'x')) = 'notavailable' then p0 else price end as price
 from lk join f on f.sensor = lk.sensor left join eu on eu.sensor = lk.sensor and day >= since and (until is null or day < until)""")
 def geometry_nearest(spark, sf):

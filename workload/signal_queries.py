@@ -183,18 +183,18 @@ def band_filter(spark, sf):
 
 
 # ---- detrending ---------------------------------------------------------------------------------------------
-def _detrend(kind, trend):
+def _detrend(kind, trend, digits=9):
     @query(f"detrend_{kind}", f"""with {LI}, s as (select *, i * 1e-5 as t from li0), b as ({trend})
-    select s.shot, s.channel, i, {r('value - (a * s.t + c)')} as value from s join b on b.shot = s.shot and b.channel = s.channel""")
+    select s.shot, s.channel, i, {r('value - (a * s.t + c)', digits)} as value from s join b on b.shot = s.shot and b.channel = s.channel""")
     def run(spark, sf):
-        return out(condition.detrend(line_samples(spark, sf), kind, [(0.0002, 0.0021), (0.01, 0.02)]).select("shot", "channel", "i", "value"))
+        return out(condition.detrend(line_samples(spark, sf), kind, [(0.0002, 0.0021), (0.01, 0.02)]).select("shot", "channel", "i", "value"), digits)
 
     return run
 
 
 BAND = "(t between 0.0002 and 0.0021 or t between 0.01 and 0.02)"
 _detrend("baseline", f"select {CH}, 0 as a, avg(value) as c from s where {BAND} group by all")
-_detrend("linear", f"select {CH}, regr_slope(value, t) as a, regr_intercept(value, t) as c from s where {BAND} group by all")
+_detrend("linear", f"select {CH}, regr_slope(value, t) as a, regr_intercept(value, t) as c from s where {BAND} group by all", 6)
 _detrend("endpoints", f"""select {CH}, (v1 - v0) / (t1 - t0) as a, v0 - (v1 - v0) / (t1 - t0) * t0 as c from
   (select {CH}, arg_min(value, t) as v0, arg_max(value, t) as v1, min(t) as t0, max(t) as t1 from s where t between 0.0002 and 0.02 group by all)""")
 
@@ -217,10 +217,10 @@ x as (select ev.shot, ev.channel, n, m, k, sum(value * cos(2 * pi() * ((k * i) %
 y as (select x.shot, x.channel, q as i, any_value(n) as n, any_value(m) as m, sum(case when k = 0 then re when m % 2 = 0 and k = m // 2 then 2 * re * cos(pi() * q)
    else 2 * (re * cos(2 * pi() * ((k * q) % m) / m) - im * sin(2 * pi() * ((k * q) % m) / m)) end) / any_value(n) as value
   from x, range(0, 100) t(q) where q < m group by x.shot, x.channel, q)
-select shot, channel, i, {r('i * 1e-3 * n / m')} as t_s, {r('value')} as value from y""")
+select shot, channel, i, {r('i * 1e-3 * n / m', 9)} as t_s, {r('value')} as value from y""")
 def resample_fft(spark, sf):
     """Fourier resampling to half the rate."""
-    return out(resample.resample(event_samples(spark, sf), 500.0))
+    return out(resample.resample(event_samples(spark, sf), 500.0), 9, value=6)
 
 
 @query("resample_blocks", f"with {EV} select shot, channel, cast(floor(t_real / 43200) as bigint) as i, {r('avg(value)')} as value from ev group by all")
