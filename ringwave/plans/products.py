@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ringwave.functions import scalar as X
 from ringwave.operators import align, blocks, condition, modes, shape, spatial, spectra, summaries
+from ringwave.session import cut_lineage
 
 MIN_SAMPLES = 256  # fixed: shorter records have no spectrogram
 FULL_BAND = (1000.0, 25000.0)  # fixed: Hz kept for cursor analyses
@@ -35,22 +36,30 @@ class Archive:
     extra: dict = field(default_factory=dict)
 
     # ---- shared pieces -----------------------------------------------------------------
+    def table(self, key, build) -> DataFrame:
+        """An intermediate written once per archive and read by every product that needs it."""
+        if key not in self.extra:
+            self.extra[key] = cut_lineage(build())
+        return self.extra[key]
+
+    def have(self) -> DataFrame:
+        return self.table("have", lambda: self.samples.select("shot", "channel").distinct())
+
     def seconds(self) -> DataFrame:
         return self.samples.withColumn("t_s", F.col("t_ms") * 1e-3)
 
     def present(self, name: str) -> DataFrame:
-        have = self.samples.select("shot", "channel").distinct()
-        return self.arrays[name].join(have, ["shot", "channel"], "left_semi")
+        return self.arrays[name].join(self.have(), ["shot", "channel"], "left_semi")
 
     def toroidal(self) -> DataFrame:
-        return summaries.usable_array(self.present("toroidal")).select("shot", "channel", "phi")
+        return self.table("toroidal", lambda: summaries.usable_array(self.present("toroidal")).select("shot", "channel", "phi"))
 
     def poloidal(self) -> DataFrame:
         p = self.present("poloidal").where(F.col("theta").isNotNull()).withColumnsRenamed({"phi": "real_phi", "theta": "phi"})
-        return summaries.usable_array(p).select("shot", "channel", "phi", "real_phi")
+        return self.table("poloidal", lambda: summaries.usable_array(p).select("shot", "channel", "phi", "real_phi"))
 
     def pair(self) -> DataFrame:
-        return summaries.widest_pair(self.present("pair"))
+        return self.table("pair", lambda: summaries.widest_pair(self.present("pair")))
 
     def kappa(self, t0_ms: float | None = None) -> DataFrame:
         """Elongation per recording: median over the record, or interpolated at the cursor."""
@@ -60,7 +69,7 @@ class Archive:
         else:
             grid = k.select("shot", "channel").distinct().withColumn("t_ms", F.lit(float(t0_ms)))
             val = align.interpolate(k, grid, ["shot", "channel"], 1e3, "t_ms").select("shot", F.col("value").alias("kappa"))
-        return val.withColumn("kappa", X.sane_kappa("kappa"))
+        return self.table(("kappa", t0_ms), lambda: val.withColumn("kappa", X.sane_kappa("kappa")))
 
 
 def _clock(stacked: DataFrame) -> DataFrame:
@@ -84,11 +93,17 @@ def _frames(stacked: DataFrame, lay: DataFrame) -> DataFrame:
 
 # ---- two-probe spectrogram -----------------------------------------------------------------
 def _pair_spectrogram(a: Archive, slice_duration=0.001, smoothing=5, max_columns=4000) -> DataFrame:
+    key = ("pair spectrogram", slice_duration, smoothing, max_columns)
+    return a.table(key, lambda: _build_pair_spectrogram(a, slice_duration, smoothing, max_columns))
+
+
+def _build_pair_spectrogram(a: Archive, slice_duration, smoothing, max_columns) -> DataFrame:
     pair = a.pair()
     members = pair.select("shot", F.explode(F.array("ch1", "ch2")).alias("channel"))
-    stacked = align.stack(a.seconds(), members)
-    lay = spectra.layout(_clock(stacked).where(F.col("n") >= MIN_SAMPLES), slice_duration, max_columns)
-    spec = _transform(stacked, lay)
+    stacked = a.table("pair samples", lambda: align.stack(a.seconds(), members))
+    clock = a.table("pair clock", lambda: _clock(stacked).where(F.col("n") >= MIN_SAMPLES))
+    lay = cut_lineage(spectra.layout(clock, slice_duration, max_columns))
+    spec = cut_lineage(_transform(stacked, lay))
     prod = spectra.pair_products(spec, pair.select("shot", "ch1", "ch2", "delta_phi")).join(lay.select("shot", "n_fft"), "shot")
     res = spectra.spectrogram(prod, F.floor(F.col("n_fft") / 2) + 1, max(2, smoothing))
     return _with_axes(res, lay, _frames(stacked, lay))
@@ -102,7 +117,10 @@ def _with_axes(cells: DataFrame, lay: DataFrame, frames: DataFrame) -> DataFrame
 def _prepared_spectrogram(a: Archive, *, slice_duration=0.001, smoothing=5, max_columns=4000, sigma_time=0.0, sigma_freq=0.0, denoise=False,
                           coherence_min=0.0, power_floor_k=None, floor_percentile=50.0) -> DataFrame:
     d = _pair_spectrogram(a, slice_duration, smoothing, max_columns)
-    d = spectra.smooth_spectrogram(d, sigma_time_bins=sigma_time, sigma_freq_bins=sigma_freq)
+    if sigma_time > 0 or sigma_freq > 0:
+        key = ("smoothed", slice_duration, smoothing, max_columns, sigma_time, sigma_freq)
+        raw = d
+        d = a.table(key, lambda: spectra.smooth_spectrogram(raw, sigma_time_bins=sigma_time, sigma_freq_bins=sigma_freq))
     if denoise:
         floor = power_floor_k if power_floor_k and power_floor_k > 0 else None
         d = spectra.denoise(d, coherence_min=coherence_min, power_floor_k=floor, floor_percentile=floor_percentile)
@@ -139,27 +157,36 @@ def spectrogram_levels(a: Archive, max_columns=(250, 1000, 4000), **kw) -> DataF
 
 
 # ---- array mode numbers --------------------------------------------------------------------
-def _array_spectrum(a: Archive, members: DataFrame, *, f_lo=FULL_BAND[0], f_hi=FULL_BAND[1], slice_duration=0.001, max_columns=20000):
+def _array_spectrum(a: Archive, name: str, *, f_lo=FULL_BAND[0], f_hi=FULL_BAND[1], slice_duration=0.001, max_columns=20000):
     """(spectra, layout, frames) of a whole array; only the band leaves the transform."""
-    stacked = align.stack(a.seconds(), members.select("shot", "channel"))
-    lay = spectra.layout(_clock(stacked), slice_duration, max_columns)
+    members = a.toroidal() if name == "toroidal" else a.poloidal()
+    stacked = a.table((name, "samples"), lambda: align.stack(a.seconds(), members.select("shot", "channel")))
+    clock = a.table((name, "clock"), lambda: _clock(stacked))
+    key = (name, f_lo, f_hi, slice_duration, max_columns)
+    lay = a.table((*key, "layout"), lambda: spectra.layout(clock, slice_duration, max_columns))
     lo, hi = spectra.band_bins("n_fft", "dt", f_lo, f_hi)
-    return _transform(stacked, lay, lo, hi), lay, _frames(stacked, lay)
+    spec = a.table((*key, "spectra"), lambda: stft_band_limited(stacked, lay, lo, hi))
+    return spec, lay, a.table((*key, "frames"), lambda: _frames(stacked, lay))
+
+
+def stft_band_limited(stacked: DataFrame, lay: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    d = stacked.join(lay.select("shot", "n_fft", "hop", lo.alias("k_lo"), hi.alias("k_hi")), "shot")
+    return spectra.stft(d, "n_fft", "hop", "k_lo", "k_hi")
 
 
 def mode_number(a: Archive, *, slice_duration=0.002, sigma_time=0.0, sigma_freq=0.0, n_gate=0.3, n_amp_pct=80.0, fmin=None, fmax=None,
                 n_max=5, columns=1500) -> DataFrame:
     """|n| map from the whole array; recordings without one fall back to the two-probe estimate."""
     arr = a.toroidal()
-    spec, lay, frames = _array_spectrum(a, arr, f_lo=0.0, f_hi=50e3, slice_duration=slice_duration, max_columns=2000)
-    m = modes.mode_map(spec, arr, n_max)
-    for c in ("quality", "amplitude"):
-        m = spectra.smooth_axis(m, ["shot", "k"], "frame", [c], sigma_time)
-        m = spectra.smooth_axis(m, ["shot", "frame"], "k", [c], sigma_freq)
-    m = _crop(_with_axes(m, lay, frames), fmin, fmax)
-    m = modes.gate_mode_map(summaries.display_columns(m, columns), n_gate=n_gate, n_amp_pct=n_amp_pct)
+    spec, lay, frames = _array_spectrum(a, "toroidal", f_lo=0.0, f_hi=50e3, slice_duration=slice_duration, max_columns=2000)
+    m = a.table(("mode map", slice_duration, n_max), lambda: modes.mode_map(spec, arr, n_max))
+    m = spectra.smooth_axis(m, ["shot", "k"], "frame", ["quality", "amplitude"], sigma_time)
+    m = spectra.smooth_axis(m, ["shot", "frame"], "k", ["quality", "amplitude"], sigma_freq)
+    shown = summaries.display_columns(frames, columns).select("shot", "frame")
+    m = cut_lineage(_crop(_with_axes(m, lay, frames), fmin, fmax).join(shown, ["shot", "frame"], "left_semi"))
+    m = modes.gate_mode_map(m, n_gate=n_gate, n_amp_pct=n_amp_pct)
     whole = _cell(m, F.col("z"), "quality", "amplitude").withColumn("method", F.lit("array"))
-    rest = Archive(a.samples.join(arr.select("shot").distinct(), "shot", "left_anti"), a.sensors, a.arrays)
+    rest = a.extra.setdefault("without array", Archive(a.samples.join(arr.select("shot").distinct(), "shot", "left_anti"), a.sensors, a.arrays))
     two = _crop(_pair_spectrogram(rest), fmin, fmax)
     two = _cell(two.withColumns({"quality": F.lit(None).cast("double"), "amplitude": F.lit(None).cast("double")}),
                 F.abs("n").cast("double"), "quality", "amplitude").withColumn("method", F.lit("pair"))
@@ -179,13 +206,18 @@ def _nearest_bin(lay: DataFrame, f_hz: Column) -> Column:
 
 def _frequency(a: Archive, f_khz: float | None, t0_ms: float | None) -> DataFrame:
     if f_khz is not None:
-        return a.samples.select("shot").distinct().withColumn("f_khz", F.lit(float(f_khz)))
+        return a.have().select("shot").distinct().withColumn("f_khz", F.lit(float(f_khz)))
     return auto_frequency(a, t0_ms)
 
 
-def _mode_at_cursor(a: Archive, arr: DataFrame, f_khz, time) -> DataFrame:
+def _mode_at_cursor(a: Archive, name: str, f_khz, time) -> DataFrame:
     """Per-probe phase of an array at the cursor, against its first probe by angle."""
-    spec, lay, frames = _array_spectrum(a, arr)
+    return a.table(("cursor", name, f_khz, time), lambda: _build_mode_at_cursor(a, name, f_khz, time))
+
+
+def _build_mode_at_cursor(a: Archive, name: str, f_khz, time) -> DataFrame:
+    arr = a.toroidal() if name == "toroidal" else a.poloidal()
+    spec, lay, frames = _array_spectrum(a, name)
     mid = frames.groupBy("shot").agg(F.max("frame").alias("_top"))
     t0 = frames.join(mid, "shot").where(F.col("frame") == F.floor((F.col("_top") + 1) / 2)).select("shot", F.col("t_s").alias("t0"))
     if time is not None:
@@ -199,13 +231,13 @@ def _mode_at_cursor(a: Archive, arr: DataFrame, f_khz, time) -> DataFrame:
 
 
 def toroidal_mode(a: Archive, *, f_khz=None, time=None) -> DataFrame:
-    return _mode_at_cursor(a, a.toroidal(), f_khz, time)
+    return _mode_at_cursor(a, "toroidal", f_khz, time)
 
 
 def poloidal_mode(a: Archive, *, f_khz=None, time=None) -> DataFrame:
     """Poloidal phases with the toroidal ramp removed and angles corrected for elongation."""
     arr = a.poloidal()
-    mode = _mode_at_cursor(a, arr, f_khz, time)
+    mode = _mode_at_cursor(a, "poloidal", f_khz, time)
     n = modes.circular_fit(toroidal_mode(a, f_khz=f_khz, time=time), ["shot"]).select("shot", F.col("n").alias("toroidal_n"))
     d = mode.join(arr.select("shot", "channel", "real_phi"), ["shot", "channel"]).join(n, "shot").join(a.kappa(time), "shot", "left")
     return d.withColumns({"phase": X.remove_toroidal_ramp("phase", "toroidal_n", F.coalesce("real_phi", F.lit(0.0))), "phi": X.theta_star("phi", "kappa")})
@@ -259,9 +291,10 @@ def pattern_overlay(a: Archive, *, time=None) -> DataFrame:
 # ---- tracks ----------------------------------------------------------------------------------
 def _track_inputs(a: Archive, n_slices: int):
     arr = a.toroidal()
-    spec, lay, frames = _array_spectrum(a, arr)
-    window = modes.active_window(spec, frames)
+    spec, lay, frames = _array_spectrum(a, "toroidal")
+    window = a.table("active window", lambda: modes.active_window(spec, frames))
     idx = modes.even_slices(modes.frames_in_window(frames, window), n_slices).join(frames, ["shot", "frame"])
+    idx = a.table(("slices", n_slices), lambda d=idx: d)
     cursors = idx.select("shot", F.col("frame").cast("int").alias("slice"), F.col("t_s").alias("t0"))
     ref = arr.groupBy("shot").agg(F.min_by("channel", F.struct("phi", "channel")).alias("ref"))
     return arr, spec, lay, frames, cursors, ref
@@ -271,8 +304,8 @@ def mode_track(a: Archive, *, f_khz=None, n_slices=300) -> DataFrame:
     """Similarity of the array shape to its strongest slice, and n, over the active time."""
     arr, spec, lay, frames, cursors, ref = _track_inputs(a, n_slices)
     k = lay.join(_frequency(a, f_khz, None), "shot").select("shot", _nearest_bin(lay, F.col("f_khz") * 1e3).alias("k"))
-    mode = modes.mode_at(spec, arr, modes.cursor_frames(cursors, frames).join(k, "shot"), ref)
-    tr = modes.track(mode)
+    mode = cut_lineage(modes.mode_at(spec, arr, modes.cursor_frames(cursors, frames).join(k, "shot"), ref))
+    tr = cut_lineage(modes.track(mode))
     return tr.join(cursors, ["shot", "slice"]).join(modes.dominant_mode(tr), "shot").select(
         "shot", "slice", (F.col("t0") * 1e3).alias("t_ms"), "mac", "n", "ref_slice", "dominant_n")
 
@@ -282,26 +315,27 @@ def mode_over_time(a: Archive, *, n_slices=300) -> DataFrame:
     arr, spec, lay, frames, cursors, ref = _track_inputs(a, n_slices)
     ridge = modes.dominant_bin(spec, cursors.select("shot", F.col("slice").cast("long").alias("frame")))
     picked = modes.cursor_frames(cursors, frames).join(ridge.select("shot", F.col("frame").cast("int").alias("slice"), "k"), ["shot", "slice"])
-    mode = modes.mode_at(spec, arr, picked, ref)
+    mode = cut_lineage(modes.mode_at(spec, arr, picked, ref))
     fit = modes.circular_fit(mode, ["shot", "slice"]).select("shot", "slice", "n")
     amp = mode.groupBy("shot", "slice", "k").agg(F.sum("amplitude").alias("amplitude"))
     d = amp.join(fit, ["shot", "slice"]).join(cursors, ["shot", "slice"]).join(lay.select("shot", "n_fft", "dt"), "shot")
     d = d.select("shot", "slice", (F.col("t0") * 1e3).alias("t_ms"), "n", (F.col("k") / (F.col("n_fft") * F.col("dt")) / 1e3).alias("f_khz"), "amplitude")
+    d = cut_lineage(d)
     return d.join(modes.dominant_mode(d), "shot")
 
 
 # ---- raw array views ----------------------------------------------------------------------------
 def contour(a: Archive, *, columns=160, points=73) -> DataFrame:
     """Raw field over angle and time of the toroidal array, in gauss."""
-    arr = summaries.usable_array(a.present("grid"), distinct=False).select("shot", "channel", "phi")
-    stacked = align.stack(a.samples, arr.select("shot", "channel"))
+    arr = a.table("grid", lambda: summaries.usable_array(a.present("grid"), distinct=False).select("shot", "channel", "phi"))
+    stacked = a.table("grid samples", lambda: align.stack(a.samples, arr.select("shot", "channel")))
     thin = summaries.display_columns(stacked, columns, idx="i")
     z = align.on_angle_grid(thin, align.angle_weights(arr, points), along=("i", "t_ms"))
     return z.withColumn("z", F.col("z") * X.TESLA_TO_GAUSS)
 
 
 def _stripes(a: Archive, arr: DataFrame, f_khz, time, cycles=8, times=320, angles=120) -> DataFrame:
-    stacked = align.stack(a.samples, arr.select("shot", "channel"))
+    stacked = cut_lineage(align.stack(a.samples, arr.select("shot", "channel")))
     f = _frequency(a, f_khz, time)
     mid = stacked.groupBy("shot").agg((F.max("i") + 1).alias("_n"))
     centre = stacked.join(mid, "shot").where(F.col("i") == F.floor(F.col("_n") / 2)).groupBy("shot").agg(F.first("t_ms").alias("_t0"))
@@ -309,7 +343,7 @@ def _stripes(a: Archive, arr: DataFrame, f_khz, time, cycles=8, times=320, angle
     t0 = F.col("_t0") if time is None else F.lit(float(time))
     half = F.greatest(F.lit(0.3), 0.5 * cycles / F.greatest(F.col("f_khz"), F.lit(0.5)))
     cut = align.cursor_window(d, t0 - half, t0 + half, 4, 160, ["shot", "channel"], "t_ms").drop("_t0", "f_khz")
-    cut = align.reindex(cut)
+    cut = cut_lineage(align.reindex(cut))
     thin = summaries.display_columns(cut, times, idx="i")
     return align.on_angle_grid(thin, align.angle_weights(arr, angles), along=("i", "t_ms"))
 
@@ -330,7 +364,7 @@ def raw_trace(a: Archive, *, time=None, half_ms=2.0, points=2000) -> DataFrame:
     centre = one.join(mid, "shot").where(F.col("i") == F.floor(F.col("_n") / 2)).select("shot", F.col("t_ms").alias("_t0"))
     t0 = F.col("_t0") if time is None else F.lit(float(time))
     cut = align.cursor_window(one.join(centre, "shot"), t0 - half_ms, t0 + half_ms, 2, 2000, ["shot"], "t_ms").drop("_t0")
-    return summaries.display_columns(align.reindex(cut), points, idx="i")
+    return summaries.display_columns(cut_lineage(align.reindex(cut)), points, idx="i")
 
 
 # ---- quasi-stationary fit -------------------------------------------------------------------------
@@ -360,16 +394,16 @@ def prepare(samples: DataFrame, *, t_lo: float, t_hi: float, cutoff=(5.0, 250.0)
     d = align.reindex(d, ["shot"])
     if coils is not None and coupling is not None:
         d = align.compensate(d, coils, coupling)
-    d = align.swap_pair(d)
-    clock = _even_clock(d)
+    d = cut_lineage(align.swap_pair(d))
+    clock = cut_lineage(_even_clock(d))
     if do_integrate:
         d = d.join(clock.select("shot", "dt"), "shot")
         d = condition.integrate(d, remove=False).drop("dt")
-    d = condition.band_filter(d, clock, *cutoff)
-    d = align.reindex(align.trim(d, t_lo, t_hi), ["shot"])
+    d = cut_lineage(condition.band_filter(d, clock, *cutoff))
+    d = cut_lineage(align.reindex(align.trim(d, t_lo, t_hi), ["shot"]))
     band = detrend_band or (t_lo, t_lo + 0.01)
     d = condition.detrend(d, detrend, [band])
-    return condition.svd_condition(d.select("shot", "channel", "i", "t_s", "value"), energy)
+    return condition.svd_condition(cut_lineage(d.select("shot", "channel", "i", "t_s", "value")), energy)
 
 
 def _even_clock(d: DataFrame) -> DataFrame:
@@ -379,28 +413,35 @@ def _even_clock(d: DataFrame) -> DataFrame:
 
 
 def run_fit(a: Archive, *, t_lo: float, t_hi: float, channels: DataFrame | None = None, ns=(1, 2, 3), ms=(0,), helicity=-1, basis="sinusoidal-integral",
-            geometry="cylindrical", fit_cond=10.0, ncenters=6, mcenters=1, width=1.0, persist=None, **prep) -> FitRun:
-    """Load on one clock, prepare and fit. ``channels`` restricts (shot, channel) or (channel)."""
+            geometry="cylindrical", fit_cond=10.0, ncenters=6, mcenters=1, width=1.0, **prep) -> FitRun:
+    """Load on one clock, prepare and fit. ``channels`` restricts (shot, channel) or (channel).
+
+    The aligned and prepared samples, the inversion and the coefficients are written once; products
+    called with the same parameters on the same archive share the run.
+    """
+    key = ("fit", t_lo, t_hi, None if channels is None else id(channels), tuple(ns), tuple(ms), helicity, basis, geometry, fit_cond, ncenters, mcenters, width, repr(sorted(prep.items(), key=str)))
+    if key in a.extra:
+        return a.extra[key]
     geo = a.sensors.where(F.col("phi_end1").isNotNull())
     if channels is not None:
         geo = geo.join(channels, [c for c in channels.columns if c in ("shot", "channel")], "left_semi")
     raw = a.seconds().join(geo.select("shot", "channel"), ["shot", "channel"], "left_semi").where(~F.isnan("value"))
-    aligned = align.on_common_clock(raw, width)
-    clock = align.common_clock(raw)
+    clock = cut_lineage(align.common_clock(raw))
+    aligned = align.interpolate(raw, clock.join(raw.select("shot", "channel").distinct(), "shot"), ["shot", "channel"], width)
     order = blocks.row_index(clock, ["shot"], ["t_s"], F.floor(F.col("t_s") / width))
-    aligned = aligned.join(order, ["shot", "t_s"])
+    aligned = cut_lineage(aligned.join(order, ["shot", "t_s"]))
     prepared, svd = prepare(aligned, t_lo=t_lo, t_hi=t_hi, **prep)
-    if persist is not None:  # e.g. session.cut_lineage: several products read the prepared samples
-        prepared = persist(prepared)
+    prepared = cut_lineage(prepared)
     used = geo.join(prepared.select("shot", "channel").distinct(), ["shot", "channel"], "left_semi")
     if "sigma" not in used.columns:
         used = used.withColumn("sigma", F.lit(spatial.DEFAULT_SIGMA))
     rows = spatial.basis_rows(spatial.fill_sigma(used, default=spatial.DEFAULT_SIGMA, positive=False), ns=ns, ms=ms, helicity=helicity, basis=basis,
                               geometry=geometry, ncenters=ncenters, mcenters=mcenters)
-    inverse = spatial.invert_design(rows, fit_cond=fit_cond)
+    inverse = cut_lineage(spatial.invert_design(rows, fit_cond=fit_cond))
     n_modes = ncenters * mcenters if basis.startswith("gaussian") else len(spatial.mode_list(ns, ms, helicity))
-    coef = spatial.fit_coefficients(prepared, inverse, n_modes)
-    return FitRun(aligned, prepared, svd, inverse, spatial.fit_meta(inverse), coef, n_modes)
+    coef = cut_lineage(spatial.fit_coefficients(prepared, inverse, n_modes))
+    a.extra[key] = FitRun(aligned, prepared, svd, inverse, spatial.fit_meta(inverse), coef, n_modes)
+    return a.extra[key]
 
 
 def qs_fit(a: Archive, *, time=None, **kw) -> DataFrame:
@@ -510,7 +551,7 @@ def channel_usage(a: Archive) -> DataFrame:
     pair = a.pair().select("shot", F.explode(F.array("ch1", "ch2")).alias("channel"), F.lit("2-point spectrogram").alias("role"))
     tor = a.toroidal().select("shot", "channel", F.lit("toroidal n-fit array").alias("role"))
     pol = a.poloidal().select("shot", "channel", F.lit("poloidal array").alias("role"))
-    return summaries.channel_usage(a.samples.select("shot", "channel").distinct(), pair.unionByName(tor).unionByName(pol))
+    return summaries.channel_usage(a.have(), pair.unionByName(tor).unionByName(pol))
 
 
 def single_time_spectrum(a: Archive, *, time: float, power_pct: float = 0.0, **kw) -> DataFrame:
@@ -519,7 +560,7 @@ def single_time_spectrum(a: Archive, *, time: float, power_pct: float = 0.0, **k
     near = spec.select("shot", "frame", "t_s").distinct().groupBy("shot").agg(
         F.min_by("frame", F.struct(F.abs(F.col("t_s") * 1e3 - time), "frame")).alias("frame"))
     col = spec.join(near, ["shot", "frame"])
-    n = mode_number(a)
+    n = cut_lineage(mode_number(a))
     n_at = n.select("shot", "frame", "t_ms").distinct().groupBy("shot").agg(F.min_by("frame", F.struct(F.abs(F.col("t_ms") - time), "frame")).alias("frame"))
     n_col = n.join(n_at, ["shot", "frame"]).select("shot", F.col("f_khz").alias("_f"), F.col("z").alias("_z"))
     cells = n_col.groupBy("shot").agg(F.sort_array(F.collect_list(F.struct("_f", "_z"))).alias("_n"))  # one column of bins
