@@ -52,7 +52,7 @@ def causal_filter(stream: DataFrame, sigma: float, *, timeout: str = GroupStateT
         if tail is None:
             tail = np.full(reach, v[0])
         ext = np.concatenate([tail, v])
-        state.update((list(ext[len(ext) - reach:]),))
+        state.update((ext[len(ext) - reach:].tolist(),))
         yield pd.DataFrame({"shot": key[0], "channel": key[1], "i": rows["i"].to_numpy(), "value": np.correlate(ext, taps, mode="valid")})
 
     return stream.groupBy("shot", "channel").applyInPandasWithState(
