@@ -170,13 +170,13 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, n
         F.when((F.col("_n") < accuracy / 2) | F.lit(lo_p <= 0), F.col("_min")).otherwise(F.col("_b")[0]).alias("_lo"),
         F.when((F.col("_n") < accuracy / 2) | F.lit(hi_p >= 1), F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
     )
-    joined = known.join(bracket, keys) if keys else known.crossJoin(F.broadcast(bracket))  # one row
+    joined = known.join(bracket, keys)
     counted = (
         joined.where(F.col("_v") <= F.col("_hi"))
         .select(*keys, "_pos", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
         .groupBy(*keys, "_pos", "_v").agg(F.count(F.lit(1)).alias("_c"))
     )
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.col("_v").asc_nulls_first())
+    w = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
     cum = counted.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
     def at(rank: Column) -> Column:

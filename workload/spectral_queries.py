@@ -27,7 +27,7 @@ def pair_table(spark, sf, only=None):
 
 def products(spark, sf, only=None):
     s = cut_lineage(line_spectra(spark, sf))
-    pairs = s.select("shot").distinct().crossJoin(F.broadcast(pair_table(spark, sf, only)))  # at most six pairs
+    pairs = s.select("shot", F.col("channel").alias("ch2")).distinct().join(pair_table(spark, sf, only), "ch2")
     return spectra.pair_products(s, pairs)
 
 
