@@ -417,10 +417,11 @@ def run_fit(a: Archive, *, t_lo: float, t_hi: float, channels: DataFrame | None
     """Load on one clock, prepare and fit. ``channels`` restricts (shot, channel) or (channel).
 
     The aligned and prepared samples, the inversion and the coefficients are written once; products
-    called with the same parameters on the same archive share the run.
+    called with the same parameters on the same archive and without extra tables share the run.
     """
-    key = ("fit", t_lo, t_hi, None if channels is None else id(channels), tuple(ns), tuple(ms), helicity, basis, geometry, fit_cond, ncenters, mcenters, width, repr(sorted(prep.items(), key=str)))
-    if key in a.extra:
+    key = ("fit", t_lo, t_hi, tuple(ns), tuple(ms), helicity, basis, geometry, fit_cond, ncenters, mcenters, width, repr(sorted(prep.items(), key=str)))
+    shared = channels is None and not any(isinstance(v, DataFrame) for v in prep.values())
+    if shared and key in a.extra:
         return a.extra[key]
     geo = a.sensors.where(F.col("phi_end1").isNotNull())
     if channels is not None:
@@ -440,8 +441,10 @@ def run_fit(a: Archive, *, t_lo: float, t_hi: float, channels: DataFrame | None
     inverse = cut_lineage(spatial.invert_design(rows, fit_cond=fit_cond))
     n_modes = ncenters * mcenters if basis.startswith("gaussian") else len(spatial.mode_list(ns, ms, helicity))
     coef = cut_lineage(spatial.fit_coefficients(prepared, inverse, n_modes))
-    a.extra[key] = FitRun(aligned, prepared, svd, inverse, spatial.fit_meta(inverse), coef, n_modes)
-    return a.extra[key]
+    run = FitRun(aligned, prepared, svd, inverse, spatial.fit_meta(inverse), coef, n_modes)
+    if shared:
+        a.extra[key] = run
+    return run
 
 
 def qs_fit(a: Archive, *, time=None, **kw) -> DataFrame:

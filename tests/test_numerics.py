@@ -128,3 +128,17 @@ def test_integral_of_a_cosine(spark):
     d = frame(spark, np.cos(2 * np.pi * 500 * t) * 2 * np.pi * 500 + 100.0, dt=1 / 50e3)
     got = condition.integrate(d).toPandas().sort_values("i").value
     assert np.corrcoef(got, np.sin(2 * np.pi * 500 * t))[0, 1] > 0.999
+
+
+def test_sql_functions_and_set_arrays(spark):
+    from ringwave.functions.scalar import register_sql_functions
+    from ringwave.plans.arrays import by_set
+
+    register_sql_functions(spark)
+    row = spark.sql("SELECT wrap180(190D), wrap360(-10D), delta_degrees(350D, 10D), theta_star(45D, 1D)").first()
+    assert row[0] == -170.0 and row[1] == 350.0 and row[2] == 20.0 and row[3] == pytest.approx(45.0)
+    sensors = spark.createDataFrame([(1, "d", f"s{j}", 30.0 * j, 0.0) for j in range(6)], "shot long, device_id string, channel string, phi double, theta double")
+    flat = spark.createDataFrame([("d", "HF toroidal array", f"s{j}", [j]) for j in range(4)] + [("d", "HN toroidal array", f"s{j}", [j]) for j in range(2, 6)],
+                                 "device_id string, set_name string, member string, path array<int>")
+    got = by_set(sensors, flat, "toroidal").groupBy("pref").count().orderBy("pref").collect()
+    assert [r["count"] for r in got] == [4, 4, 6]  # shared probes stay in both sets
