@@ -15,13 +15,13 @@ INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
-def bounded(batches: Iterator[pa.RecordBatch], text: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into runs of rows that hold about ``limit`` bytes of text."""
+def bounded(batches: Iterator[pa.RecordBatch], text: str, limit: int = BATCH_BYTES, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into runs of at most ``rows`` rows that hold about ``limit`` bytes of text."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = np.cumsum(size) // limit
+        group = np.cumsum(size + -(-limit // rows)) // limit
         edges = np.r_[0, np.flatnonzero(np.diff(group)) + 1, batch.num_rows]
         for lo, hi in zip(edges[:-1], edges[1:]):
             yield batch.slice(lo, hi - lo)
@@ -76,3 +76,26 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of the runs of True."""
     edge = np.flatnonzero(np.diff(np.r_[False, mask, False].view(np.int8)))
     return edge[::2], edge[1::2]
+
+
+def code_points(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts with a zero after each, and where each text begins (with the end)."""
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    data = np.frombuffer(("\0".join(parts) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+    return data, np.r_[0, np.cumsum(size + 1)]
+
+
+class Kinds:
+    """A yes-or-no property of characters over whole arrays of code points."""
+
+    def __init__(self, test):
+        self.test = test
+        self.low = np.fromiter((test(chr(c)) for c in range(1 << 16)), bool, 1 << 16)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        out = self.low[np.minimum(codes, 0xFFFF)]
+        high = codes > 0xFFFF
+        if high.any():
+            some, back = np.unique(codes[high], return_inverse=True)
+            out[high] = np.fromiter((self.test(chr(c)) for c in some), bool, len(some))[back]
+        return out
