@@ -17,6 +17,7 @@ rows are packed each; a null id stays null; further columns are not read; an emp
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,8 +32,9 @@ from ringwave.llm.registry import query, table
 from ringwave.llm.text import bounded, texts
 
 END = 1
-CACHE = 400_000
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+CACHE = 300_000
+#: Letters that the normaliser only lower-cases, then ASCII punctuation without the apostrophe.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 #: Separators that Python splits at and the tokenizer does not take for white space.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -46,48 +48,52 @@ def _printable() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Ids:
-    """Token ids of texts as little-endian 32-bit bytes, by white-space token through a cache."""
+class Ids(dict):
+    """Token ids of texts as little-endian 32-bit bytes, by white-space token through a cache.
+
+    The cache has two generations: when the young one is full it becomes the old one, and what is still
+    used moves over, so frequent words stay.
+    """
 
     def __init__(self, path: str, limit: int = CACHE):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.whole, self.limit = Tokenizer.from_file(path), limit
         self.model, self.letters = self.whole.model, _printable()
-        self.known: dict[str, bytes] = {}
-        self.tail = {"": b"", **{p: self._through([p])[0] for p in ".,"}}
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, token: str) -> bytes:
+        found = self.old.get(token)
+        if found is None:
+            m = PLAIN.fullmatch(token)
+            if m is None:
+                found = self._through(token)
+            elif (word := m[1].lower()) == token:
+                found = self._word(token)
+            else:
+                found = self[word] + self[m[2]] if m[2] else self[word]
+        self[token] = found
+        return found
 
-    def _through(self, tokens: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(tokens, add_special_tokens=False)]
+    def _through(self, text: str) -> bytes:
+        ids = self.whole.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
         if not word.isascii():
             word = "".join(map(self.letters.__getitem__, word.encode()))
-        return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
-
-    def _learn(self, tokens: set[str]) -> None:
-        others = []
-        for token in tokens:
-            if m := PLAIN.fullmatch(token):
-                word = m[1].lower()
-                if word not in self.known:
-                    self.known[word] = self._word(word)
-                self.known[token] = self.known[word] + self.tail[m[2]]
-            else:
-                others.append(token)
-        for lo in range(0, len(others), 256):
-            part = others[lo : lo + 256]
-            self.known.update(zip(part, self._through(part)))
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, batch: list[str]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        split = [None if ODD_SPACE.search(t) else t.split() for t in batch]
-        new = set().union(*filter(None, split)) - self.known.keys()
-        if new:
-            self._learn(new)
-        find = self.known.__getitem__
-        return [self._through([t])[0] if s is None else b"".join(map(find, s)) for t, s in zip(batch, split)]
+        out = []
+        for text in batch:
+            out.append(self._through(text) if ODD_SPACE.search(text) else b"".join(map(self.__getitem__, text.split())))
+            if len(self) > self.limit:
+                self.old = self.copy()
+                self.clear()
+        return out
 
 
 _ids: dict[str, Ids] = {}
@@ -112,9 +118,8 @@ class Limits:
 class Packer:
     """Open pieces (document, start, length, first loss-bearing token) and the sequences made of them."""
 
-    def __init__(self, limits: Limits, pool: int = 1024):
+    def __init__(self, limits: Limits, pool: int = 384):
         self.limits, self.pool = limits, pool
-        self.room = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
         self.open: list[tuple[int, int, int, int]] = []
 
     def add(self, piece: tuple[int, int, int, int]) -> Iterator[list[tuple[int, int, int, int]]]:
@@ -135,32 +140,34 @@ class Packer:
     def fill(self, keep: int) -> Iterator[list[tuple[int, int, int, int]]]:
         """Sequences from the pool until it holds ``keep`` pieces or too few tokens for one more."""
         pieces = self.open
-        need = np.array([[n, 1, self._loss(s, n, loss)] for _, s, n, loss in pieces], float).reshape(-1, 3)
-        share = need / self.room
+        tokens = np.array([p[2] for p in pieces], float)
+        loss = np.array([self._loss(*p[1:]) for p in pieces], float)
+        most = self.limits
         live = np.ones(len(pieces), bool)
-        left = need[:, 0].sum()
-        while live.sum() > keep and left >= self.limits.tokens:
-            room, chosen = self.room.copy(), []
-            while room[0] > 0 and room[1] > 0:
-                fits = live & (need <= room).all(1)
-                if fits.any():
-                    at = int(np.argmax(np.where(fits, share @ (room / self.room), -1)))
+        waiting, left = len(pieces), tokens.sum()
+        while waiting > keep and left >= most.tokens:
+            room, slots, loss_room, chosen = float(most.tokens), most.segments, float(most.loss_tokens), []
+            while room > 0 and slots > 0:
+                slots -= 1
+                fits = live & (tokens <= room) & (loss <= loss_room)
+                # the segment's share is the same for every piece, so it does not change the order
+                gain = tokens * (room / most.tokens**2) + loss * (loss_room / most.loss_tokens**2)
+                at = int(np.argmax(np.where(fits, gain, -1.0)))
+                if fits[at]:
                     chosen.append(pieces[at])
-                    room -= need[at]
-                    left -= need[at, 0]
+                    room, loss_room, left = room - tokens[at], loss_room - loss[at], left - tokens[at]
                     live[at] = False
+                    waiting -= 1
                     continue
-                at = int(np.argmax(np.where(live, need[:, 0], 0)))
-                doc, start, length, loss = pieces[at]
-                cut = int(min(room[0], max(room[2], loss - start + room[2]), length - 1))
+                at = int(np.argmax(np.where(live, tokens, 0)))
+                doc, start, length, first = pieces[at]
+                cut = int(min(room, max(0, first - start) + loss_room, length - 1))
                 if not live[at] or cut < 1:
                     break
-                chosen.append((doc, start, cut, loss))
-                room -= [cut, 1, self._loss(start, cut, loss)]
-                left -= cut
-                pieces[at] = (doc, start + cut, length - cut, loss)
-                need[at] = [length - cut, 1, self._loss(start + cut, length - cut, loss)]
-                share[at] = need[at] / self.room
+                chosen.append((doc, start, cut, first))
+                room, left, loss_room = room - cut, left - cut, loss_room - self._loss(start, cut, first)
+                pieces[at] = (doc, start + cut, length - cut, first)
+                tokens[at], loss[at] = length - cut, self._loss(start + cut, length - cut, first)
             yield chosen
         self.open = [p for p, ok in zip(pieces, live) if ok]
 
