@@ -248,9 +248,9 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents that the rule does not find contaminated; every column stays."""
-    bad = report(find_occurrences(docs, items)).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id == F.col("_bad"), "left_anti")
+    """Documents that the rule does not find contaminated; every column stays, and rows without an id."""
+    bad = report(find_occurrences(docs, items)).where("contaminated").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
 @query("op1_decontamination")

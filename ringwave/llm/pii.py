@@ -189,29 +189,36 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """Documents with base spans and generalised terms as placeholders and removed terms gone."""
+    """Documents with base spans and generalised terms as placeholders and removed terms gone; ``n_chars`` follows."""
     found = find_spans(docs).dropDuplicates(["id", "key"])
     def replaced(kind: str):
         put = F.lit("" if kind == "remove" else f"<{kind.upper()}>").alias("put")
         return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), put)
 
     every = F.concat(*[F.transform(k, replaced(k)) for k in (*KINDS, *TERM_KINDS)])
-    spans = found.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.array_sort(every).alias("_spans")).where(F.size("_spans") > 0)
-    joined = docs.join(spans, (docs.doc_id.cast("long").eqNullSafe(F.col("_id"))) & (F.xxhash64(docs.text) == F.col("_key")), "left")
+    spans = found.select("id", "key", F.array_sort(every).alias("spans")).where(F.size("spans") > 0)
+    # the row travels as one struct, so that no column of the caller's meets these names
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("of"),
+        F.xxhash64("text").alias("text_key"), F.col("text").alias("body"))
+    joined = whole.join(spans, F.col("of").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def put(acc: Column, s: Column) -> Column:
         """Spans that overlap give the first one's placeholder and go as one."""
-        gap = F.substring("text", acc["at"] + 1, s["start"] - acc["at"])
+        gap = F.substring("body", acc["at"] + 1, s["start"] - acc["at"])
         return F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
             F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, s["put"])).otherwise(acc["out"]).alias("out"))
 
     def rest(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.char_length("text")))
+        return F.concat(acc["out"], F.substring("body", acc["at"] + 1, F.char_length("body")))
 
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", start, put, rest))
-    return joined.withColumn("text", text).select(*docs.columns)
+    text = F.aggregate("spans", start, put, rest)
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    return joined.select(F.when(F.col("spans").isNull(), F.col("row")).otherwise(row).alias("row")).select("row.*")
 
 
 @query("op4_pii")

@@ -249,10 +249,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, that with the smallest id; every column stays."""
+    """One document of each group stays, that with the smallest id; every column stays.
+
+    Rows that share an id are one document, rows without an id stay.
+    """
     found = near_duplicates(docs)
-    rest = found.where(F.col("id") != F.col("component")).select(F.col("id").alias("_rest")).distinct()
-    return docs.join(rest, docs.doc_id == F.col("_rest"), "left_anti")
+    rest = found.where(F.col("id") != F.col("component")).select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
 
 
 @query("op3_simhash")

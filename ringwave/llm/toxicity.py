@@ -259,11 +259,20 @@ def learnable(labels: DataFrame) -> DataFrame:
 THRESHOLD = 0.7
 
 
+def _below(shared, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: Index = shared.value
+        for batch in bounded(batches, "text", rows=1024):
+            found, _ = index.score(texts(batch, "text"))
+            yield batch.filter(pa.array(found < threshold))
+
+    return run
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that score under the threshold; every column stays."""
-    found = score(docs, fit(docs, learnable(labels)))
-    bad = found.where(F.col("score") >= THRESHOLD).select(F.col("id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id == F.col("_bad"), "left_anti")
+    """Documents that score under the threshold; rows pass whole, so nothing is joined or shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, learnable(labels)))
+    return docs.mapInArrow(_below(shared, THRESHOLD), docs.schema)
 
 
 @query("op9_toxicity")
