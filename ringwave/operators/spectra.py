@@ -144,6 +144,7 @@ def pair_products(spectra: DataFrame, pairs: DataFrame, *, pair_keys: Sequence[s
     ``pairs`` has ``ch1, ch2`` and optionally ``delta_phi`` per recording. cross = conj(S2) * S1.
     """
     pk = list(pair_keys)
+    imaginary = F.col("r2") * F.col("i1") - F.col("i2") * F.col("r1")
     extra = [c for c in pairs.columns if c not in (*pk, "ch1", "ch2")]
     one = spectra.select(*pk, F.col("channel").alias("ch1"), "frame", "k", F.col("re").alias("r1"), F.col("im").alias("i1"))
     two = spectra.select(*pk, F.col("channel").alias("ch2"), "frame", "k", F.col("re").alias("r2"), F.col("im").alias("i2"))
@@ -152,7 +153,7 @@ def pair_products(spectra: DataFrame, pairs: DataFrame, *, pair_keys: Sequence[s
         .select(
             *pk, "ch1", "ch2", *extra, "frame", "k",
             (F.col("r2") * F.col("r1") + F.col("i2") * F.col("i1")).alias("xre"),
-            (F.col("r2") * F.col("i1") - F.col("i2") * F.col("r1")).alias("xim"),
+            F.when(imaginary == 0, 0.0).otherwise(imaginary).alias("xim"),  # no negative zero at the two real bins
             (F.col("r1") * F.col("r1") + F.col("i1") * F.col("i1")).alias("p1"),
             (F.col("r2") * F.col("r2") + F.col("i2") * F.col("i2")).alias("p2"),
         )
@@ -186,7 +187,7 @@ def cross_spectrum(products: DataFrame, n_fft, fs, keys: Sequence[str] = ("shot"
 
 def with_mode_number(df: DataFrame, phase: str = "phase") -> DataFrame:
     """n = rint(phase / delta_phi), half to even; a zero separation is an error."""
-    checked = F.when(F.col("delta_phi") == 0, F.raise_error(F.lit("delta_phi must be non-zero to compute mode numbers"))) \
+    checked = F.when(F.col("delta_phi") == 0, F.raise_error(F.lit("two probes at the same angle give no mode number"))) \
         .otherwise(F.col("delta_phi"))
     return df.withColumn("n", F.rint(F.col(phase) / checked).cast("int"))
 

@@ -51,7 +51,7 @@ ln as (select shot, min(n) as n from (select shot, channel, count(*) as n from l
 li as (select li0.*, i * 1e-5 as t_s, n from li0 join ln using (shot) where i < n)"""
 
 
-def spectrum_sql(src: str = "li", n_fft: int = N_FFT, hop: int = HOP, k_lo: int = 1, k_hi: int = 31, name: str = "ls") -> str:
+def spectrum_sql(src: str = "li", n_fft: int = N_FFT, hop: int = HOP, k_lo: int = 0, k_hi: int = N_FFT // 2, name: str = "ls") -> str:
     w = f"(0.5 - 0.5 * cos(2 * pi() * j / {n_fft}))"
     a = f"(2 * pi() * ((k * j) % {n_fft}) / {n_fft})"
     return f"""{name}n as (select shot, channel, count(*) as cn from {src} group by all),
@@ -62,7 +62,8 @@ def spectrum_sql(src: str = "li", n_fft: int = N_FFT, hop: int = HOP, k_lo: int
   where frame >= 0 and frame <= (cn - {n_fft}) // {hop}),
 {name}m as (select *, value - avg(value) over (partition by shot, channel, frame) as v from {name}f),
 {name} as (
-  select shot, channel, frame, k, sum(v * {w} * cos({a})) as re, -sum(v * {w} * sin({a})) as im
+  select shot, channel, frame, k, sum(v * {w} * cos({a})) as re,
+         -sum(case when (2 * k) % {n_fft} = 0 then 0.0 else v * {w} * sin({a}) end) as im
   from {name}m, range({k_lo}, {k_hi + 1}) t(k) group by all)"""
 
 
@@ -70,7 +71,7 @@ LINE_SPECTRA = f"{LI},\n{spectrum_sql()}"
 PAIRS = f"""{LINE_SPECTRA},
 lx as (
   select a.shot, a.channel as ch1, b.channel as ch2, cast(substr(b.channel, 2) as int) as line, a.frame, a.k,
-         b.re * a.re + b.im * a.im as xre, b.re * a.im - b.im * a.re as xim,
+         b.re * a.re + b.im * a.im as xre, case when a.k in (0, 32) then 0.0 else b.re * a.im - b.im * a.re end as xim,
          a.re * a.re + a.im * a.im as p1, b.re * b.re + b.im * b.im as p2
   from ls a join ls b on a.shot = b.shot and a.frame = b.frame and a.k = b.k and a.channel = 'p1' and b.channel <> 'p1')"""
 

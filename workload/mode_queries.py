@@ -17,11 +17,13 @@ pr as (select shot, frame, k, n, sum(re * cos(n * {PHI}) + im * sin(n * {PHI}))
   from ls, range(-3, 4) t(n) group by all),
 pk as (select *, a * a + b * b as e, sum(a * a + b * b) over (partition by shot, frame, k) as tot,
   row_number() over (partition by shot, frame, k order by a * a + b * b desc, n) as rn from pr),
-mm as (select shot, frame, k, n, sqrt(e) as amplitude, e / (tot + 1e-30) as quality from pk where rn = 1)"""
+mm as (select shot, frame, k, case when k in (0, 32) then abs(n) else n end as n, sqrt(e) as amplitude, e / (tot + 1e-30) as quality from pk where rn = 1)"""
 
 
 def line_map(spark, sf):
-    return modes.mode_map(line_spectra(spark, sf), line_angles(spark, sf), 3)
+    """All bins; a real-valued spectrum cannot tell n from -n, so the two real bins give the size of n."""
+    m = modes.mode_map(line_spectra(spark, sf), line_angles(spark, sf), 3)
+    return m.withColumn("n", F.when(F.col("k").isin(0, N_FFT // 2), F.abs("n")).otherwise(F.col("n")))
 
 
 @query("mode_map", f"with {MAP} select shot, frame, k, n, {r('amplitude')} as amplitude, {r('quality')} as quality from mm")
@@ -52,7 +54,7 @@ fr as (select distinct shot, frame, {t.format(f='frame')} as t_s from ls),
 top as (select shot, max(frame) as hi from fr group by shot),
 sl as (select distinct shot, hi, case when j = 9 then hi else cast(floor(j * (hi / 9)) as bigint) end as slice from top, range(0, 10) t(j)),
 bin as (select s.shot, s.slice, k, row_number() over (partition by s.shot, s.slice order by sum(re * re + im * im) desc, k) as rn
-  from sl s join ls on ls.shot = s.shot and ls.frame = s.slice group by s.shot, s.slice, k),
+  from sl s join ls on ls.shot = s.shot and ls.frame = s.slice where k between 1 and 31 group by s.shot, s.slice, k),
 near as (select s.shot, s.slice, s.hi, count(*) filter (abs(f.t_s - {t.format(f='s.slice')}) <= {window} / 2) as hits
   from sl s join fr f on f.shot = s.shot group by all),
 sel as (select n.shot, n.slice, f.frame from near n join fr f on f.shot = n.shot
@@ -74,12 +76,13 @@ ERRORS = """case when channel = 'p1' then null else least(180, degrees(sqrt(grea
 
 def cursor_mode(spark, sf, window):
     d = cut_lineage(stacked_lines(spark, sf))
-    s = cut_lineage(spectra.stft(d, N_FFT, HOP, 1, N_FFT // 2 - 1))
+    s = cut_lineage(spectra.stft(d, N_FFT, HOP))
     frames = spectra.frame_times(d.where(F.col("channel") == "p1"), N_FFT, HOP, DT)
     frames = frames.join(s.groupBy("shot").agg(F.max("frame").alias("_top")), "shot").where(F.col("frame") <= F.col("_top")).drop("_top")
     sl = modes.even_slices(modes.frames_in_window(frames, None), 10).join(frames, ["shot", "frame"])
     cursors = sl.select("shot", F.col("frame").alias("slice"), F.col("t_s").alias("t0"))
-    k = modes.dominant_bin(s, sl).select("shot", F.col("frame").alias("slice"), "k")
+    phased = s.where(F.col("k").between(1, N_FFT // 2 - 1))  # a mode needs a phase, which real bins lack
+    k = modes.dominant_bin(phased, sl).select("shot", F.col("frame").alias("slice"), "k")
     picked = modes.cursor_frames(cursors, frames, window).join(k, ["shot", "slice"])
     ref = s.select("shot").distinct().withColumn("ref", F.lit("p1"))
     return cut_lineage(modes.mode_at(s, line_angles(spark, sf), picked, ref)), s, frames
@@ -231,12 +234,13 @@ def gp_mode_shape(spark, sf):
 
 @query("mode_pattern")
 def mode_pattern(spark, sf):
-    """Field pattern of each label: strongest vector's shape along phi times the next one's along theta."""
+    """Field pattern of every vector: its first half's shape along phi times its second half's along theta."""
     d = ring32(spark, sf).withColumn("noise", F.lit(0.05))
-    v = d.groupBy("label").agg(F.min("vec_id").alias("a"), F.max("vec_id").alias("b"))
-    tor = shape.gp_mode_shape(d.join(v.select("label", F.col("a").alias("vec_id")), ["label", "vec_id"]), ["label"])
-    pol = shape.gp_mode_shape(d.join(v.select("label", F.col("b").alias("vec_id")), ["label", "vec_id"]), ["label"])
-    return out(shape.pattern(tor, pol, ["label"]))
+    half = F.floor(F.col("p") / 16)
+    d = d.withColumns({"half": half, "phi": (F.col("p") % 16) * 22.5, "p": F.col("p") % 16})
+    tor = shape.gp_mode_shape(d.where("half = 0").drop("half"), ["vec_id"])
+    pol = shape.gp_mode_shape(d.where("half = 1").drop("half"), ["vec_id"])
+    return out(shape.pattern(tor, pol, ["vec_id"]))
 
 
 @query("shape_noise", f"""with {R32}, a as (select vec_id, p, sqrt(re * re + im * im) as amp from r32),

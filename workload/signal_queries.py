@@ -280,11 +280,11 @@ def merged_status(spark, sf):
     return lake.merge_status(d.where(F.col("l_returnflag") == "R").drop("l_returnflag"), d.where(F.col("l_returnflag") != "R").drop("l_returnflag"))
 
 
-@query("time_base_dedup", """with h as (select user_id, list(event_type order by ts, event_id)[1:2] as axis from events group by user_id)
+@query("time_base_dedup", """with h as (select user_id, list(event_type order by ts, event_id) as axis from events group by user_id)
 select user_id // 8 as shot, count(*) as channels, count(distinct axis) as bases from h group by all""")
 def time_base_dedup(spark, sf):
-    """Channels sharing a time vector, told by content: here the first two events of each user."""
-    d = event_samples(spark, sf).where(F.col("i") < 2).select("shot", "channel", "i", F.col("event_type").alias("t_ms"))
+    """Channels sharing a time vector, told by the content of the whole vector: here all event types of a user."""
+    d = event_samples(spark, sf).select("shot", "channel", "i", F.col("event_type").alias("t_ms"))
     return lake.time_base_hash(d).groupBy("shot").agg(F.count(F.lit(1)).alias("channels"), F.count_distinct("tb_id").alias("bases"))
 
 
