@@ -137,7 +137,7 @@ def circular_fit(mode: DataFrame, keys: Sequence[str], n_range: tuple[int, int]
     Bad weights count as zero, all-zero weights as uniform; missing sigmas take the median.
     """
     if n_range[1] < n_range[0]:
-        raise ValueError(f"n_range {n_range} is empty: upper bound < lower bound")
+        raise ValueError(f"no mode number lies between {n_range[0]} and {n_range[1]}")
     keys = list(keys)
     ns = list(range(n_range[0], n_range[1] + 1))
     group = Window.partitionBy(*keys)

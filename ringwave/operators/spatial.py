@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ringwave.functions.scalar import TESLA_TO_GAUSS, delta_degrees, k_quality, mode_label
 from ringwave.operators.spectra import _col
 
-SINGULAR_RATIO = 1e19  # fixed: beyond it a mode is fitted by one component only
+SINGULAR_RATIO = 1e15  # columns this much shallower than the deepest depend on the others; such a mode has one component
 DEFAULT_SIGMA = 2.0e-5  # fixed: sensor uncertainty in tesla
 
 
@@ -167,26 +167,23 @@ def invert_design(rows: DataFrame, *, fit_cond: float = 10.0, keys: Sequence[str
         sigma = pdf.sigma.to_numpy()[:, None]
         f = (np.stack(pdf.b_re) + 1j * np.stack(pdf.b_im)) / sigma
         mode_n, mode_m = pdf.mode_n.iloc[0], pdf.mode_m.iloc[0]
-        slots: list[tuple[int, np.ndarray]] = []
-        for j in range(f.shape[1]):
-            if np.allclose(f[:, j].imag, 0):
-                slots.append((2 * j, f[:, j].real))
-                continue
-            trial = [c for _, c in slots] + [f[:, j].real, f[:, j].imag]
-            w = np.linalg.svd(np.array(trial).T, compute_uv=False)
-            if w[-1] == 0 or w[0] / w[-1] > SINGULAR_RATIO:
-                turn = np.exp(1j * (mode_n[j] * pdf.centre_x.iloc[0] + mode_m[j] * pdf.centre_y.iloc[0]))
-                slots.append((2 * j, (f[:, j] * turn).real))
-            else:
-                slots += [(2 * j, f[:, j].real), (2 * j + 1, f[:, j].imag)]
-        a = np.array([c for _, c in slots]).T
+        # cosine and sine columns alternate; a triangular factor shows which depend on those before
+        columns = np.stack([f.real, f.imag], axis=2).reshape(len(f), -1)
+        depth = np.abs(np.diag(np.linalg.qr(columns, mode="r")))
+        weak = np.zeros(columns.shape[1], bool)
+        weak[: len(depth)] = depth <= depth.max() / SINGULAR_RATIO
+        plain = np.isclose(f.imag, 0).all(axis=0)
+        lone = plain | weak.reshape(-1, 2).any(axis=1)
+        turn = np.exp(1j * (np.asarray(mode_n) * pdf.centre_x.iloc[0] + np.asarray(mode_m) * pdf.centre_y.iloc[0]))
+        columns[:, ::2] = np.where(lone & ~plain, (f * turn).real, f.real)
+        where = [slot for slot in range(columns.shape[1]) if slot % 2 == 0 or not lone[slot // 2]]
+        a = columns[:, where]
         u, w, vh = np.linalg.svd(a, full_matrices=False)
         ratio = np.where(w > 0, w[0] / np.where(w > 0, w, 1.0), np.inf)
         inv = np.where(ratio <= fit_cond, 1.0 / np.where(w > 0, w, 1.0), 0.0)
         pinv = (vh.T * inv) @ u.T
         err = np.sqrt(np.sum((vh.T * inv) ** 2, axis=1))
         width = 2 * f.shape[1]
-        where = [s for s, _ in slots]
         design, weights, sigmas = np.zeros((len(pdf), width)), np.zeros((len(pdf), width)), np.zeros(width)
         design[:, where], weights[:, where], sigmas[where] = a, (pinv / sigma.T).T, err
         out = pd.DataFrame({"channel": pdf.channel.to_numpy(), "sigma": pdf.sigma.to_numpy(), "design": list(design), "weights": list(weights)})

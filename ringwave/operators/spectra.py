@@ -187,7 +187,7 @@ def cross_spectrum(products: DataFrame, n_fft, fs, keys: Sequence[str] = ("shot"
 
 def with_mode_number(df: DataFrame, phase: str = "phase") -> DataFrame:
     """n = rint(phase / delta_phi), half to even; a zero separation is an error."""
-    checked = F.when(F.col("delta_phi") == 0, F.raise_error(F.lit("two probes at the same angle give no mode number"))) \
+    checked = F.when(F.col("delta_phi") == 0, F.raise_error(F.lit("a mode number needs probes with non-zero separation"))) \
         .otherwise(F.col("delta_phi"))
     return df.withColumn("n", F.rint(F.col(phase) / checked).cast("int"))
 

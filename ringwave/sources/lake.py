@@ -21,18 +21,24 @@ def channel_status(samples: DataFrame, keys: Sequence[str] = ("shot", "channel")
     """Usable or missing per channel, with the reason.
 
     On write any non-finite or absent time makes a channel unusable; on read (``min_points`` 2,
-    ``increasing``) so do a single point and an axis whose end is not after its start.
+    ``increasing``) so do a single point and an axis whose end is not after its start. So do times
+    without values or values without times, and a single sample of zero.
     """
     time = F.col(t).cast("double")
     bad = time.isNull() | F.isnan(time) | (F.abs(time) == float("inf"))
     first, last = F.min_by(time, "i"), F.max_by(time, "i")
     d = samples.groupBy(*keys).agg(
         F.count(time).alias("n"), F.bool_or(bad).alias("_bad"), F.count("value").alias("n_values"), F.count(F.lit(1)).alias("_rows"),
-        first.alias("_a"), last.alias("_b"))
-    error = F.when((F.col("n") == 0) | F.col("_bad"), "no usable time axis").when(F.col("n") < min_points, F.concat(F.lit("degenerate (n="), F.col("n"), F.lit(")")))
+        first.alias("_a"), last.alias("_b"), F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.max(F.abs("value")).alias("_size"))
+    error = (
+        F.when((F.col("n") == 0) | F.col("_bad"), "no usable time axis")
+        .when(F.col("n") != F.col("n_values"), F.format_string("%d times for %d values", "n", "n_values"))
+        .when((F.col("_rows") == 1) & (F.col("_size") == 0), "a lone zero stands for no data")
+        .when(F.col("n") < min_points, F.concat(F.lit("degenerate (n="), F.col("n"), F.lit(")")))
+    )
     if increasing:
         error = error.when(~(F.col("_b") > F.col("_a")), "degenerate time axis")
-    return d.select(*keys, "n", F.when(error.isNull(), "fetched").otherwise("missing").alias("status"), error.alias("error"))
+    return d.select(*keys, "n", F.when(error.isNull(), "fetched").otherwise("missing").alias("status"), error.alias("error"), "first_i", "last_i")
 
 
 def time_base_hash(samples: DataFrame, keys: Sequence[str] = ("shot", "channel"), t: str = "t_ms") -> DataFrame:
@@ -77,6 +83,11 @@ class Lake:
     def _read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{table}")
 
+    def exists(self) -> bool:
+        """Whether any batch is visible; asked of the file system that holds the lake."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/channels")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def ingest(self, batch: int, samples: DataFrame, shots: DataFrame, *, requested: DataFrame | None = None) -> None:
         """Write one batch: float samples sorted inside each recording, statuses, recording rows.
 
@@ -86,14 +97,16 @@ class Lake:
         status = channel_status(samples)
         if requested is not None:
             absent = requested.select("shot", "channel").join(status, ["shot", "channel"], "left_anti")
-            status = status.unionByName(absent.select("shot", "channel", F.lit(0).cast("long").alias("n"), F.lit("missing").alias("status"), F.lit("no data").alias("error")))
+            status = status.unionByName(absent.select("shot", "channel", F.lit(0).cast("long").alias("n"), F.lit("missing").alias("status"), F.lit("no data").alias("error"),
+                                                           F.lit(None).cast("long").alias("first_i"), F.lit(None).cast("long").alias("last_i")))
         part = f"batch={int(batch)}"
         status.write.mode("overwrite").parquet(f"{self.root}/_staging/channels/{part}")
         staged = self.spark.read.parquet(f"{self.root}/_staging/channels/{part}")
         if not staged.where(F.col("status") == "fetched").limit(1).collect():
             raise ValueError(f"no usable channel in batch {batch}")
         good = samples.join(staged.where(F.col("status") == "fetched").select("shot", "channel"), ["shot", "channel"], "left_semi")
-        spread = good.repartition("shot", "channel", F.floor(F.col("i") / (blocks.BLOCK * 64))).sortWithinPartitions("shot", "channel", "i")
+        # neighbouring recordings share tasks, so a batch has about as many files as tasks plus recordings
+        spread = good.repartitionByRange("shot", "channel", F.floor(F.col("i") / (blocks.BLOCK * 64))).sortWithinPartitions("shot", "channel", "i")
         spread.withColumn("value", F.col("value").cast("float")).write.mode("overwrite").option("compression", "zstd") \
             .partitionBy("shot").parquet(f"{self.root}/samples/{part}")
         shots.write.mode("overwrite").parquet(f"{self.root}/shots/{part}")
@@ -114,16 +127,25 @@ class Lake:
             F.array_join(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("batch", "analysis"))), lambda x: x["analysis"])), "+").alias("analysis"),
         ).select("shot", "since_batch", "analysis", "_a.*")
 
+    def parts(self) -> DataFrame:
+        """Live fetched batches of every channel. Batches whose samples follow each other are all live; of
+        batches that hold the same samples the newest is."""
+        c = self._read("channels").join(self.shots().select("shot", "since_batch"), "shot").where(F.col("batch") >= F.col("since_batch"))
+        newer = Window.partitionBy("shot", "channel").orderBy(F.desc("batch")).rowsBetween(Window.unboundedPreceding, -1)
+        c = c.where(F.col("status") == "fetched").withColumn("_next", F.min("first_i").over(newer))
+        return c.where(F.col("_next").isNull() | (F.col("last_i") < F.col("_next"))).drop("_next", "since_batch")
+
     def channels(self) -> DataFrame:
-        """Live channel rows: the newest fetched batch of each channel, else its newest attempt."""
+        """Live channel rows: the newest fetched batch of each channel, else its newest attempt; ``n`` counts all live samples."""
         c = self._read("channels").join(self.shots().select("shot", "since_batch"), "shot").where(F.col("batch") >= F.col("since_batch"))
         best = F.struct((F.col("status") == "fetched").cast("int"), "batch")
-        return c.groupBy("shot", "channel").agg(F.max_by(F.struct("batch", "status", "error", "n"), best).alias("_c")).select("shot", "channel", "_c.*")
+        newest = c.groupBy("shot", "channel").agg(F.max_by(F.struct("batch", "status", "error", "n"), best).alias("_c")).select("shot", "channel", "_c.*")
+        held = self.parts().groupBy("shot", "channel").agg(F.sum("n").alias("_n"), F.max("last_i").alias("last_i"))
+        return newest.join(held, ["shot", "channel"], "left").withColumn("n", F.coalesce("_n", "n")).drop("_n")
 
     def samples(self) -> DataFrame:
         """Samples of live channels; ``shot`` and ``batch`` are partition columns and prune."""
-        live = self.channels().where(F.col("status") == "fetched").select("shot", "channel", "batch")
-        return self._read("samples").join(live, ["shot", "channel", "batch"], "left_semi")
+        return self._read("samples").join(self.parts().select("shot", "channel", "batch"), ["shot", "channel", "batch"], "left_semi")
 
     def load_channel(self, shot: int, channel: str) -> DataFrame:
         return self.samples().where((F.col("shot") == shot) & (F.col("channel") == channel)).select("i", "t_ms", "value")

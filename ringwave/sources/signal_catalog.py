@@ -71,5 +71,5 @@ def analysis_tree_signals(spark: SparkSession) -> DataFrame:
 def decimate_allowed(analysis: str) -> bool:
     """Reduction policy of an analysis; an unknown one is an error."""
     if analysis not in DECIMATE_OK:
-        raise ValueError(f"unknown analysis {analysis!r}; choose from {', '.join(DECIMATE_OK)}")
+        raise ValueError(f"no reduction policy for analysis {analysis!r}, only for {sorted(DECIMATE_OK)}")
     return DECIMATE_OK[analysis]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ringwave.operators import condition, modes, spectra
-from ringwave.sources.lake import Lake
+from ringwave.sources.lake import REDUCTION, Lake
 
 
 def sliding_spectra(stream: DataFrame, *, n_fft: int, rate: float, ks: Sequence[int], late: str, hop: int | None = None) -> DataFrame:
@@ -62,22 +62,23 @@ def causal_filter(stream: DataFrame, sigma: float, *, timeout: str = GroupStateT
 def ingest_stream(stream: DataFrame, lake: Lake, shots_of, checkpoint: str):
     """Write each micro-batch as one lake batch; a replayed batch overwrites itself.
 
-    Channels already attempted with the same window and decimation are skipped.
+    Samples that an earlier batch holds with the same window and decimation are skipped; a channel that
+    goes on from micro-batch to micro-batch is kept whole.
     """
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        shots = shots_of(df)
+        df = df.persist()
         try:
-            old = lake.channels().where(F.col("batch") < batch_id).select("shot", "channel")
-            have = old.join(lake.shots().select("shot", "tmin", "tmax", "decimate"), "shot")
-            from ringwave.sources.lake import incremental
-
-            todo = incremental(df.select("shot", "channel").distinct().join(shots.select("shot", "tmin", "tmax", "decimate"), "shot"), have)
-            df = df.join(todo.select("shot", "channel"), ["shot", "channel"], "left_semi")
-        except Exception as e:  # the first batch finds no lake yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-        if df.limit(1).collect():
-            lake.ingest(batch_id, df, shots)
+            shots = shots_of(df)
+            new = df
+            if batch_id > 0 and lake.exists():
+                held = lake.parts().where(F.col("batch") < batch_id).groupBy("shot", "channel").agg(F.max("last_i").alias("_held"))
+                same = lake.shots().select("shot", *REDUCTION).intersect(shots.select("shot", *REDUCTION)).select("shot")
+                held = held.join(same, "shot", "left_semi")
+                new = df.join(held, ["shot", "channel"], "left").where(F.col("_held").isNull() | (F.col("i") > F.col("_held"))).drop("_held")
+            if new.limit(1).collect():
+                lake.ingest(batch_id, new, shots)
+        finally:
+            df.unpersist()
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(per_batch)

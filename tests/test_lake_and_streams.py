@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ringwave.operators import catalog, condition
 from ringwave.sources import device_files
-from ringwave.sources.lake import Lake, export
+from ringwave.sources.lake import channel_status, Lake, export
 from ringwave.streaming import live
 
 SHOT = "shot long, device_id string, device string, analysis string, backend string, source string, tmin double, tmax double, decimate int"
@@ -110,3 +110,25 @@ def test_ingest_stream(spark, tmp_path):
     finally:
         q.stop()
     assert lake.samples().count() == 40
+
+
+def test_ingest_stream_keeps_channels_that_span_batches(spark, tmp_path):
+    """One channel in two files, one file per micro-batch; then the first file again."""
+    for k, (lo, hi) in enumerate([(0, 20), (20, 40), (0, 20)]):
+        spark.createDataFrame([(7, "a", i, float(i), float(i)) for i in range(lo, hi)], "shot long, channel string, i long, t_ms double, value double") \
+            .coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / str(k)))
+    stream = spark.readStream.schema("shot long, channel string, i long, t_ms double, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    lake = Lake(spark, str(tmp_path / "lake"))
+    q = live.ingest_stream(stream, lake, lambda df: shot(spark), str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(r.i for r in lake.samples().collect()) == list(range(40))
+    assert lake.channels().first().n == 40
+
+
+def test_mismatched_and_lone_samples(spark):
+    rows = [(1, "a", 0, 0.0, 1.0), (1, "a", 1, 1.0, None), (1, "b", 0, 0.0, 0.0), (1, "c", 0, 0.0, 0.5)]
+    got = {r.channel: r.status for r in channel_status(spark.createDataFrame(rows, "shot long, channel string, i long, t_ms double, value double")).collect()}
+    assert got == {"a": "missing", "b": "missing", "c": "fetched"}
