@@ -132,11 +132,11 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, id_col: str, text_col: st
     words = docs.where(F.col(id_col).isNotNull()).select(
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(WORD), F.lit(0)))).alias("term"))
     terms = words.groupBy(F.xxhash64("term").alias("h")).agg(F.count("*").alias("n_t"))
-    total = docs.where(F.col(id_col).isNotNull()).agg(F.count("*").alias("n"))
-    information = F.log(F.col("n") / F.col("n_e"))
-    pmi = F.log(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
+    total = F.lit(float(docs.where(F.col(id_col).isNotNull()).count()))
+    information = F.log(total / F.col("n_e"))
+    pmi = F.log(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
     rated = (
-        pairs.withColumn("h", F.xxhash64("term")).join(terms, "h").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
+        pairs.withColumn("h", F.xxhash64("term")).join(terms, "h").join(entities, "entity")
         .where(information > 0)
         .withColumn("disclosure", pmi / information)
         .where(F.col("disclosure") >= generalise)
