@@ -8,7 +8,7 @@ To keep unique windows out of the count without missing one, every window is fir
 least Rabin-Karp hash of its 10-word parts: equal windows have equal least parts. These are some twentieth
 of the words. A window whose least part occurs in one document only is unique; all others are counted.
 
-Hot keys: a task first sums up what its own batch of documents holds, so that a part or window shared by
+Hot keys: a window that a text holds many times is one row, and a task first sums up what its own batch of documents holds, so that a part or window shared by
 very many documents arrives as one row per batch. Repeats found inside a batch travel as intervals.
 
 Defined results: null or empty text has no words; texts under 50 words stay whole; rows with the same id
@@ -121,7 +121,7 @@ def _candidates(window: int, part: int):
             h, check = w.hashes(which)
             row, pos = w.row[which], w.pos[which]
             ids, key = _ints(batch, "id")[row], _ints(batch, "key")[row]
-            order = np.lexsort((ids, check, h))
+            order = np.lexsort((row, ids, check, h))
             begin = np.r_[True, (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])][: len(h)]
             first = np.empty_like(ids)
             first[order] = ids[order][np.flatnonzero(begin)][np.cumsum(begin) - 1] if len(h) else ids
@@ -132,7 +132,14 @@ def _candidates(window: int, part: int):
             at = np.flatnonzero(lead)
             size = np.diff(np.r_[at, len(k_row)])
             own = mix(key[known][at].view(np.uint64) + k_pos[at].astype(np.uint64))
-            new = ~known
+            #: one row of each window and text; its further places in the text ride along
+            new = order[~known[order]]
+            begin = np.r_[True, (h[new][1:] != h[new][:-1]) | (check[new][1:] != check[new][:-1]) | (row[new][1:] != row[new][:-1])][: len(new)]
+            extra = np.diff(np.r_[np.flatnonzero(begin), len(new)]) - 1
+            extra = np.r_[extra, np.zeros(len(at), extra.dtype)]
+            more = pa.ListArray.from_arrays(
+                pa.array(np.r_[0, np.cumsum(extra)], pa.int32()), pa.array(pos[new[~begin]], pa.int32()), mask=pa.array(extra == 0))
+            new = new[begin]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.r_[h[new], own].view(np.int64)),
@@ -140,9 +147,10 @@ def _candidates(window: int, part: int):
                     pa.array(np.r_[ids[new], ids[known][at]]),
                     pa.array(np.r_[key[new], key[known][at]]),
                     pa.array(np.r_[pos[new], k_pos[at]].astype(np.int32)),
-                    pa.array(np.r_[np.zeros(new.sum(), np.int32), size.astype(np.int32)]),
+                    pa.array(np.r_[np.zeros(len(new), np.int32), size.astype(np.int32)]),
+                    more,
                 ],
-                ["h", "check", "id", "key", "pos", "known"],
+                ["h", "check", "id", "key", "pos", "known", "more"],
             )
 
     return run
@@ -154,10 +162,10 @@ def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "body"):
             count, removed, kept = [], [], []
-            for text, spans in zip(_bodies(batch), batch.column("spans").to_pylist()):
+            for text, spans, more in zip(_bodies(batch), batch.column("spans").to_pylist(), batch.column("more").to_pylist()):
                 words = text.split()
                 rest, at, gone = [], 0, 0
-                for s in sorted((s["pos"], s["n"]) for s in spans or ()):
+                for s in sorted([(s["pos"], s["n"]) for s in spans or ()] + [(p, 1) for p in more or ()]):
                     lo, hi = s[0], s[0] + s[1] - 1 + window
                     if lo > at:
                         rest += words[at:lo]
@@ -189,11 +197,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .agg(F.collect_list("part").alias("parts"))
     )
     windows = named.join(shared, ["id", "key"]).mapInArrow(
-        _candidates(window, part), "h long, check int, id long, key long, pos int, known int")
+        _candidates(window, part), "h long, check int, id long, key long, pos int, known int, more array<int>")
     repeated = windows.withColumn("first", F.min("id").over(W.partitionBy("h", "check"))).where("known > 0 or first < id")
     spans = repeated.groupBy("id", "key").agg(
-        F.collect_list(F.struct("pos", F.greatest("known", F.lit(1)).alias("n"))).alias("spans"))
-    return rows.join(spans, ["id", "key"], "left").mapInArrow(_cut(window), "id long, n_words long, n_removed long, kept string")
+        F.collect_list(F.struct("pos", F.greatest("known", F.lit(1)).alias("n"))).alias("spans"),
+        F.flatten(F.collect_list("more")).alias("more"))
+    # the same side of a join as above, so that the texts are shuffled once
+    cut = named.join(spans, ["id", "key"], "left")
+    whole = rows.where("id is null").withColumns({"spans": F.lit(None).cast(cut.schema["spans"].dataType), "more": F.lit(None).cast("array<int>")})
+    return cut.unionByName(whole).mapInArrow(_cut(window), "id long, n_words long, n_removed long, kept string")
 
 
 @query("op5_substrings")
