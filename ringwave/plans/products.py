@@ -80,6 +80,15 @@ def _clock(stacked: DataFrame) -> DataFrame:
     return n.join(spectra.median_step(one), "shot")
 
 
+def _shown(d: DataFrame, cap: int | None, frames: DataFrame | None = None, idx: str = "frame") -> DataFrame:
+    """At most ``cap`` evenly spaced columns, or all of them."""
+    if cap is None:
+        return d
+    if frames is None:
+        return summaries.display_columns(d, cap, idx=idx)
+    return d.join(summaries.display_columns(frames, cap).select("shot", "frame"), ["shot", "frame"], "left_semi")
+
+
 def _transform(stacked: DataFrame, lay: DataFrame, k_lo=0, k_hi=None) -> DataFrame:
     d = stacked.join(lay.select("shot", "n_fft", "hop", "dt"), "shot")
     return spectra.stft(d, "n_fft", "hop", k_lo, k_hi)
@@ -92,7 +101,7 @@ def _frames(stacked: DataFrame, lay: DataFrame) -> DataFrame:
 
 
 # ---- two-probe spectrogram -----------------------------------------------------------------
-def _pair_spectrogram(a: Archive, slice_duration=0.001, smoothing=5, max_columns=4000) -> DataFrame:
+def _pair_spectrogram(a: Archive, slice_duration=0.001, smoothing=5, max_columns=None) -> DataFrame:
     key = ("pair spectrogram", slice_duration, smoothing, max_columns)
     return a.table(key, lambda: _build_pair_spectrogram(a, slice_duration, smoothing, max_columns))
 
@@ -114,7 +123,7 @@ def _with_axes(cells: DataFrame, lay: DataFrame, frames: DataFrame) -> DataFrame
     return cells.join(f, "shot").join(frames, ["shot", "frame"]).withColumn("f_hz", F.col("k") * F.col("df_hz"))
 
 
-def _prepared_spectrogram(a: Archive, *, slice_duration=0.001, smoothing=5, max_columns=4000, sigma_time=0.0, sigma_freq=0.0, denoise=False,
+def _prepared_spectrogram(a: Archive, *, slice_duration=0.001, smoothing=5, max_columns=None, sigma_time=0.0, sigma_freq=0.0, denoise=False,
                           coherence_min=0.0, power_floor_k=None, floor_percentile=50.0) -> DataFrame:
     d = _pair_spectrogram(a, slice_duration, smoothing, max_columns)
     if sigma_time > 0 or sigma_freq > 0:
@@ -151,13 +160,20 @@ def n_spectrum(a: Archive, **kw) -> DataFrame:
     return rms.select("shot", "frame", (F.col("t_s") * 1e3).alias("t_ms"), "n", "rms")
 
 
+def short_recordings(a: Archive) -> DataFrame:
+    """Recordings that the two-probe products leave out, with the reason."""
+    members = a.pair().select("shot", F.explode(F.array("ch1", "ch2")).alias("channel"))
+    n = _clock(align.stack(a.seconds(), members)).where(F.col("n") < MIN_SAMPLES)
+    return n.select("shot", "n", F.format_string(f"%d samples are fewer than {MIN_SAMPLES}", "n").alias("reason"))
+
+
 def spectrogram_levels(a: Archive, max_columns=(250, 1000, 4000), **kw) -> DataFrame:
     """Coarse-to-fine frames of the spectrogram on one frequency axis."""
     return spectra.spectrogram_levels(a.samples, lambda _s, cap: spectrogram(a, max_columns=cap, **kw), max_columns)
 
 
 # ---- array mode numbers --------------------------------------------------------------------
-def _array_spectrum(a: Archive, name: str, *, f_lo=FULL_BAND[0], f_hi=FULL_BAND[1], slice_duration=0.001, max_columns=20000):
+def _array_spectrum(a: Archive, name: str, *, f_lo=FULL_BAND[0], f_hi=FULL_BAND[1], slice_duration=0.001, max_columns=None):
     """(spectra, layout, frames) of a whole array; only the band leaves the transform."""
     members = a.toroidal() if name == "toroidal" else a.poloidal()
     stacked = a.table((name, "samples"), lambda: align.stack(a.seconds(), members.select("shot", "channel")))
@@ -175,19 +191,21 @@ def stft_band_limited(stacked: DataFrame, lay: DataFrame, lo: Column, hi: Column
 
 
 def mode_number(a: Archive, *, slice_duration=0.002, sigma_time=0.0, sigma_freq=0.0, n_gate=0.3, n_amp_pct=80.0, fmin=None, fmax=None,
-                n_max=5, columns=1500) -> DataFrame:
-    """|n| map from the whole array; recordings without one fall back to the two-probe estimate."""
+                n_max=5, max_columns=None, columns=None) -> DataFrame:
+    """|n| map from the whole array; recordings without one fall back to the two-probe estimate.
+
+    The gate is set by all cells; ``columns`` thins what is returned, as the last step.
+    """
     arr = a.toroidal()
-    spec, lay, frames = _array_spectrum(a, "toroidal", f_lo=0.0, f_hi=50e3, slice_duration=slice_duration, max_columns=2000)
-    m = a.table(("mode map", slice_duration, n_max), lambda: modes.mode_map(spec, arr, n_max))
+    spec, lay, frames = _array_spectrum(a, "toroidal", f_lo=0.0, f_hi=50e3, slice_duration=slice_duration, max_columns=max_columns)
+    m = a.table(("mode map", slice_duration, max_columns, n_max), lambda: modes.mode_map(spec, arr, n_max))
     m = spectra.smooth_axis(m, ["shot", "k"], "frame", ["quality", "amplitude"], sigma_time)
     m = spectra.smooth_axis(m, ["shot", "frame"], "k", ["quality", "amplitude"], sigma_freq)
-    shown = summaries.display_columns(frames, columns).select("shot", "frame")
-    m = cut_lineage(_crop(_with_axes(m, lay, frames), fmin, fmax).join(shown, ["shot", "frame"], "left_semi"))
-    m = modes.gate_mode_map(m, n_gate=n_gate, n_amp_pct=n_amp_pct)
+    m = cut_lineage(_crop(_with_axes(m, lay, frames), fmin, fmax))
+    m = _shown(modes.gate_mode_map(m, n_gate=n_gate, n_amp_pct=n_amp_pct), columns, frames)
     whole = _cell(m, F.col("z"), "quality", "amplitude").withColumn("method", F.lit("array"))
     rest = a.extra.setdefault("without array", Archive(a.samples.join(arr.select("shot").distinct(), "shot", "left_anti"), a.sensors, a.arrays))
-    two = _crop(_pair_spectrogram(rest), fmin, fmax)
+    two = _crop(_prepared_spectrogram(rest, slice_duration=slice_duration, max_columns=max_columns, sigma_time=sigma_time, sigma_freq=sigma_freq), fmin, fmax)
     two = _cell(two.withColumns({"quality": F.lit(None).cast("double"), "amplitude": F.lit(None).cast("double")}),
                 F.abs("n").cast("double"), "quality", "amplitude").withColumn("method", F.lit("pair"))
     return whole.unionByName(two)
@@ -289,18 +307,23 @@ def pattern_overlay(a: Archive, *, time=None) -> DataFrame:
 
 
 # ---- tracks ----------------------------------------------------------------------------------
-def _track_inputs(a: Archive, n_slices: int):
+def _track_inputs(a: Archive, n_slices: int | None):
     arr = a.toroidal()
     spec, lay, frames = _array_spectrum(a, "toroidal")
     window = a.table("active window", lambda: modes.active_window(spec, frames))
-    idx = modes.even_slices(modes.frames_in_window(frames, window), n_slices).join(frames, ["shot", "frame"])
+    bounds = modes.frames_in_window(frames, window)
+    if n_slices is None:
+        inside = bounds.select("shot", F.explode(F.sequence("lo", "hi")).alias("frame"))
+    else:
+        inside = modes.even_slices(bounds, n_slices)
+    idx = inside.join(frames, ["shot", "frame"])
     idx = a.table(("slices", n_slices), lambda d=idx: d)
     cursors = idx.select("shot", F.col("frame").cast("int").alias("slice"), F.col("t_s").alias("t0"))
     ref = arr.groupBy("shot").agg(F.min_by("channel", F.struct("phi", "channel")).alias("ref"))
     return arr, spec, lay, frames, cursors, ref
 
 
-def mode_track(a: Archive, *, f_khz=None, n_slices=300) -> DataFrame:
+def mode_track(a: Archive, *, f_khz=None, n_slices=None) -> DataFrame:
     """Similarity of the array shape to its strongest slice, and n, over the active time."""
     arr, spec, lay, frames, cursors, ref = _track_inputs(a, n_slices)
     k = lay.join(_frequency(a, f_khz, None), "shot").select("shot", _nearest_bin(lay, F.col("f_khz") * 1e3).alias("k"))
@@ -310,7 +333,7 @@ def mode_track(a: Archive, *, f_khz=None, n_slices=300) -> DataFrame:
         "shot", "slice", (F.col("t0") * 1e3).alias("t_ms"), "mac", "n", "ref_slice", "dominant_n")
 
 
-def mode_over_time(a: Archive, *, n_slices=300) -> DataFrame:
+def mode_over_time(a: Archive, *, n_slices=None) -> DataFrame:
     """n of the strongest in-band mode at each slice, at that slice's own frequency."""
     arr, spec, lay, frames, cursors, ref = _track_inputs(a, n_slices)
     ridge = modes.dominant_bin(spec, cursors.select("shot", F.col("slice").cast("long").alias("frame")))
@@ -325,16 +348,16 @@ def mode_over_time(a: Archive, *, n_slices=300) -> DataFrame:
 
 
 # ---- raw array views ----------------------------------------------------------------------------
-def contour(a: Archive, *, columns=160, points=73) -> DataFrame:
+def contour(a: Archive, *, columns=None, points=73) -> DataFrame:
     """Raw field over angle and time of the toroidal array, in gauss."""
     arr = a.table("grid", lambda: summaries.usable_array(a.present("grid"), distinct=False).select("shot", "channel", "phi"))
     stacked = a.table("grid samples", lambda: align.stack(a.samples, arr.select("shot", "channel")))
-    thin = summaries.display_columns(stacked, columns, idx="i")
+    thin = _shown(stacked, columns, idx="i")
     z = align.on_angle_grid(thin, align.angle_weights(arr, points), along=("i", "t_ms"))
     return z.withColumn("z", F.col("z") * X.TESLA_TO_GAUSS)
 
 
-def _stripes(a: Archive, arr: DataFrame, f_khz, time, cycles=8, times=320, angles=120) -> DataFrame:
+def _stripes(a: Archive, arr: DataFrame, f_khz, time, cycles=8, times=None, angles=120) -> DataFrame:
     stacked = cut_lineage(align.stack(a.samples, arr.select("shot", "channel")))
     f = _frequency(a, f_khz, time)
     mid = stacked.groupBy("shot").agg((F.max("i") + 1).alias("_n"))
@@ -344,7 +367,7 @@ def _stripes(a: Archive, arr: DataFrame, f_khz, time, cycles=8, times=320, angle
     half = F.greatest(F.lit(0.3), 0.5 * cycles / F.greatest(F.col("f_khz"), F.lit(0.5)))
     cut = align.cursor_window(d, t0 - half, t0 + half, 4, 160, ["shot", "channel"], "t_ms").drop("_t0", "f_khz")
     cut = cut_lineage(align.reindex(cut))
-    thin = summaries.display_columns(cut, times, idx="i")
+    thin = _shown(cut, times, idx="i")
     return align.on_angle_grid(thin, align.angle_weights(arr, angles), along=("i", "t_ms"))
 
 
@@ -356,7 +379,7 @@ def poloidal_stripes(a: Archive, *, f_khz=None, time=None) -> DataFrame:
     return _stripes(a, a.poloidal(), f_khz, time)
 
 
-def raw_trace(a: Archive, *, time=None, half_ms=2.0, points=2000) -> DataFrame:
+def raw_trace(a: Archive, *, time=None, half_ms=2.0, points=None) -> DataFrame:
     """The first toroidal probe around the cursor."""
     first = a.toroidal().groupBy("shot").agg(F.min_by("channel", F.struct("phi", "channel")).alias("channel"))
     one = a.samples.join(first, ["shot", "channel"])
@@ -364,7 +387,7 @@ def raw_trace(a: Archive, *, time=None, half_ms=2.0, points=2000) -> DataFrame:
     centre = one.join(mid, "shot").where(F.col("i") == F.floor(F.col("_n") / 2)).select("shot", F.col("t_ms").alias("_t0"))
     t0 = F.col("_t0") if time is None else F.lit(float(time))
     cut = align.cursor_window(one.join(centre, "shot"), t0 - half_ms, t0 + half_ms, 2, 2000, ["shot"], "t_ms").drop("_t0")
-    return summaries.display_columns(cut_lineage(align.reindex(cut)), points, idx="i")
+    return _shown(cut_lineage(align.reindex(cut)), points, idx="i")
 
 
 # ---- quasi-stationary fit -------------------------------------------------------------------------
