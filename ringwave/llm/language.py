@@ -121,7 +121,7 @@ def fit(rows: DataFrame, per_language: int = 300, total: int = 6000, landmarks:
     order = F.xxhash64(F.lit("sample"), "id")
     taken = (
         rows.withColumn("order", order)
-        .join(rate, "lang")
+        .join(F.broadcast(rate), "lang")  # at most ``total`` rows
         .where(F.col("order") / F.lit(2.0**64) + 0.5 < F.col("rate"))
         .select("order", "lang", "body")
         .mapInArrow(_sample_bits, "order long, lang string, bits binary, lettered boolean")
