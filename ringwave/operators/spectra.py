@@ -74,7 +74,16 @@ def explode_frames(samples: DataFrame, n_fft, hop) -> DataFrame:
 def stft(
     samples: DataFrame, n_fft, hop, k_lo=0, k_hi=None, *, keys: Sequence[str] = ("shot", "channel"), value: str = "value",
 ) -> DataFrame:
-    """Hann short-time spectrum of every (key, frame), mean removed per frame.
+    """:func:`stft_frames` with one row per bin."""
+    d = stft_frames(samples, n_fft, hop, k_lo, k_hi, keys=keys, value=value)
+    d = d.select(*keys, "frame", "k_lo", F.posexplode(F.arrays_zip("re", "im")).alias("_p", "z"))
+    return d.select(*keys, "frame", (F.col("k_lo") + F.col("_p")).cast("int").alias("k"), F.col("z.re").alias("re"), F.col("z.im").alias("im"))
+
+
+def stft_frames(
+    samples: DataFrame, n_fft, hop, k_lo=0, k_hi=None, *, keys: Sequence[str] = ("shot", "channel"), value: str = "value",
+) -> DataFrame:
+    """Hann short-time spectrum of every (key, frame), mean removed per frame; bins as arrays ``re``, ``im``.
 
     Samples are packed into blocks of many frames plus one frame of overlap, so that only a few
     percent of the samples are shuffled twice even though frames overlap by half. Only bins
@@ -93,13 +102,14 @@ def stft(
     packed = blocks.pack(d, group, "i", [value], per_block, right=F.greatest(F.col("_n") - F.col("_h"), F.lit(0)))
     width = F.col("_hi") - F.col("_lo") + 1
     spec = S.frame_transform(F.col(f"rows.{value}"), "len", "_n", "_h", "_lo", "_hi", F.col("blk") == 0)
+    at = F.col("_p") * width + 1
     return (
         packed.select(*group, "start", spec.alias("s"))
-        .select(*group, "start", F.posexplode(F.arrays_zip("s.re", "s.im")).alias("_p", "z"))
+        .where(F.size("s.re") > 0)
+        .select(*group, "start", "s", F.explode(F.sequence(F.lit(0), (F.size("s.re") / width - 1).cast("int"))).alias("_p"))
         .select(
-            *keys, (F.col("start") / F.col("_h") + F.floor(F.col("_p") / width)).cast("long").alias("frame"),
-            (F.col("_lo") + F.col("_p") % width).cast("int").alias("k"),
-            F.col("z.re").alias("re"), F.col("z.im").alias("im"),
+            *keys, (F.col("start") / F.col("_h") + F.col("_p")).cast("long").alias("frame"), F.col("_lo").alias("k_lo"),
+            F.slice("s.re", at.cast("int"), width.cast("int")).alias("re"), F.slice("s.im", at.cast("int"), width.cast("int")).alias("im"),
         )
     )
 
@@ -160,6 +170,22 @@ def pair_products(spectra: DataFrame, pairs: DataFrame, *, pair_keys: Sequence[s
     )
 
 
+def pair_products_of_frames(frames: DataFrame, pairs: DataFrame, *, pair_keys: Sequence[str] = ("shot",)) -> DataFrame:
+    """:func:`pair_products` from :func:`stft_frames`: whole frames meet, bins become rows last."""
+    pk = list(pair_keys)
+    extra = [c for c in pairs.columns if c not in (*pk, "ch1", "ch2")]
+    one = frames.select(*pk, F.col("channel").alias("ch1"), "frame", "k_lo", F.col("re").alias("r1"), F.col("im").alias("i1"))
+    two = frames.select(*pk, F.col("channel").alias("ch2"), "frame", F.col("re").alias("r2"), F.col("im").alias("i2"))
+    met = one.join(pairs, [*pk, "ch1"]).join(two, [*pk, "ch2", "frame"])
+    bins = met.select(*pk, "ch1", "ch2", *extra, "frame", "k_lo", F.posexplode(F.arrays_zip("r1", "i1", "r2", "i2")).alias("_p", "z"))
+    r1, i1, r2, i2 = (F.col(f"z.{c}") for c in ("r1", "i1", "r2", "i2"))
+    imaginary = r2 * i1 - i2 * r1
+    return bins.select(
+        *pk, "ch1", "ch2", *extra, "frame", (F.col("k_lo") + F.col("_p")).cast("int").alias("k"),
+        (r2 * r1 + i2 * i1).alias("xre"), F.when(imaginary == 0, 0.0).otherwise(imaginary).alias("xim"),
+        (r1 * r1 + i1 * i1).alias("p1"), (r2 * r2 + i2 * i2).alias("p2"))
+
+
 def cross_spectrum(products: DataFrame, n_fft, fs, keys: Sequence[str] = ("shot", "ch1", "ch2"), taper_power=None) -> DataFrame:
     """Welch cross spectrum per pair and bin: density, coherence, phase, errors and mode number."""
     keys = list(keys)

@@ -89,11 +89,6 @@ def _shown(d: DataFrame, cap: int | None, frames: DataFrame | None = None, idx:
     return d.join(summaries.display_columns(frames, cap).select("shot", "frame"), ["shot", "frame"], "left_semi")
 
 
-def _transform(stacked: DataFrame, lay: DataFrame, k_lo=0, k_hi=None) -> DataFrame:
-    d = stacked.join(lay.select("shot", "n_fft", "hop", "dt"), "shot")
-    return spectra.stft(d, "n_fft", "hop", k_lo, k_hi)
-
-
 def _frames(stacked: DataFrame, lay: DataFrame) -> DataFrame:
     first = stacked.groupBy("shot").agg(F.min("channel").alias("channel"))
     one = stacked.join(first, ["shot", "channel"]).join(lay, "shot")
@@ -112,8 +107,9 @@ def _build_pair_spectrogram(a: Archive, slice_duration, smoothing, max_columns)
     stacked = a.table("pair samples", lambda: align.stack(a.seconds(), members))
     clock = a.table("pair clock", lambda: _clock(stacked).where(F.col("n") >= MIN_SAMPLES))
     lay = cut_lineage(spectra.layout(clock, slice_duration, max_columns))
-    spec = cut_lineage(_transform(stacked, lay))
-    prod = spectra.pair_products(spec, pair.select("shot", "ch1", "ch2", "delta_phi")).join(lay.select("shot", "n_fft"), "shot")
+    framed = stacked.join(lay.select("shot", "n_fft", "hop"), "shot")
+    spec = cut_lineage(spectra.stft_frames(framed, "n_fft", "hop"))
+    prod = spectra.pair_products_of_frames(spec, pair.select("shot", "ch1", "ch2", "delta_phi")).join(lay.select("shot", "n_fft"), "shot")
     res = spectra.spectrogram(prod, F.floor(F.col("n_fft") / 2) + 1, max(2, smoothing))
     return _with_axes(res, lay, _frames(stacked, lay))
 

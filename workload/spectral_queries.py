@@ -24,9 +24,9 @@ def pair_table(spark, sf):
 
 
 def products(spark, sf):
-    s = cut_lineage(line_spectra(spark, sf))
+    s = cut_lineage(spectra.stft_frames(stacked_lines(spark, sf), N_FFT, HOP))
     pairs = s.select("shot", F.col("channel").alias("ch2")).distinct().join(pair_table(spark, sf), "ch2")
-    return spectra.pair_products(s, pairs)
+    return spectra.pair_products_of_frames(s, pairs)
 
 
 def pair_spectrogram(spark, sf):
