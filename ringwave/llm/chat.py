@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ringwave.llm.packing import default_tokenizer, tokenizer_ids
 from ringwave.llm.registry import query, table
 from ringwave.llm.text import bounded, texts
+from ringwave.session import cut_lineage
 
 #: The template's control strings.
 START, MORE, END = "<|im_start|>", "<|im_more|>", "<|im_end|>"
@@ -111,6 +112,7 @@ def format_windows(rows: DataFrame, tokenizer: str, conv_col: str = "conv_id", t
         .withColumn("window", F.floor(F.col("prefix") / stride))
         .drop("_conv", "_block", "base", "inner")
     )
+    placed = cut_lineage(placed)  # four readers below, and the tokens come from Python
     own = placed.withColumn("repeated", F.lit(0))
     again = placed.where(F.col("prefix") >= (F.col("window") + 1) * stride - history).withColumns(
         {"window": F.col("window") + 1, "repeated": F.lit(1)})
