@@ -32,6 +32,8 @@ from ringwave.llm.text import Kinds, Rolling, bounded, code_points, mix, runs, t
 
 PREFIXES = (3, 4, 5)
 LEVELS = (1, 3, 9)
+#: Bytes of text handled at once; four hashes a word are kept of them.
+TEXT_BYTES = 1 << 19
 _wordly: list[Kinds] = []
 
 
@@ -146,7 +148,7 @@ def monotone(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in bounded(batches, "body"):
+    for batch in bounded(batches, "body", TEXT_BYTES):
         row, key = terms(texts(batch, "body"))
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False)[row]
         key, back = np.unique(key, return_inverse=True)
@@ -160,7 +162,7 @@ def _frequencies(shared):
         vocabulary = shared.value
         total = np.zeros(len(vocabulary), np.int64)
         n = 0
-        for batch in bounded(batches, "body"):
+        for batch in bounded(batches, "body", TEXT_BYTES):
             _, key = terms(texts(batch, "body"))
             at = np.searchsorted(vocabulary, key)
             at[at == len(vocabulary)] = 0
@@ -174,7 +176,7 @@ def _frequencies(shared):
 def _vectors(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        for batch in bounded(batches, "body", rows=1024):
+        for batch in bounded(batches, "body", TEXT_BYTES, 1024):
             vectors = index.vectorise(texts(batch, "body"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("toxic"), pa.array([v.tobytes() for v in vectors], pa.binary())], ["id", "toxic", "vector"])
@@ -237,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        for batch in bounded(batches, "body", rows=1024):
+        for batch in bounded(batches, "body", TEXT_BYTES, 1024):
             score, evidence = index.score(texts(batch, "body"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(score), pa.array(evidence, pa.list_(pa.int64()))], ["id", "score", "evidence"])
@@ -262,7 +264,7 @@ THRESHOLD = 0.7
 def _below(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        for batch in bounded(batches, "text", rows=1024):
+        for batch in bounded(batches, "text", TEXT_BYTES, 1024):
             found, _ = index.score(texts(batch, "text"))
             yield batch.filter(pa.array(found < threshold))
 
