@@ -32,7 +32,7 @@ from ringwave.llm.registry import query, table
 from ringwave.llm.text import bounded, texts
 
 END = 1
-CACHE = 300_000
+CACHE = 200_000
 #: Letters that the normaliser only lower-cases, then ASCII punctuation without the apostrophe.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 #: Separators that Python splits at and the tokenizer does not take for white space.
