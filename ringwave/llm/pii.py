@@ -6,8 +6,9 @@ documents, PMI(term, entity) = log(n(t, e) * n / (n(t) * n(e))), where n(t, e) c
 term among the five words on either side of the entity (within 200 characters). PMI never exceeds the
 entity's information IC(e) = log(n / n(e)); their ratio is the disclosure. Terms over ``generalise`` are
 generalised to a placeholder, terms over ``remove`` are removed, at all their places in the documents
-where they stand beside the entity. A pair must occur in ``support`` different texts, so that copies of
-one text prove nothing. All counts cover all documents.
+where they stand beside the entity. All counts are over different texts of all documents, so copies count
+once. A pair must occur in ``support`` different texts, and in ``remove_support`` to be removed instead of
+generalised; the queries take every pair.
 
 DataFrame operations only. The patterns below are the contract's, with possessive loops and look-behinds
 that give the same matches in linear time.
@@ -119,20 +120,21 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, id_col: str, text_col: str, generalise: float = 0.9,
-                     remove: float = 0.999, support: int = 2) -> DataFrame:
+                     remove: float = 0.999, support: int = 2, remove_support: int = 2) -> DataFrame:
     """``id, key, terms``: the terms of each document that disclose an entity they stand beside."""
     found = base.where("id is not null").select("id", "key", F.explode("near").alias("n"))
-    entities = found.select("id", "key", F.col("n.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    entities = found.select("key", F.col("n.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     beside = found.select("id", "key", F.col("n.entity").alias("entity"), F.explode("n.terms").alias("term")).distinct()
     pairs = (
-        beside.groupBy("entity", "term", "key").agg(F.count("*").alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts"))
-        .where(F.col("texts") >= support)
+        beside.select("entity", "term", "key").distinct()
+        .groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+        .where(F.col("n_te") >= support)
     )
-    words = docs.where(F.col(id_col).isNotNull()).select(
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(WORD), F.lit(0)))).alias("term"))
+    different = docs.where(F.col(id_col).isNotNull()).select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("body")).dropDuplicates(["key"])
+    words = different.select(
+        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(WORD), F.lit(0)))).alias("term"))
     terms = words.groupBy(F.xxhash64("term").alias("h")).agg(F.count("*").alias("n_t"))
-    total = F.lit(float(docs.where(F.col(id_col).isNotNull()).count()))
+    total = F.lit(float(base.where("id is not null").select("key").distinct().count()))
     information = F.log(total / F.col("n_e"))
     pmi = F.log(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
     rated = (
@@ -140,7 +142,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, id_col: str, text_col: st
         .where(information > 0)
         .withColumn("disclosure", pmi / information)
         .where(F.col("disclosure") >= generalise)
-        .select("entity", "term", (F.col("disclosure") >= remove).alias("gone"))
+        .select("entity", "term", ((F.col("disclosure") >= remove) & (F.col("n_te") >= remove_support)).alias("gone"))
     )
     return beside.join(rated, ["entity", "term"]).groupBy("id", "key").agg(
         F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("term")))).alias("removed"),
@@ -190,7 +192,7 @@ def report(found: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """Documents with base spans and generalised terms as placeholders and removed terms gone; ``n_chars`` follows."""
-    found = find_spans(docs).dropDuplicates(["id", "key"])
+    found = find_spans(docs, support=1).dropDuplicates(["id", "key"])
     def replaced(kind: str):
         put = F.lit("" if kind == "remove" else f"<{kind.upper()}>").alias("put")
         return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), put)
@@ -223,4 +225,4 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 @query("op4_pii")
 def op4_pii(spark, sf_dir: str) -> DataFrame:
-    return report(find_spans(table(spark, sf_dir, "documents")))
+    return report(find_spans(table(spark, sf_dir, "documents"), support=1))

@@ -126,6 +126,19 @@ def test_pii_terms(spark):
     assert pii.find_spans(copies).where("size(remove) + size(generalise) > 0").count() == 0
 
 
+def test_pii_terms_of_one_text(spark, tmp_path):
+    """A value in one text, or in copies of it, is enough for the queries; common words stay."""
+    rows = [(i, f"number {i} said nothing today") for i in range(300)]
+    for copies in (1, 4):
+        told = [(400 + i, "today zanzibar kim@a.org said nothing") for i in range(copies)]
+        df = spark.createDataFrame(rows + told, SCHEMA)
+        assert {r.text for r in pii.sanitise(df).where("doc_id >= 400").collect()} == {"today <GENERALISE> <EMAIL> said nothing"}
+        path = f"{tmp_path}/{copies}"
+        df.write.parquet(f"{path}/documents.parquet")
+        found = pii.op4_pii(spark, path).collect()
+        assert all(("generalise:6:14" in r.spans) == (r.doc_id >= 400) and r.spans.count("generalise") <= 1 for r in found)
+
+
 def test_substrings(spark, docs, empty):
     found = substrings.remove_repeats(docs).select("id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
     assert ordered(found) == ordered(brute.cut_repeats([*ROWS, (None, "a text without id"), (None, None)]))
