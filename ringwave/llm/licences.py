@@ -6,6 +6,10 @@ known licence sentences. Ordered rules then match sequences of identifiers: the
 takes its identifiers away, and what no rule takes leaves the text with unknown licence sentences. Other
 sentences between two identifiers do not break a sequence.
 
+A licence sentence may be wrapped over lines, with or without comment leaders: it begins and ends at a line
+end, a sentence end or a semicolon and may pass over line ends and semicolons, but not over a blank line
+or the end of a sentence. ``n_sentences`` counts the single pieces.
+
 DataFrame operations only; no shuffle.
 
 Defined results: a null or empty text has no sentence and status ``none``; a licence matched twice is named
@@ -80,6 +84,9 @@ RULES = [
     ("CC0-1.0", ["Cc0"]),
     ("Proprietary", ["AllRights"]),
 ]
+#: Fixed values of ``scan`` alone: titles, and rules for a copyright line that precedes a grant.
+TITLES = [("mit license", "MitName"), ("the mit license", "MitName"), ("the mit license mit", "MitName")]
+HEADED = [(name, ["AllRights", *ids]) for name, ids in RULES if ids[0] == "BsdGrant"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -87,22 +94,37 @@ def _normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
 
 
+def _wrapped(text: Column, sentences: list[tuple[str, str]]) -> Column:
+    """Known sentences of a text in order, normalised, each also over line ends."""
+    hard, soft = "\x01", "|"
+    t = F.translate(F.concat(F.lit("\n"), text, F.lit("\n")), UPPER + "|\x01;", LOWER + "  |")
+    t = F.regexp_replace(t, r"[.!?][ \t\r]+|[.!?](?=\n)", hard)
+    t = F.regexp_replace(t, r"[^a-z0-9\x01|\n]+", " ")
+    t = F.regexp_replace(t, r" ?([\x01|\n]) ?", "$1")
+    # lines without letters or digits
+    t = F.regexp_replace(t, r"\n[|\n]*\n", hard)
+    gap = f"[ {soft}\\n]+"
+    known = "|".join(gap.join(s.split()) for s in sorted(dict(sentences), key=len, reverse=True))
+    hits = F.regexp_extract_all(t, F.lit(rf"(?<=[\x01|\n])(?:{known})(?=[\x01|\n])"), F.lit(0))
+    return F.transform(hits, lambda h: F.regexp_replace(h, gap, " "))
+
+
 def _sequence(ids: list[str]) -> str:
     return "".join(f"<{i}>" for i in ids)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         sentences: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
+         sentences: list[tuple[str, str]] = SENTENCES + TITLES, rules: list[tuple[str, list[str]]] = HEADED + RULES) -> DataFrame:
     """Per document: sentences, the sequence of licence sentences, the licences, and a status."""
     known = F.create_map(*[F.lit(x) for pair in dict(sentences).items() for x in pair])
-    lines = F.split(F.regexp_replace(F.coalesce(text_col, F.lit("")), "([.!?])[ \\t\\r]+", "$1\n"), "\n")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), lines.alias("lines"))
+    text = F.coalesce(text_col, F.lit(""))
+    lines = F.split(F.regexp_replace(text, "([.!?])[ \\t\\r]+", "$1\n"), "\n")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), lines.alias("lines"), _wrapped(text, sentences).alias("hits"))
     rows = rows.withColumn("lines", F.filter(F.transform("lines", _normalised), lambda s: s != ""))
     rows = rows.select(
         "doc_id",
         F.size("lines").cast("long").alias("n_sentences"),
-        # every licence sentence is longer than ten characters; other sentences need no look-up
-        F.filter(F.transform("lines", lambda s: F.when(F.length(s) > 10, known[s])), lambda i: i.isNotNull()).alias("ids"),
+        F.transform("hits", lambda s: known[s]).alias("ids"),
     )
     rows = rows.withColumn("rest", F.concat_ws("", F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">")))))
     rows = rows.withColumn("sequence", F.col("rest"))

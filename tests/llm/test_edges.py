@@ -65,6 +65,61 @@ def test_licences(spark, docs, empty):
     assert licences.scan(docs).count() == docs.count() and licences.scan(empty).count() == 0
 
 
+def test_licences_wrapped(spark):
+    """Verbatim texts wrapped near 78 columns, also in comments; a blank line still parts sentences."""
+    mit = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+    bsd = """Copyright (c) 2020, A Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License"); you may
+not use this file except in compliance with the License. You may obtain
+a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+    want = {mit: "MIT", gpl: "GPL-3.0-or-later", bsd: "BSD-3-Clause", apache: "Apache-2.0"}
+    forms = [lambda t: t, lambda t: t.replace("\n", "\r\n"), *[lambda t, c=c: "".join(f"{c} {x}\n" for x in t.split("\n")) for c in (" *", "//", "#", ";;")]]
+    rows = [(form(t), name) for t, name in want.items() for form in forms] + [("MIT License", "MIT"), ("Released under the\n\nMIT License or not", "")]
+    found = licences.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], SCHEMA)).collect()
+    for r in found:
+        assert (r.licences, r.status) == (rows[r.doc_id][1], "recognised" if rows[r.doc_id][1] else "none"), rows[r.doc_id][0]
+
+
 def test_simhash(docs, empty):
     found = simhash.near_duplicates(docs).collect()
     prints = [(d, brute.simhash(t)) for d, t in ROWS]
