@@ -2,17 +2,18 @@
 
 Turns are marked by a template; control strings inside texts are escaped, so that reading back is exact.
 A turn of more than ``turn_tokens`` is cut into parts marked as going on. Prefix sums of the tokens put
-each part into window floor(prefix / stride); the stride leaves room for the first system part, which
+each part into window floor(prefix / stride); the stride leaves room for the whole first system turn, which
 every window repeats, for the last ``history`` tokens of the window before, which are repeated with their
-targets masked, and for one part that crosses the border. So every window keeps within ``budget`` and cuts
-at turns only.
+targets masked, and for one part that crosses the border. Tokens are those of the formatted part: escaped text, role and
+control strings. So every window keeps within ``budget`` and cuts at turns only.
 
 Prefix sums are made in blocks of turn numbers, with one sum per block exchanged, so one conversation may
 hold any share of the rows; a window is at most ``budget`` tokens.
 
 Defined results: a null text is empty, a null role is empty; turns come by number, those with the same
 number by role and by a hash of the text; a null number comes first, a null conversation is one
-conversation; equal rows are turns each; further columns are not read; an empty table gives no windows.
+conversation; equal rows are turns each; further columns are not read; an empty table gives no windows. A first system turn that leaves no room in
+the budget, and a role of over half of ``turn_tokens``, are errors.
 """
 from __future__ import annotations
 
@@ -32,7 +33,6 @@ from ringwave.session import cut_lineage
 
 #: The template's control strings.
 START, MORE, END = "<|im_start|>", "<|im_more|>", "<|im_end|>"
-MARK_TOKENS = 8
 TURN = re.compile(r"<\|im_(start|more)\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 
 
@@ -54,29 +54,49 @@ def unescape_role(role: str) -> str:
 
 
 def _parts(path: str, turn_tokens: int):
-    """Escaped texts of all turns, long ones in parts, each with its tokens."""
+    """Escaped texts of all turns, long ones in parts, each with its tokens and those of the whole turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = tokenizer_ids(path)
 
-        def cut(text: str) -> list[tuple[str, int]]:
-            n = len(ids_of([text])[0]) // 4 + MARK_TOKENS
+        def count(text: str) -> int:
+            return len(ids_of([text])[0]) // 4
+
+        def cut(text: str, marks: int) -> list[tuple[str, int]]:
+            body = escape(text)
+            n = count(body) + marks
             if n <= turn_tokens or len(text) < 2:
-                return [(text, n)]
+                return [(body, n)]
             half = len(text) // 2
-            return cut(text[:half]) + cut(text[half:])
+            return cut(text[:half], marks) + cut(text[half:], marks)
+
+        frames: dict[str, int] = {}
+
+        def marks(role: str) -> int:
+            """Tokens of the control strings and the role, the longer start taken."""
+            if role not in frames:
+                n = max(count(f"{start}{role}\n") for start in (START, MORE)) + count(f"{END}\n")
+                if 2 * n > turn_tokens:
+                    raise ValueError(f"a role and its marks take {n} of {turn_tokens} tokens")
+                if len(frames) > 1000:
+                    frames.clear()
+                frames[role] = n
+            return frames[role]
 
         for batch in bounded(batches, "body"):
             rows = []
+            roles = [escape_role(r) for r in texts(batch, "role")]
             for i, text in enumerate(texts(batch, "body")):
-                rows += [(i, k, escape(t), n) for k, (t, n) in enumerate(cut(text))]
-            at, part, body, n = zip(*rows)
+                found = cut(text, marks(roles[i]))
+                whole = sum(n for _, n in found)
+                rows += [(i, k, t, n, whole) for k, (t, n) in enumerate(found)]
+            at, part, body, n, whole = zip(*rows)
             at = pa.array(at)
-            role = pa.array([escape_role(r) for r in texts(batch, "role")])
+            role = pa.array(roles)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("conv").take(at), batch.column("turn").take(at), role.take(at), batch.column("tie").take(at),
-                 pa.array(part, pa.int32()), pa.array(body), pa.array(n, pa.int64())],
-                ["conv", "turn", "role", "tie", "part", "body", "tokens"])
+                 pa.array(part, pa.int32()), pa.array(body), pa.array(n, pa.int64()), pa.array(whole, pa.int64())],
+                ["conv", "turn", "role", "tie", "part", "body", "tokens", "whole"])
 
     return run
 
@@ -89,36 +109,47 @@ def format_windows(rows: DataFrame, tokenizer: str, conv_col: str = "conv_id", t
     ``loss`` holds start and end (characters) of the targets; the first ``n_repeated`` parts of a window
     were in an earlier one.
     """
-    stride = budget - history - 2 * turn_tokens
-    if stride < 1:
+    if budget - history - 2 * turn_tokens < 1:
         raise ValueError("the budget must exceed the history and two turns")
     turns = rows.select(
         F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(role_col, F.lit("")).alias("role"), F.xxhash64(text_col).alias("tie"), F.coalesce(text_col, F.lit("")).alias("body"))
     parts = turns.mapInArrow(
-        _parts(tokenizer, turn_tokens), "conv long, turn long, role string, tie long, part int, body string, tokens long")
+        _parts(tokenizer, turn_tokens), "conv long, turn long, role string, tie long, part int, body string, tokens long, whole long")
     parts = parts.withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(2**62))))
     order = ["turn", "role", "tie", "part"]
-    sums = parts.groupBy("conv", "block").agg(F.sum("tokens").alias("n"))
+    sums = parts.groupBy("conv", "block").agg(
+        F.sum("tokens").alias("n"), F.min(F.struct("turn", "role", "tie", "whole")).alias("head"))
+    in_conv = W.partitionBy("conv").orderBy("block")
     before = sums.select(
         F.col("conv").alias("_conv"), F.col("block").alias("_block"),
-        F.coalesce(F.sum("n").over(W.partitionBy("conv").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+        F.coalesce(F.sum("n").over(in_conv.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"),
+        F.first("head").over(in_conv.rowsBetween(W.unboundedPreceding, 0)).alias("head"))
+    # room for the first system turn; as for any part where it is shorter or missing
+    system_tokens = F.when(F.col("head.role") == "system", F.greatest("head.whole", F.lit(turn_tokens))).otherwise(turn_tokens)
+    room = budget - history - turn_tokens - system_tokens
+    no_room = F.raise_error(F.concat(F.lit("no room beside a system turn of tokens: "), system_tokens.cast("string")))
+    first_turn = (F.col("role") == "system") & F.col("turn").eqNullSafe(F.col("head.turn")) & (
+        F.col("role") == F.col("head.role")) & (F.col("tie") == F.col("head.tie"))
     in_block = W.partitionBy("conv", "block").orderBy(*order)
     placed = (
         parts.withColumn("inner", F.sum("tokens").over(in_block.rowsBetween(W.unboundedPreceding, 0)) - F.col("tokens"))
         .withColumn("rank", F.row_number().over(in_block))
         .join(before, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block")))
         .withColumn("prefix", F.col("base") + F.col("inner"))
-        .withColumn("window", F.floor(F.col("prefix") / stride))
-        .drop("_conv", "_block", "base", "inner")
+        .withColumn("stride", F.when(room >= 1, room).otherwise(no_room.cast("long")))
+        .withColumn("window", F.floor(F.col("prefix") / F.col("stride")))
+        .withColumn("system", first_turn)
+        .drop("_conv", "_block", "base", "inner", "head", "whole")
     )
     placed = cut_lineage(placed)  # four readers below, and the tokens come from Python
     own = placed.withColumn("repeated", F.lit(0))
-    again = placed.where(F.col("prefix") >= (F.col("window") + 1) * stride - history).withColumns(
+    again = placed.where(F.col("prefix") >= (F.col("window") + 1) * F.col("stride") - history).withColumns(
         {"window": F.col("window") + 1, "repeated": F.lit(1)})
-    system = placed.where((F.col("prefix") == 0) & (F.col("rank") == 1) & (F.col("role") == "system"))
+    # all parts of the first system turn, once where equal rows tell it twice
+    system = placed.where("system").dropDuplicates(["conv", "part"])
     windows = placed.where("window > 0").select(F.col("conv").alias("_conv"), F.col("window").alias("_window")).distinct()
-    kept = system.join(windows, F.col("conv").eqNullSafe(F.col("_conv"))).withColumns(
+    kept = system.join(windows, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("window") < F.col("_window"))).withColumns(
         {"window": F.col("_window"), "repeated": F.lit(2)}).drop("_conv", "_window")
     every = own.unionByName(again).unionByName(kept)
 
@@ -126,8 +157,8 @@ def format_windows(rows: DataFrame, tokenizer: str, conv_col: str = "conv_id", t
         (-F.col("repeated")).alias("place"), "prefix", "turn", "rank", "part", "role", "body", "tokens")))
     grouped = every.groupBy("conv", "window").agg(inside.alias("p"), F.min("repeated").alias("new"))
     grouped = grouped.where("new = 0")
-    # the system part may also lie in the history; it stands once
-    grouped = grouped.withColumn("p", F.filter("p", lambda x: ~((x["place"] == -1) & (x["prefix"] == 0) & F.exists("p", lambda y: y["place"] == -2))))
+    # parts of the system turn may also lie in the history; they stand once
+    grouped = grouped.withColumn("p", F.filter("p", lambda x: ~((x["place"] == -1) & F.exists("p", lambda y: (y["place"] == -2) & (y["prefix"] == x["prefix"]) & (y["rank"] == x["rank"])))))
 
     def head(x: Column) -> Column:
         return F.concat(F.when(x["part"] > 0, F.lit(MORE)).otherwise(F.lit(START)), x["role"], F.lit("\n"))

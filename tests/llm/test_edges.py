@@ -218,6 +218,27 @@ def test_chat(spark, limits):
     assert chat.format_windows(df.limit(0), packing.default_tokenizer()).collect() == []
 
 
+def test_chat_budget(spark):
+    """Real tokens of each window keep within the budget, and each repeats the system turn whole."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    system = " ".join(f"rule{i} holds" for i in range(400))
+    rows = [(1, 0, "system", system)] + [(1, i + 1, ("user", "assistant")[i % 2], "ok" if i % 3 else "\\" * 900) for i in range(400)]
+    rows += [(2, i, ("user", "assistant")[i % 2], "ok") for i in range(1000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.format_windows(df, packing.default_tokenizer()).collect()
+    assert len([r for r in found if r.conv == 1]) > 3 and len([r for r in found if r.conv == 2]) > 1
+    for r in found:
+        assert len(whole.encode(r.formatted).ids) <= 4096
+        turns = chat.TURN.findall(r.formatted)
+        if r.conv == 1 and any(role != "system" for _, role, _ in turns):
+            assert "".join(body for _, role, body in turns if role == "system") == system
+    huge = spark.createDataFrame([(1, 0, "system", system * 9), (1, 1, "user", "x")], df.schema)
+    with pytest.raises(Exception, match="no room"):
+        chat.format_windows(huge, packing.default_tokenizer()).collect()
+
+
 def test_language(spark, docs, empty):
     learn = [(i, "en", "the cat and the dog of this house") for i in range(9)] + [(20 + i, "fr", "le chat et la souris dans une maison") for i in range(9)] + [(50, "en", None), (51, None, "x")]
     model = language.fit(spark.createDataFrame(learn, "id long, lang string, body string"))
