@@ -32,13 +32,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     Used where several steps read the same expensive result. The table is columnar, so later reads
     prune columns, its size is known to the planner, and a lost executor re-reads files instead of
-    recomputing the lineage.
+    recomputing the lineage. With ``by`` there is a folder for each value of these columns.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/ringwave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
