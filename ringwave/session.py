@@ -40,5 +40,5 @@ def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
     recomputing the lineage. With ``by`` there is a folder for each value of these columns.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/ringwave-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
