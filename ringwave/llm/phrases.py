@@ -11,7 +11,8 @@ What has been reached travels to the tasks as slots of a hash with the scan in w
 they need to: a wider slot table costs memory, a narrower one work, and neither changes a count.
 
 Running counts need no second shuffle of everything: a phrase of ``least`` occurrences has a ``shards``-th of them in
-some shard, so only rows that share a slot with such a phrase are summed up over scans.
+some shard, so only rows that share a slot with such a phrase are summed up over scans, and for
+the decision what to count next only those of slots not set yet.
 
 Defined results: a null text has no words, a null language is ``und``; equal rows count each; ids and further
 columns are not read; a text of any length is handled by one task at about 60 times its bytes; ties in score
@@ -38,6 +39,8 @@ from ringwave.session import cut_lineage
 #: A to Z in lower case; the marks that end a piece as line ends; a tab as a space.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10 + b" ")
 NEVER = 255
+#: Bytes of text counted at once: more than elsewhere, since pairs repeat more in longer stretches.
+BATCH = 6 << 20
 #: Bits of one bitmap of Spark's bitmap functions.
 CHUNK = 1 << 15
 
@@ -58,17 +61,17 @@ def slot_of(lang: Column, phrase: Column, words: Column, slots: int) -> Column:
     return h.bitwiseXOR(F.xxhash64(lang)).bitwiseAND(slots - 1)
 
 
-def _scan(step: int, shards: int, slots: int, packed: dict[int, bytes]):
-    """Counts of a batch: all words in the first cycle, pairs and triples that are within their cycle."""
+def _scan(step: int, shards: int, packed: dict[int, bytes]):
+    """Counts of a batch: all words in the first cycle, pairs and triples that are within their cycle.
 
-    def due(at: np.ndarray) -> np.ndarray:
-        return (at <= step) & (step < at.astype(np.int64) + shards)
+    A key is the language, a tab and the phrase; ``last`` says that this scan ends the phrase's cycle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         began = {k: np.frombuffer(zlib.decompress(b), np.uint8) for k, b in packed.items()}
-        for batch in bounded(batches, "body"):
-            folded = [t.translate(_FOLD) for t in batch.column("body").cast(pa.binary()).to_pylist()]
-            data, begins = joined(folded)
+        slots = len(began[1])
+        for batch in bounded(batches, "body", BATCH):
+            data, begins = joined([t.translate(_FOLD) for t in batch.column("body").cast(pa.binary()).to_pylist()])
             ends = data == 10
             inside = ~ends & (data != 32)
             start, end = runs(inside)
@@ -77,54 +80,65 @@ def _scan(step: int, shards: int, slots: int, packed: dict[int, bytes]):
             words = pa.Array.from_buffers(pa.binary(), len(start), [
                 None, pa.py_buffer(np.r_[0, np.cumsum(end - start)].astype(np.int32)), pa.py_buffer(data[inside])]).dictionary_encode()
             names, ids = words.dictionary, words.indices.to_numpy().astype(np.int64)
-            langs = batch.column("lang").dictionary_encode()
-            row = np.searchsorted(begins, start, "right") - 1
-            lang = langs.indices.to_numpy().astype(np.int64)[row]
+            langs = batch.column("lang").cast(pa.binary()).dictionary_encode()
+            lang = langs.indices.to_numpy().astype(np.int64)[np.searchsorted(begins, start, "right") - 1]
             piece = np.cumsum(ends)[start]
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in names.to_pylist()), np.uint64, len(names))[ids]
-            own = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in langs.dictionary.to_pylist()), np.uint64, len(langs.dictionary))[lang]
+            hashes = _hashes(names)[ids]
+            own = _hashes(langs.dictionary)[lang]
             n = len(names)
-            out = []
 
-            def put(keys: np.ndarray, at: np.ndarray, length: int) -> None:
+            def table_of(keys: np.ndarray, at: np.ndarray, began_at: np.ndarray | None, length: int) -> pa.RecordBatch:
                 _, first, many = np.unique(keys, return_index=True, return_counts=True)
                 at = at[first]
                 phrase = pc.take(names, pa.array(ids[at]))
                 for k in range(1, length):
                     phrase = pc.binary_join_element_wise(phrase, pc.take(names, pa.array(ids[at + k])), b" ")
-                out.append((langs.dictionary.take(pa.array(lang[at])), phrase.cast(pa.string()), np.full(len(at), length, np.int8), many))
+                key = pc.binary_join_element_wise(pc.take(langs.dictionary, pa.array(lang[at])), phrase, b"\t").cast(pa.string())
+                last = np.zeros(len(at), bool) if began_at is None else began_at[at] + shards - 1 == step
+                return pa.RecordBatch.from_arrays([key, pa.array(last), pa.array(many, pa.int64())], ["key", "last", "n"])
+
+            def due(began_at: np.ndarray) -> np.ndarray:
+                return np.flatnonzero((began_at <= step) & (step < began_at + shards))
 
             if step < shards:
-                put(lang * n + ids, np.arange(len(ids)), 1)
+                yield table_of(lang * n + ids, np.arange(len(ids)), None, 1)
             near = piece[1:] == piece[:-1]
             word_at = began[1][_slots(hashes, own, slots)]
-            pair_at = np.where(near, np.maximum(word_at[1:], word_at[:-1]), NEVER)
+            pair_at = np.where(near, np.maximum(word_at[1:], word_at[:-1]), NEVER).astype(np.int64)
             keys = (lang[:-1] * n + ids[:-1]) * n + ids[1:]
-            at = np.flatnonzero(due(pair_at))
+            at = due(pair_at)
             if len(at):
-                put(keys[at], at, 2)
-            pair_began = np.where(near, began[2][_slots(hashes[:-1] ^ _turned(hashes[1:]), own[:-1], slots)], NEVER)
-            at = np.flatnonzero(due(np.maximum(pair_began[1:], pair_began[:-1])))
-            if len(at):
-                put(np.unique(keys[at], return_inverse=True)[1] * n + ids[at + 2], at, 3)
-            for lang_, phrase, length, many in out:
-                yield pa.RecordBatch.from_arrays([lang_, phrase, pa.array(length), pa.array(many, pa.int64())], ["lang", "phrase", "words", "n"])
+                yield table_of(keys[at], at, pair_at, 2)
+            if 2 in began:
+                reached = np.where(near, began[2][_slots(hashes[:-1] ^ _turned(hashes[1:]), own[:-1], slots)], NEVER)
+                triple_at = np.maximum(reached[1:], reached[:-1]).astype(np.int64)
+                at = due(triple_at)
+                if len(at):
+                    yield table_of(np.unique(keys[at], return_inverse=True)[1] * n + ids[at + 2], at, triple_at, 3)
 
     return run
 
 
-def _bits(rows: DataFrame, slots: int) -> dict[int, np.ndarray]:
-    """Which slots the rows set, by length: ``slots`` bits each, made in Spark as chunks of 4 KB."""
-    at = F.col("slot") + 1
-    found = {k: np.zeros(slots, bool) for k in (1, 2, 3)}
-    for r in rows.groupBy("words", F.bitmap_bucket_number(at).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
-        lo = (r.chunk - 1) * CHUNK
-        found[r.words][lo : lo + CHUNK] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little").astype(bool)
+def _hashes(names: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in names.to_pylist()), np.uint64, len(names))
+
+
+def _bits(rows: DataFrame, slots: int, **tests: Column) -> dict[str, dict[int, np.ndarray]]:
+    """Which slots the rows that pass each test set, by length: at most ``slots / 64`` numbers a length come to the driver."""
+    one = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    sets = rows.groupBy("words", F.floor(F.col("slot") / 64).alias("at")).agg(
+        *(F.bit_or(F.when(test, one).otherwise(0)).alias(name) for name, test in tests.items())).toArrow()
+    words, at = sets["words"].to_numpy(), sets["at"].to_numpy()
+    found = {}
+    for name in tests:
+        longs = np.zeros((4, slots // 64), np.int64)
+        longs[words, at] = sets[name].to_numpy()
+        found[name] = {k: np.unpackbits(longs[k].view(np.uint8), bitorder="little").astype(bool) for k in (1, 2, 3)}
     return found
 
 
-def _among(rows: DataFrame, bits: dict[int, np.ndarray]) -> DataFrame:
-    """Rows whose ``slot`` is set. The table of bits is sent to all; its size is fixed by the number of slots."""
+def _flagged(rows: DataFrame, bits: dict[int, np.ndarray]) -> DataFrame:
+    """Add ``flag``: is the row's ``slot`` set? The table of bits is sent to all; its size is fixed by the number of slots."""
     parts = []
     for words, flags in bits.items():
         longs = np.packbits(flags, bitorder="little").view(np.int64).reshape(-1, CHUNK // 64)
@@ -135,22 +149,28 @@ def _among(rows: DataFrame, bits: dict[int, np.ndarray]) -> DataFrame:
             "_bits": pa.ListArray.from_arrays(pa.array(edges), pa.array(longs[at].ravel()))}))
     sent = rows.sparkSession.createDataFrame(pa.concat_tables(parts))
     inside = F.col("slot") % CHUNK
-    met = rows.join(F.broadcast(sent), (F.col("words") == F.col("_words")) & (F.floor(F.col("slot") / CHUNK) == F.col("_chunk")))
-    long_at = F.get("_bits", F.floor(inside / 64).cast("int"))
-    return met.where(F.getbit(long_at, (inside % 64).cast("int")) == 1).drop("_words", "_chunk", "_bits")
+    met = rows.join(
+        F.broadcast(sent), (F.col("words") == F.col("_words")) & (F.floor(F.col("slot") / CHUNK) == F.col("_chunk")), "left")
+    bit = F.getbit(F.get("_bits", F.floor(inside / 64).cast("int")), (inside % 64).cast("int"))
+    return met.withColumn("flag", F.coalesce(bit == 1, F.lit(False))).drop("_words", "_chunk", "_bits")
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
+def _among(tables: list[DataFrame], bits: dict[int, np.ndarray]) -> DataFrame:
+    """Sums over all scans of the phrases of set slots."""
+    rows = reduce(DataFrame.unionByName, tables).where(F.col("words").isin(list(bits)))
+    return _flagged(rows, bits).where("flag").groupBy("words", "lang", "phrase", "slot").agg(F.sum("n").alias("n"))
 
 
-def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 10, longest: int = 3, shards: int = 4,
+def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 10, longest: int = 3, shards: int = 2,
            slots: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
-    """``lang, phrase, words, n`` of all phrases of at least ``least`` occurrences; and ``lang, total``, all words of a language."""
+    """``lang, phrase, words, n`` of all phrases of at least ``least`` occurrences; and ``lang, total``, all words of a language.
+
+    A text's shard is a hash of it, so shards need no copy of the corpus and a scan run again reads the same texts.
+    """
     if longest not in (2, 3) or slots % CHUNK or slots & (slots - 1) or 3 * shards >= NEVER:
         raise ValueError("two or three words, slots a power of two of at least 32768, at most 84 shards")
     rows = docs.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), F.col(text_col).alias("body")).where("body <> ''")
-    dealt = cut_lineage(rows.withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int")), "shard")
+    shard = F.pmod(F.xxhash64("body"), F.lit(shards))
     share = -(-least // shards)
     began = {k: np.full(slots, NEVER, np.uint8) for k in range(1, longest)}
     heavy = {k: np.zeros(slots, bool) for k in (1, 2, 3)}
@@ -158,24 +178,28 @@ def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", leas
     step = 0
     while step < shards or any((a[a < NEVER].astype(np.int64) + shards > step).any() for a in began.values()):
         packed = {k: zlib.compress(a.tobytes(), 1) for k, a in began.items()}
-        scanned = dealt.where(F.col("shard") == step % shards).select("lang", "body").mapInArrow(
-            _scan(step, shards, slots, packed), "lang string, phrase string, words byte, n long")
-        found = scanned.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-        tables.append(cut_lineage(found.withColumn("slot", slot_of(F.col("lang"), F.col("phrase"), F.col("words"), slots)), "words"))
+        scanned = rows.where(shard == step % shards).mapInArrow(_scan(step, shards, packed), "key string, last boolean, n long")
+        phrase = F.substring_index("key", "\t", -1)
+        found = scanned.groupBy("key", "last").agg(F.sum("n").alias("n")).select(
+            F.expr("left(key, char_length(key) - char_length(substring_index(key, '\t', -1)) - 1)").alias("lang"), phrase.alias("phrase"),
+            (F.char_length(phrase) - F.char_length(F.replace(phrase, F.lit(" "))) + 1).cast("byte").alias("words"), "last", "n")
+        found = found.withColumn("slot", slot_of(F.col("lang"), F.col("phrase"), F.col("words"), slots))
+        # at the end of its cycle a phrase that no shard holds a share of cannot be one of those asked for
+        found = _flagged(found, heavy).where("flag or not last or n >= {}".format(share))
+        tables.append(cut_lineage(found.drop("last", "flag")))
         step += 1
-        for k, set_now in _bits(tables[-1].where(F.col("n") >= share), slots).items():
-            heavy[k] |= set_now
-        open_ = [k for k in began if heavy[k].any() and (step <= shards if k == 1 else (began[k - 1] + shards > step - 1).any())]
-        if open_:
-            running = _among(_union(tables).where(F.col("words").isin(open_)), {k: heavy[k] for k in open_})
-            reached = running.groupBy("words", "lang", "phrase", "slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-            for k, set_now in _bits(reached, slots).items():
-                if k in began:
-                    began[k][set_now & (began[k] == NEVER)] = step
-    every = _union(tables)
-    totals = every.where("words = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = _among(every, heavy).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return cut_lineage(kept), totals
+        new = _bits(tables[-1], slots, heavy=F.col("n") >= share, reached=F.col("n") >= least)
+        for k in heavy:
+            heavy[k] |= new["heavy"][k]
+        for k, a in began.items():
+            a[new["reached"][k] & (a == NEVER)] = step
+        waiting = {k: heavy[k] & (a == NEVER) for k, a in began.items()}
+        if step > 1 and any(w.any() for w in waiting.values()):
+            sums = _bits(_among(tables, waiting), slots, reached=F.col("n") >= least)["reached"]
+            for k, a in began.items():
+                a[sums[k] & (a == NEVER)] = step
+    totals = reduce(DataFrame.unionByName, tables).where("words = 1").groupBy("lang").agg(F.sum("n").alias("total"))
+    return cut_lineage(_among(tables, heavy).where(F.col("n") >= least).drop("slot")), totals
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 10, longest: int = 3, inside_percent: int = 50,
