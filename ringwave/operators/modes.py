@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ringwave.functions import spectral as S
 from ringwave.functions.scalar import wrap180, wrap360
+from ringwave.operators import spectra as spectral
 from ringwave.operators.spectra import TINY, _col
 
 
@@ -127,6 +128,65 @@ def mode_at(spectra: DataFrame, angles: DataFrame, slices: DataFrame, ref: DataF
     ).drop("_is_ref")
 
 
+# ---- one frequency from raw signals ------------------------------------------------------
+def cursor_samples(samples: DataFrame, cursors: DataFrame, ref: DataFrame, rate: float, keys: Sequence[str] = ("shot",), bucket: int = 1 << 12) -> DataFrame:
+    """Samples of each cursor's time range (both ends included, a null end open), numbered from 0, with the cursor's ``n_fft`` and ``hop``.
+
+    The ranges are turned into index ranges on the reference channel alone; then every sample meets its cursors by
+    an equi-join on buckets of ``bucket`` indices. ``n_fft`` is ``nperseg``, or all samples where there are fewer.
+    """
+    keys = list(keys)
+    width = bucket / rate
+    clock = samples.join(ref.withColumnRenamed("ref", "channel"), [*keys, "channel"], "left_semi").select(*keys, "i", "t_s")
+    span = clock.groupBy(*keys).agg(F.min("t_s").alias("_a"), F.max("t_s").alias("_b"))
+    c = cursors.join(span, keys).withColumns({"_lo": F.greatest("_a", F.coalesce("t_lo", "_a")), "_hi": F.least("_b", F.coalesce("t_hi", "_b"))})
+    c = c.where(F.col("_lo") <= F.col("_hi")).select(*keys, "cursor", "f_hz", "nperseg", "_lo", "_hi")
+    bins = F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))
+    inside = clock.withColumn("_bin", F.floor(F.col("t_s") / width)).join(c.withColumn("_bin", F.explode(bins)), [*keys, "_bin"])
+    ranges = inside.where(F.col("t_s").between(F.col("_lo"), F.col("_hi"))).groupBy(*keys, "cursor", "f_hz", "nperseg").agg(
+        F.min("i").alias("_i0"), F.max("i").alias("_i1"))
+    n_fft = F.least("nperseg", F.col("_i1") - F.col("_i0") + 1).cast("long")
+    ranges = ranges.withColumns({"n_fft": n_fft, "hop": F.greatest(F.lit(1), n_fft - F.floor(n_fft / 2)).cast("long")})
+    bins = F.sequence(F.floor(F.col("_i0") / bucket), F.floor(F.col("_i1") / bucket))
+    met = samples.select(*keys, "channel", "i", "value").withColumn("_bin", F.floor(F.col("i") / bucket)).join(
+        ranges.withColumn("_bin", F.explode(bins)), [*keys, "_bin"])
+    return met.where(F.col("i").between(F.col("_i0"), F.col("_i1"))).select(
+        *keys, "cursor", "channel", (F.col("i") - F.col("_i0")).alias("i"), "value", "f_hz", "n_fft", "hop")
+
+
+def mode_from_signals(samples: DataFrame, angles: DataFrame, cursors: DataFrame, ref: DataFrame, rate: float, keys: Sequence[str] = ("shot",)) -> DataFrame:
+    """Phase, amplitude, coherence and errors of every probe against the reference at one frequency of each cursor's range.
+
+    ``cursors``: recording, cursor, t_lo, t_hi (s), f_hz and nperseg. A null ``f_hz`` takes the reference
+    probe's own peak bin, rounded to whole hertz; zero is the mean, not a request for the peak. Spectra are Welch averages of
+    half-overlapping segments; only the reference is transformed at all bins, the other probes at the cursor's
+    one. The reference's own errors are NaN: it agrees with itself by construction.
+    """
+    keys = list(keys)
+    cursor = [*keys, "cursor"]
+    d = cursor_samples(samples, cursors, ref, rate, keys)
+    own = d.join(ref.withColumnRenamed("ref", "channel"), [*keys, "channel"], "left_semi").where("f_hz is null")
+    bins = spectral.stft(own, F.col("n_fft"), F.col("hop"), keys=(*cursor, "n_fft"))
+    size = F.when((F.col("k") == 0) | ((F.col("n_fft") % 2 == 0) & (2 * F.col("k") == F.col("n_fft"))), 1.0).otherwise(2.0)
+    power = bins.groupBy(*cursor, "n_fft", "k").agg((F.avg(F.col("re") ** 2 + F.col("im") ** 2)).alias("p")).withColumn("p", F.col("p") * size)
+    peak = power.groupBy(*cursor).agg(F.rint(F.max_by(F.col("k") * rate / F.col("n_fft"), F.struct("p", -F.col("k")))).alias("peak_hz"))
+    d = d.join(peak, cursor, "left").withColumn("f_hz", F.coalesce("f_hz", "peak_hz"))
+    # the nearest bin, the lower one of two
+    k = F.greatest(F.lit(0), F.least(F.floor(F.col("n_fft") / 2), F.ceil(F.col("f_hz") * F.col("n_fft") / rate - 0.5)))
+    one = spectral.stft(d.withColumn("bin", k.cast("long")), F.col("n_fft"), F.col("hop"), F.col("bin"), F.col("bin"),
+                        keys=(*cursor, "channel", "n_fft", "f_hz", "bin"))
+    pairs = one.select(*cursor, "channel").distinct().join(ref, keys).select(*cursor, F.col("ref").alias("ch1"), F.col("channel").alias("ch2"))
+    about = one.select(*cursor, "n_fft", F.col("f_hz").alias("asked_hz")).distinct()
+    products = spectral.pair_products(one.select(*cursor, "channel", "frame", "k", "re", "im"), pairs, pair_keys=cursor).join(about, cursor)
+    m = spectral.cross_spectrum(products, F.col("n_fft"), rate, (*cursor, "ch1", "ch2", "n_fft", "asked_hz"), 0.375 * F.col("n_fft"))
+    is_ref, nan = F.col("ch1") == F.col("ch2"), F.lit(float("nan"))
+    return m.join(angles.withColumnRenamed("channel", "ch2"), [c if c != "channel" else "ch2" for c in angles.columns if c != "phi"]).select(
+        *cursor, F.col("ch2").alias("channel"), "phi", F.col("asked_hz").alias("f_hz"), "k", F.col("power").alias("amplitude"),
+        F.when(F.col("phase") < 0, F.col("phase") + 360).otherwise(F.col("phase")).alias("phase"), "coherence", "n_segments",
+        F.when(is_ref, nan).otherwise(F.col("phase_error")).alias("phase_error"),
+        F.when(is_ref, nan).otherwise(F.col("amplitude_error")).alias("amplitude_error"))
+
+
 # ---- circular fit -----------------------------------------------------------------------
 def circular_fit(mode: DataFrame, keys: Sequence[str], n_range: tuple[int, int] = (-6, 6), weights: str = "amplitude") -> DataFrame:
     """Integer n whose residual phase + n*phi clusters best on the circle, with its posterior.

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ringwave.operators import modes, shape, spectra
 from ringwave.session import cut_lineage
-from workload.inputs import DT, HOP, LINE_SPECTRA, N_FFT, R32, line_angles, ring32, stacked_lines
+from workload.inputs import DT, HOP, LI, LINE_SPECTRA, N_FFT, R32, line_angles, ring32, stacked_lines
 from workload.registry import out, query, r
 from workload.spectral_queries import _smooth_sql, line_spectra
 
@@ -162,6 +162,47 @@ def active_window(spark, sf):
     return out(modes.active_window(s, frames, power_floor_frac=0.6), 9)
 
 
+# ---- one frequency from raw signals: ranges of 500 samples from every 400th on -------------------------
+RAW = f"""{LI},
+cu as (select distinct shot, n, i // 400 as cursor, case when (i // 400) % 2 = 0 then 64 else 100 end as np,
+  case when (i // 400) % 3 > 0 then 5000.0 + 1000 * ((i // 400) % 30) end as f0 from li),
+cs as (select *, least(n, 400 * cursor + 500) - 400 * cursor as m from cu),
+c2 as (select shot, cursor, f0, least(np, m) as nf, greatest(1, least(np, m) - least(np, m) // 2) as hop, (m - least(np, m)) // greatest(1, least(np, m) - least(np, m) // 2) as top from cs),
+sg as (select c2.*, channel, f, i - 400 * cursor - f * hop as j, value from c2, range(0, 20) t(f), li
+  where f <= top and li.shot = c2.shot and i >= 400 * cursor + f * hop and i < 400 * cursor + f * hop + nf),
+sv as (select *, (value - avg(value) over (partition by shot, cursor, channel, f)) * case when nf = 1 then 0 else 0.5 - 0.5 * cos(2 * pi() * j / nf) end as v from sg),
+rs as (select shot, cursor, nf, f, k, sum(v * cos(2 * pi() * ((k * j) % nf) / nf)) as re, sum(v * sin(2 * pi() * ((k * j) % nf) / nf)) as im
+  from sv, range(0, 51) t(k) where channel = 'p1' and f0 is null and k <= nf // 2 group by all),
+rp as (select shot, cursor, nf, k, avg((re * re + im * im) * case when k = 0 or 2 * k = nf then 1 else 2 end) as p from rs group by all),
+pk as (select shot, cursor, round_even(arg_max(k * 100000 / nf, p), 0) as peak from rp group by all),
+fb as (select c2.shot, c2.cursor, nf, coalesce(f0, peak) as f_hz,
+  cast(greatest(0, least(nf // 2, ceil(coalesce(f0, peak) * nf / 100000 - 0.5))) as bigint) as k from c2 left join pk using (shot, cursor)),
+z as (select sv.shot, sv.cursor, channel, f, fb.nf, f_hz, k, sum(v * cos(2 * pi() * ((k * j) % fb.nf) / fb.nf)) as re,
+  sum(case when 2 * k = fb.nf or k = 0 then 0.0 else -v * sin(2 * pi() * ((k * j) % fb.nf) / fb.nf) end) as im
+  from sv join fb on fb.shot = sv.shot and fb.cursor = sv.cursor group by all),
+x as (select b.shot, b.cursor, b.channel, b.nf, b.f_hz, b.k, avg(b.re * a.re + b.im * a.im) as xr, avg(b.re * a.im - b.im * a.re) as xi,
+  avg(a.re * a.re + a.im * a.im) as pa, avg(b.re * b.re + b.im * b.im) as pb, count(*) as n_segments
+  from z a join z b on a.shot = b.shot and a.cursor = b.cursor and a.f = b.f and a.channel = 'p1' group by all),
+y as (select *, sqrt(xr * xr + xi * xi) as mg, degrees(atan2(xi, xr)) as ph, coalesce((xr * xr + xi * xi) / nullif(pa * pb, 0), 0) as coherence from x)"""
+
+
+@query("mode_from_signals", f"""with {RAW} select shot, cursor, channel, f_hz, k, n_segments, {r('mg * case when k = 0 or 2 * k = nf then 1 else 2 end / (100000 * 0.375 * nf)', 9)} as amplitude,
+  {r('coherence')} as coherence, case when channel = 'p1' or mg < 1e-9 then 0.0 else {r('case when ph < 0 then ph + 360 else ph end', 5)} end as phase,
+  case when channel = 'p1' then null else {r('least(180, degrees(sqrt(greatest(0, 1 - g * g)) / (g * sqrt(2 * n_segments))))', 5)} end as phase_error
+  from (select *, greatest(1e-3, least(1, sqrt(coherence))) as g from y)""")
+def mode_from_signals(spark, sf):
+    d = cut_lineage(stacked_lines(spark, sf))
+    at = F.floor(F.col("i") / 400)
+    cursors = d.where(F.col("channel") == "p1").select("shot", at.alias("cursor")).distinct().withColumns({
+        "t_lo": (400 * F.col("cursor") - 0.5) * DT, "t_hi": (400 * F.col("cursor") + 499.5) * DT,
+        "nperseg": F.when(F.col("cursor") % 2 == 0, 64).otherwise(100), "f_hz": F.when(F.col("cursor") % 3 > 0, 5000.0 + 1000 * (F.col("cursor") % 30))})
+    ref = d.select("shot").distinct().withColumn("ref", F.lit("p1"))
+    m = modes.mode_from_signals(d, line_angles(spark, sf), cursors, ref, float(round(1 / DT)))
+    none = (F.col("channel") == "p1") | (F.col("amplitude") < 1e-15)
+    m = m.withColumns({"phase": F.when(none, 0.0).otherwise(F.col("phase")), "phase_error": F.when(~F.isnan("phase_error"), F.col("phase_error")), "k": F.col("k").cast("long")})
+    return out(m.select("shot", "cursor", "channel", "f_hz", "k", "n_segments", "amplitude", "coherence", "phase", "phase_error"), amplitude=9, phase=5, phase_error=5)
+
+
 # ---- ring snapshots --------------------------------------------------------------------------------
 RING_FIT = f"""{R32},
 ph as (select vec_id, p, phi, sqrt(re * re + im * im) as a, degrees(atan2(im, re)) as phase from r32),
