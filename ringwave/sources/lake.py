@@ -1,5 +1,9 @@
 """The recording lake: append-only Parquet batches with a catalog that says which batch is live.
 
+Times are stored apart from samples: every distinct time vector of a batch once, under the hash of its content; a
+channel's row names the vector, and readers of times join it back. Which indices a batch holds is kept as intervals, so
+batches may arrive in any order.
+
 Every ingest writes its own batch folder, so a repeated or half-finished batch simply overwrites
 itself and readers never see a partial channel. A re-fetched channel supersedes its older batch; a
 batch with a different window or decimation supersedes the whole recording.
@@ -42,19 +46,25 @@ def channel_status(samples: DataFrame, keys: Sequence[str] = ("shot", "channel")
 
 
 def time_base_hash(samples: DataFrame, keys: Sequence[str] = ("shot", "channel"), t: str = "t_ms") -> DataFrame:
-    """Content hash of each channel's time vector, hashed block by block and then over the block hashes."""
+    """Content hash of each channel's times with their indices, hashed block by block and then over the block hashes."""
     keys = list(keys)
     block = F.floor(F.col("i") / blocks.BLOCK)
     per = samples.groupBy(*keys, block.alias("_b")).agg(
-        F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("i", F.col(t).alias("t")))), lambda x: x["t"].cast("string"))), 256).alias("h"))
+        F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("i", F.col(t).alias("t")))), lambda x: F.concat_ws(":", x["i"].cast("string"), x["t"].cast("string")))), 256).alias("h"))
     return per.groupBy(*keys).agg(F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("_b", "h"))), lambda x: x["h"])), 256).alias("tb_id"))
 
 
-def time_bases(samples: DataFrame, t: str = "t_ms") -> tuple[DataFrame, DataFrame]:
-    """(channel -> tb_id, distinct time bases with their samples)."""
-    ids = time_base_hash(samples, t=t)
-    owner = ids.groupBy("shot", "tb_id").agg(F.min("channel").alias("channel"))
-    return ids, samples.join(owner, ["shot", "channel"]).select("shot", "tb_id", "i", t)
+def time_bases(samples: DataFrame, ids: DataFrame, t: str = "t_ms") -> DataFrame:
+    """``tb_id, i, t_ms``: every distinct time vector once, taken from its first channel. Equal ends and lengths do not make vectors equal."""
+    owner = ids.groupBy("tb_id").agg(F.min(F.struct("shot", "channel")).alias("o")).select("tb_id", "o.shot", "o.channel")
+    return samples.join(owner, ["shot", "channel"]).select("tb_id", "i", t)
+
+
+def covered(samples: DataFrame, keys: Sequence[str] = ("shot", "channel")) -> DataFrame:
+    """``blk, lo, hi``: the stretches of consecutive indices that a channel holds, cut at block borders."""
+    d = samples.select(*keys, "i", F.floor(F.col("i") / blocks.BLOCK).alias("blk")).distinct()
+    nth = F.row_number().over(Window.partitionBy(*keys, "blk").orderBy("i"))
+    return d.withColumn("_run", F.col("i") - nth).groupBy(*keys, "blk", "_run").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).drop("_run")
 
 
 def incremental(requested: DataFrame, attempted: DataFrame, keys: Sequence[str] = ("shot", "channel")) -> DataFrame:
@@ -75,7 +85,7 @@ def merge_status(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("shot",
 
 
 class Lake:
-    """Parquet tables ``samples``, ``channels`` and ``shots`` under one root."""
+    """Parquet tables ``samples``, ``time_bases``, ``covered``, ``channels`` and ``shots`` under one root."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -104,13 +114,20 @@ class Lake:
         staged = self.spark.read.parquet(f"{self.root}/_staging/channels/{part}")
         if not staged.where(F.col("status") == "fetched").limit(1).collect():
             raise ValueError(f"no usable channel in batch {batch}")
-        good = samples.join(staged.where(F.col("status") == "fetched").select("shot", "channel"), ["shot", "channel"], "left_semi")
+        usable = staged.where(F.col("status") == "fetched").select("shot", "channel")
+        good = samples.join(usable, ["shot", "channel"], "left_semi")
+        ids = time_base_hash(good).join(usable, ["shot", "channel"], "left_semi")
+        ids.write.mode("overwrite").parquet(f"{self.root}/_staging/time_ids/{part}")
+        ids = self.spark.read.parquet(f"{self.root}/_staging/time_ids/{part}")
+        time_bases(good, ids).repartitionByRange("tb_id", "i").sortWithinPartitions("tb_id", "i").write.mode("overwrite").option(
+            "compression", "zstd").parquet(f"{self.root}/time_bases/{part}")
+        covered(good).write.mode("overwrite").parquet(f"{self.root}/covered/{part}")
         # neighbouring recordings share tasks, so a batch has about as many files as tasks plus recordings
         spread = good.repartitionByRange("shot", "channel", F.floor(F.col("i") / (blocks.BLOCK * 64))).sortWithinPartitions("shot", "channel", "i")
-        spread.withColumn("value", F.col("value").cast("float")).write.mode("overwrite").option("compression", "zstd") \
+        spread.select("shot", "channel", "i", F.col("value").cast("float").alias("value")).write.mode("overwrite").option("compression", "zstd") \
             .partitionBy("shot").parquet(f"{self.root}/samples/{part}")
         shots.write.mode("overwrite").parquet(f"{self.root}/shots/{part}")
-        staged.write.mode("overwrite").parquet(f"{self.root}/channels/{part}")  # last: makes the batch visible
+        staged.join(ids, ["shot", "channel"], "left").write.mode("overwrite").parquet(f"{self.root}/channels/{part}")  # last: makes the batch visible
 
     def shots(self) -> DataFrame:
         """Live recording rows with the batch their current reduction starts at."""
@@ -127,32 +144,58 @@ class Lake:
             F.array_join(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("batch", "analysis"))), lambda x: x["analysis"])), "+").alias("analysis"),
         ).select("shot", "since_batch", "analysis", "_a.*")
 
-    def parts(self) -> DataFrame:
-        """Live fetched batches of every channel. Batches whose samples follow each other are all live; of
-        batches that hold the same samples the newest is."""
+    def _fetched(self) -> DataFrame:
         c = self._read("channels").join(self.shots().select("shot", "since_batch"), "shot").where(F.col("batch") >= F.col("since_batch"))
-        newer = Window.partitionBy("shot", "channel").orderBy(F.desc("batch")).rowsBetween(Window.unboundedPreceding, -1)
-        c = c.where(F.col("status") == "fetched").withColumn("_next", F.min("first_i").over(newer))
-        return c.where(F.col("_next").isNull() | (F.col("last_i") < F.col("_next"))).drop("_next", "since_batch")
+        return c.where(F.col("status") == "fetched").drop("since_batch")
+
+    def parts(self) -> DataFrame:
+        """Live fetched batches of every channel: all whose samples no newer one holds too, in whatever order they came."""
+        c = self._fetched()
+        spans = self._read("covered").join(c.select("shot", "channel", "batch"), ["shot", "channel", "batch"], "left_semi")
+        newer = spans.select("shot", "channel", "blk", F.col("batch").alias("_b"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+        meets = (F.col("_b") > F.col("batch")) & (F.col("_lo") <= F.col("hi")) & (F.col("lo") <= F.col("_hi"))
+        past = spans.join(newer, ["shot", "channel", "blk"]).where(meets).select("shot", "channel", "batch")
+        return c.join(past, ["shot", "channel", "batch"], "left_anti")
+
+    def held(self) -> DataFrame:
+        """``shot, channel, batch, blk, lo, hi``: the intervals of indices of all live batches."""
+        return self._read("covered").join(self.parts().select("shot", "channel", "batch"), ["shot", "channel", "batch"], "left_semi")
 
     def channels(self) -> DataFrame:
         """Live channel rows: the newest fetched batch of each channel, else its newest attempt; ``n`` counts all live samples."""
         c = self._read("channels").join(self.shots().select("shot", "since_batch"), "shot").where(F.col("batch") >= F.col("since_batch"))
         best = F.struct((F.col("status") == "fetched").cast("int"), "batch")
         newest = c.groupBy("shot", "channel").agg(F.max_by(F.struct("batch", "status", "error", "n"), best).alias("_c")).select("shot", "channel", "_c.*")
-        held = self.parts().groupBy("shot", "channel").agg(F.sum("n").alias("_n"), F.max("last_i").alias("last_i"))
+        held = self.parts().groupBy("shot", "channel").agg(F.sum("n").alias("_n"), F.max("last_i").alias("last_i"), F.count("*").alias("n_batches"))
         return newest.join(held, ["shot", "channel"], "left").withColumn("n", F.coalesce("_n", "n")).drop("_n")
 
-    def samples(self) -> DataFrame:
-        """Samples of live channels; ``shot`` and ``batch`` are partition columns and prune."""
+    def values(self) -> DataFrame:
+        """Samples of live channels without times; ``shot`` and ``batch`` are partition columns and prune."""
         return self._read("samples").join(self.parts().select("shot", "channel", "batch"), ["shot", "channel", "batch"], "left_semi")
 
+    def _timed(self, values: DataFrame) -> DataFrame:
+        named = values.join(self.parts().select("shot", "channel", "batch", "tb_id"), ["shot", "channel", "batch"])
+        return named.join(self._read("time_bases"), ["batch", "tb_id", "i"]).select("shot", "channel", "i", "t_ms", "value", "batch")
+
+    def samples(self) -> DataFrame:
+        """Samples of live channels with their times, joined back from the time bases."""
+        return self._timed(self._read("samples"))
+
+    def time_report(self) -> DataFrame:
+        """Per batch: channels, distinct time vectors, and the bytes of times stored and saved."""
+        named = self._read("channels").where(F.col("status") == "fetched").groupBy("batch").agg(
+            F.count("*").alias("channels"), F.sum("n").alias("_n"))
+        kept = self._read("time_bases").groupBy("batch").agg(F.countDistinct("tb_id").alias("bases"), F.count("*").alias("_kept"))
+        return named.join(kept, "batch").select(
+            "batch", "channels", "bases", (8 * F.col("_kept")).alias("time_bytes"), (8 * (F.col("_n") - F.col("_kept"))).alias("saved_bytes"))
+
     def load_channel(self, shot: int, channel: str) -> DataFrame:
-        return self.samples().where((F.col("shot") == shot) & (F.col("channel") == channel)).select("i", "t_ms", "value")
+        one = self._read("samples").where((F.col("shot") == shot) & (F.col("channel") == channel))
+        return self._timed(one).select("i", "t_ms", "value")
 
     def load_data(self, shot: int, channel: str) -> DataFrame:
-        """Values without the time column."""
-        return self.samples().where((F.col("shot") == shot) & (F.col("channel") == channel)).select("i", "value")
+        """Values without the time column; the time bases are not read."""
+        return self.values().where((F.col("shot") == shot) & (F.col("channel") == channel)).select("i", "value")
 
     def channel_names(self, shot: int) -> DataFrame:
         return self.channels().where((F.col("shot") == shot) & (F.col("status") == "fetched")).select("channel")

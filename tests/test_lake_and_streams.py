@@ -1,5 +1,6 @@
 """Lake merge rules and the streaming jobs."""
 import json
+import time
 
 import numpy as np
 import pandas as pd
@@ -84,7 +85,7 @@ def test_sliding_spectra_and_causal_filter(spark, tmp_path):
     spec = drain(live.sliding_spectra(stream, n_fft=64, rate=1000.0, ks=[7, 8, 9], late="10 milliseconds"), "spec")
     x = pdf[pdf.channel == "p1"].value.to_numpy()[:64]
     ref = np.fft.rfft((x - x.mean()) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(64) / 64)))[8]
-    one = spec[(spec.channel == "p1") & (spec.k == 8)].sort_values("start").iloc[0]
+    one = spec[(spec.channel == "p1") & (spec.k == 8) & spec.complete].sort_values("start").iloc[0]
     assert np.isclose(one.re + 1j * one.im, ref)
     seen = []
     angles = spark.createDataFrame([(f"p{p}", 45.0 * p) for p in range(8)], "channel string, phi double")
@@ -128,6 +129,95 @@ def test_ingest_stream_keeps_channels_that_span_batches(spark, tmp_path):
     assert lake.channels().first().n == 40
 
 
+FEED = "shot long, channel string, i long, t_ms double, value double"
+
+
+def feed_files(spark, path, spans):
+    for k, (lo, hi) in enumerate(spans):
+        spark.createDataFrame([(7, "a", i, float(i), float(i)) for i in range(lo, hi)], FEED).coalesce(1).write.mode("append").parquet(f"{path}/{k}")
+    return spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+def test_ingest_stream_takes_files_in_any_order(spark, tmp_path):
+    stream = feed_files(spark, str(tmp_path / "in"), [(20, 40), (0, 20), (60, 70), (30, 62)])
+    lake = Lake(spark, str(tmp_path / "lake"))
+    q = live.ingest_stream(stream, lake, lambda df: shot(spark), str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted((r.i, r.t_ms, r.value) for r in lake.samples().collect()) == [(i, float(i), float(i)) for i in range(70)]
+    assert lake.channels().first().n == 70
+
+
+def test_time_bases_are_stored_once(spark, tmp_path):
+    """Equal vectors are shared; vectors with equal ends and length are not; times come back exactly."""
+    n = 40000  # several blocks
+    even = np.arange(n) * 0.1
+    bent = even.copy()
+    bent[1:-1] += 1e-3
+    times = {"a": even, "b": even, "c": bent, "d": even}
+    pdf = pd.concat([pd.DataFrame({"shot": 7, "channel": c, "i": np.arange(n), "t_ms": t, "value": np.arange(n) * 1.0}) for c, t in times.items()])
+    lake = Lake(spark, str(tmp_path / "lake"))
+    lake.ingest(0, spark.createDataFrame(pdf), shot(spark))
+    assert lake.time_report().select("channels", "bases", "time_bytes", "saved_bytes").first() == (4, 2, 16 * n, 16 * n)
+    for c, t in times.items():
+        assert np.array_equal(lake.load_channel(7, c).orderBy("i").toPandas()["t_ms"].to_numpy(), t)
+    assert lake.samples().count() == 4 * n and lake.load_data(7, "b").count() == n
+
+
+def test_windows_with_gaps_are_flagged(spark, tmp_path):
+    pdf = write_feed(spark, str(tmp_path / "whole"))
+    pdf = pdf[pdf.channel == "p1"]
+    lost = pd.concat([pdf[(pdf.i != 70) & (pdf.i != 71)], pdf[pdf.i == 72]])  # two samples lost, one told twice
+    spark.createDataFrame(lost).coalesce(1).write.parquet(str(tmp_path / "feed"))
+    stream = spark.readStream.schema("shot long, channel string, i long, ts timestamp, value double").parquet(str(tmp_path / "feed"))
+    spec = drain(live.sliding_spectra(stream, n_fft=64, rate=1000.0, ks=[8], late="10 milliseconds"), "gaps").sort_values("start")
+    begin = ((spec.start - pd.Timestamp("2024-01-01")) / pd.Timedelta(1, "ms")).round().astype(int)
+    assert begin.is_unique
+    x, w = pdf.value.to_numpy(), 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(64) / 64)
+    for b, r in zip(begin, spec.itertuples()):
+        whole = b >= 0 and b + 64 <= 256 and not b <= 72 < b + 64
+        assert r.complete == whole and (whole or np.isnan(r.re))
+        if whole:
+            v = x[b : b + 64]
+            assert np.isclose(r.re + 1j * r.im, np.fft.rfft((v - v.mean()) * w)[8]) and r.n_samples == 64
+    assert spec.complete.sum() >= 3 and (~spec.complete).sum() >= 2
+
+
+def test_causal_filter_takes_rows_in_any_order(spark, tmp_path):
+    v = np.random.default_rng(1).normal(size=400)
+    order = [(100, 200), (0, 50), (50, 100), (300, 400), (150, 250), (250, 300)]
+    for k, (lo, hi) in enumerate(order):
+        spark.createDataFrame(pd.DataFrame({"shot": 1, "channel": "p", "i": np.arange(lo, hi)[::-1], "value": v[lo:hi][::-1]})) \
+            .coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / str(k)))
+    stream = spark.readStream.schema("shot long, channel string, i long, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    taps = condition.causal_taps(5.0)
+    got = drain(live.causal_filter(stream, 5.0), "ordered").sort_values("i")
+    want = np.correlate(np.concatenate([np.full(len(taps) - 1, v[0]), v]), taps, mode="valid")
+    assert list(got.i) == list(range(400)) and np.allclose(got.value, want) and not got.after_gap.any()
+
+
+def test_causal_filter_goes_on_behind_a_gap(spark, tmp_path):
+    stream = feed_files(spark, str(tmp_path / "in"), [(0, 20), (30, 60), (22, 25)]).select("shot", "channel", "i", "value")
+    got = drain(live.causal_filter(stream, 1.0, reorder=10), "gap").sort_values("i")
+    assert list(got.i) == [*range(20), *range(30, 60)]
+    assert list(got.i[got.after_gap]) == [30, 31, 32, 33] and got.value[got.i == 30].iloc[0] == 30.0
+
+
+def test_idle_channel_gives_out_what_waits(spark, tmp_path):
+    stream = feed_files(spark, str(tmp_path / "in"), [(0, 20), (30, 40)]).select("shot", "channel", "i", "value")
+    q = live.causal_filter(stream, 1.0, idle="1 second").writeStream.format("memory").queryName("idle").start()
+    try:
+        for _ in range(60):
+            if spark.table("idle").count() == 30:
+                break
+            time.sleep(1)
+        assert sorted(r.i for r in spark.table("idle").collect()) == [*range(20), *range(30, 40)]
+    finally:
+        q.stop()
+
+
 def test_mismatched_and_lone_samples(spark):
     rows = [(1, "a", 0, 0.0, 1.0), (1, "a", 1, 1.0, None), (1, "b", 0, 0.0, 0.0), (1, "c", 0, 0.0, 0.5)]
     got = {r.channel: r.status for r in channel_status(spark.createDataFrame(rows, "shot long, channel string, i long, t_ms double, value double")).collect()}
