@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ringwave.session import cut_lineage
+
 from ringwave.functions import scalar as X
 from ringwave.operators import blocks
 
@@ -96,32 +98,49 @@ def rekey_first_era(segments: DataFrame, survivors: DataFrame, coil_prefixes: Se
 
 
 # ---- sensor sets -------------------------------------------------------------------------
-def flatten_sets(spark: SparkSession, sets: DataFrame, *, strict: bool = False, depth: int = 50) -> DataFrame:
+def set_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``device_id, root, node, path``: every set that a root holds, by the least path of positions in the lists.
+
+    Breadth first from all roots at once: each round follows only the pairs whose path got less in the round before,
+    so there are as many rows as pairs, whatever the number of paths, and no limit on depth. A set met again on its
+    own path has a longer path than before and is not followed.
+    """
+    key = ["device_id", "root", "node"]
+    none = F.array().cast("array<int>")
+    state = cut_lineage(roots.select("device_id", F.col("set_name").alias("root"), F.col("set_name").alias("node"), none.alias("path"), F.lit(0).alias("round")))
+    edges = cut_lineage(edges.select("device_id", F.col("set_name").alias("node"), "child", F.col("ord").cast("int").alias("ord")))
+    done = 0
+    while state.where(F.col("round") == done).limit(1).count():
+        met = state.where(F.col("round") == done).join(edges, ["device_id", "node"]).select(
+            "device_id", "root", F.col("child").alias("node"), F.array_append("path", F.col("ord")).alias("path"), F.lit(done + 1).alias("round"))
+        least = state.unionByName(met).groupBy(*key).agg(F.min(F.struct("path", "round")).alias("_m"))
+        state = cut_lineage(least.select(*key, "_m.path", "_m.round"))
+        done += 1
+    return state.drop("round")
+
+
+def flatten_sets(spark: SparkSession, sets: DataFrame, *, strict: bool = False) -> DataFrame:
     """Members of every set with composites expanded, first mention kept.
 
-    ``sets``: device_id, set_name, type (list | composite), member, ord. Only the set-to-set edges
-    recurse; the (possibly long) member lists are joined once afterwards. A set already on the
-    path is not entered again. ``strict`` raises on unknown members of composites instead.
+    ``sets``: device_id, set_name, type (list | composite), member, ord. Only the set-to-set edges are followed;
+    the (possibly long) member lists are joined once afterwards. ``strict`` raises on unknown members of
+    composites, on unknown types and on sets that hold themselves; else they hold nothing more.
     """
-    name = "ringwave_set_edges"
     roots = sets.select("device_id", "set_name").distinct()
     edges = sets.where(F.col("type") == "composite").select("device_id", "set_name", F.col("member").alias("child"), "ord")
     if strict:
-        unknown = edges.join(roots.withColumnRenamed("set_name", "child"), ["device_id", "child"], "left_anti")
-        bad = unknown.select("child").limit(1).collect()
+        unknown = edges.join(roots.withColumnRenamed("set_name", "child"), ["device_id", "child"], "left_anti").select(F.concat(F.lit("unknown sensor set "), "child"))
+        odd = sets.where(~F.coalesce(F.col("type").isin("list", "composite"), F.lit(False))).select(
+            F.concat_ws(" ", F.lit("sensor set"), "set_name", F.lit("has unknown type"), "type"))
+        bad = unknown.union(odd).limit(1).collect()
+        if bad:
+            raise ValueError(bad[0][0])
+    reach = set_closure(edges, roots)
+    if strict:
+        back = edges.select("device_id", F.col("set_name").alias("node"), F.col("child").alias("root"))
+        bad = reach.join(back, ["device_id", "root", "node"]).limit(1).collect()
         if bad:
-            raise ValueError(f"unknown sensor set {bad[0][0]!r}")
-    roots.createOrReplaceTempView(f"{name}_roots")
-    edges.createOrReplaceTempView(name)
-    reach = spark.sql(f"""
-        WITH RECURSIVE walk(device_id, root, node, seen, path, lvl) AS (
-            SELECT device_id, set_name, set_name, array(set_name), cast(array() AS array<int>), 0 FROM {name}_roots
-            UNION ALL
-            SELECT w.device_id, w.root, e.child, array_append(w.seen, e.child), array_append(w.path, cast(e.ord AS int)), w.lvl + 1
-            FROM walk w JOIN {name} e ON w.device_id = e.device_id AND w.node = e.set_name
-            WHERE NOT array_contains(w.seen, e.child) AND w.lvl < {depth}
-        )
-        SELECT device_id, root, node, path FROM walk""")
+            raise ValueError(f"sensor set {bad[0]['root']} holds itself")
     members = sets.where(F.col("type") == "list").select("device_id", F.col("set_name").alias("node"), "member", "ord")
     full = reach.join(members, ["device_id", "node"]).withColumn("path", F.array_append("path", F.col("ord").cast("int")))
     return full.groupBy("device_id", F.col("root").alias("set_name"), "member").agg(F.min("path").alias("path"))

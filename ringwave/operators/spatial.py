@@ -71,24 +71,32 @@ def erf(x: pd.Series) -> pd.Series:
     return x.map(math.erf)
 
 
+def rbf_axis(low: Column, high: Column, count: int, width: float | None = None) -> Column:
+    """Centres, width and periodic copies on one axis as one struct.
+
+    The extent is widened to whole tens. Up to half a circle it is a segment whose two ends are centres; beyond
+    it is the whole circle, whose ends are one. The width is the distance of neighbours, infinite for one centre.
+    """
+    start, stop = (low / 10).cast("long") * 10, F.ceil(high / 10) * 10
+    segment = stop - start <= 180
+    origin, span = F.when(segment, start).otherwise(0), F.when(segment, stop - start).otherwise(360)
+    gap = span.cast("double") / F.when(segment, max(1, count - 1)).otherwise(count)
+    reach = F.lit(float(width)) if width else gap if count > 1 else F.lit(math.inf)
+    turns = F.when(reach < math.inf, F.greatest(F.lit(1), F.floor(reach / 45))).otherwise(0).cast("int")
+    at = F.transform(F.array(*map(F.lit, range(count))), lambda j: origin + gap * j)
+    return F.struct(at.alias("cen"), reach.alias("eps"), turns.alias("cycle"))
+
+
 def rbf_centres(sensors: DataFrame, ncenters: int = 6, mcenters: int = 1, nepsilon: float | None = None, mepsilon: float | None = None,
                 *, y: str = "theta", keys: Sequence[str] = ("shot",)) -> DataFrame:
-    """Radial-basis centres and widths from the sensor extents of each recording."""
-    keys = list(keys)
-    ext = sensors.groupBy(*keys).agg(
-        F.min(F.least("phi_end1", "phi_end2")).alias("xa"), F.max(F.greatest("phi_end1", "phi_end2")).alias("xb"),
-        F.min(F.least(f"{y}_end1", f"{y}_end2")).alias("ya"), F.max(F.greatest(f"{y}_end1", f"{y}_end2")).alias("yb"))
-    out = ext
-    for name, a, b, count, eps in (("n", "xa", "xb", ncenters, nepsilon), ("m", "ya", "yb", mcenters, mepsilon)):
-        lo, hi = (F.col(a) / 10.0).cast("long") * 10, F.ceil(F.col(b) / 10.0).cast("long") * 10
-        wide = hi - lo > 180
-        lo, hi = F.when(wide, 0).otherwise(lo), F.when(wide, 360).otherwise(hi)
-        step = F.when(wide, (hi - lo) / float(count)).otherwise((hi - lo) / float(max(count - 1, 1)))
-        width = F.lit(float(eps)) if eps else (step if count > 1 else F.lit(float("inf")))
-        cycle = F.when(width == float("inf"), 0).otherwise(F.greatest(F.lit(1), F.floor(8 * width / 360))).cast("int")
-        out = out.withColumn(f"{name}_cen", F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: lo + j * step)) \
-            .withColumn(f"{name}_eps", width).withColumn(f"{name}_cycle", cycle)
-    return out.drop("xa", "xb", "ya", "yb")
+    """Radial-basis centres, widths and copies (``n_cen, n_eps, n_cycle`` toroidal, ``m_...`` poloidal) of each recording's sensors."""
+    axes = {"n": ("phi", ncenters, nepsilon), "m": (y, mcenters, mepsilon)}
+    ends = {}
+    for name, (angle, count, width) in axes.items():
+        both = F.array(f"{angle}_end1", f"{angle}_end2")
+        ends[name] = rbf_axis(F.min(F.array_min(both)), F.max(F.array_max(both)), count, width).alias(name)
+    found = sensors.groupBy(*keys).agg(*ends.values())
+    return found.select(*keys, *(F.col(f"{name}.{part}").alias(f"{name}_{part}") for name in axes for part in ("cen", "eps", "cycle")))
 
 
 def gaussian_terms(sensors: DataFrame, centres: DataFrame, basis: str = "gaussian-point", *, y: str = "theta", keys: Sequence[str] = ("shot",)) -> DataFrame:

@@ -4,7 +4,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ringwave.operators import blocks, condition, modes, resample, shape, spatial, spectra
+from ringwave.functions import tables
+from ringwave.operators import blocks, catalog, condition, modes, resample, shape, spatial, spectra
 from ringwave.sources.signal_catalog import decimate_allowed
 
 RNG = np.random.default_rng(3)
@@ -142,3 +143,51 @@ def test_sql_functions_and_set_arrays(spark):
                                  "device_id string, set_name string, member string, path array<int>")
     got = by_set(sensors, flat, "toroidal").groupBy("pref").count().orderBy("pref").collect()
     assert [r["count"] for r in got] == [4, 4, 6]  # shared probes stay in both sets
+
+
+# ---- sets and frames ---------------------------------------------------------------------
+SETS = "device_id string, set_name string, type string, member string, ord int"
+
+
+def layered(levels, width=2):
+    """Every set of a level holds all sets of the next: width ** levels paths."""
+    rows = [("d", f"s{k}.{a}", "composite", f"s{k + 1}.{b}", b) for k in range(levels) for a in range(width) for b in range(width)]
+    return rows + [("d", f"s{levels}.{a}", "list", f"m{a}", 0) for a in range(width)]
+
+
+def test_closure_of_many_paths_is_linear_in_pairs(spark):
+    levels = 20
+    sets = spark.createDataFrame(layered(levels), SETS)
+    flat = catalog.flatten_sets(spark, sets)
+    assert flat.count() == 2 * (2 * levels + 1)
+    least = flat.where("set_name = 's0.1'").orderBy("member").collect()
+    assert [list(r.path) for r in least] == [[0] * levels + [0], [0] * (levels - 1) + [1, 0]]
+
+
+def test_closure_takes_the_least_path_not_the_shortest(spark):
+    rows = [("d", "r", "composite", "a", 0), ("d", "r", "composite", "b", 1), ("d", "a", "composite", "b", 0), ("d", "b", "list", "x", 3), ("d", "b", "composite", "a", 1)]
+    flat = {(r.set_name, r.member): list(r.path) for r in catalog.flatten_sets(spark, spark.createDataFrame(rows, SETS)).collect()}
+    assert flat[("r", "x")] == [0, 0, 3] and flat[("a", "x")] == [0, 3] and flat[("b", "x")] == [3]
+
+
+@pytest.mark.parametrize("row,word", [(("d", "r", "composite", "none", 0), "unknown sensor set none"), (("d", "r", "odd", "x", 0), "unknown type odd"),
+                                      (("d", "r", "composite", "r", 0), "holds itself")])
+def test_strict_sets(spark, row, word):
+    sets = spark.createDataFrame([row, ("d", "l", "list", "x", 0)], SETS)
+    catalog.flatten_sets(spark, sets).count()
+    with pytest.raises(ValueError, match=word):
+        catalog.flatten_sets(spark, sets, strict=True)
+
+
+@pytest.mark.parametrize("n_fft,hop", [(8, 4), (5, 2), (4, 6)])
+def test_frames_of_sql(spark, n_fft, hop):
+    x = np.arange(100) * 1.5
+    there = [i for i in range(100) if i not in (41, 42)]
+    rows = [(1, c, i, float(x[i])) for c in "ab" for i in there] + [(1, "a", 7, -1.0)]
+    samples = spark.createDataFrame(rows, "shot long, channel string, i long, value double").where("not (channel = 'a' and i = 7 and value < 0)")
+    tables.register_table_functions(spark)
+    parts = tables.framing_parts(samples, n_fft, hop, frames=3)
+    found = spark.sql(f"select * from frames(table(select * from {{p}}) partition by (shot, channel, part) order by (i), {n_fft}, {hop})", p=parts).collect()
+    want = [(1, c, f, list(x[f * hop : f * hop + n_fft])) for c in "ab" for f in range((100 - n_fft) // hop + 1)
+            if not any(f * hop <= i < f * hop + n_fft for i in (41, 42))]
+    assert sorted((r.shot, r.channel, r.frame, list(r.samples)) for r in found) == want

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ringwave.functions import tables
 from ringwave.operators import modes, spectra, summaries
 from ringwave.session import cut_lineage
 from workload.inputs import (DT, EV, HOP, LI, LINE_SPECTRA, N_FFT, PAIRS, event_samples, line_angles, line_samples,
@@ -64,6 +65,19 @@ def frames_uncapped(spark, sf):
     return out(g.where(F.col("n_samples") == N_FFT))
 
 
+@query("frames_sql", f"""with {LI}
+select shot, channel, frame, count(*) as n_samples, {r('sum(value)', 6)} as total
+from (select shot, channel, i, value, n, unnest([i // 32 - 1, i // 32]) as frame from li)
+where frame >= 0 and frame <= (n - 64) // 32 group by all""")
+def frames_sql(spark, sf):
+    """The same frames by the table function of SQL."""
+    tables.register_table_functions(spark)
+    parts = tables.framing_parts(stacked_lines(spark, sf), N_FFT, HOP)
+    f = spark.sql(f"""select shot, channel, frame, cast(size(samples) as bigint) as n_samples, aggregate(samples, 0D, (a, x) -> a + x) as total
+      from frames(table(select shot, channel, part, i, value from {{parts}}) partition by (shot, channel, part) order by (i), {N_FFT}, {HOP})""", parts=parts)
+    return out(f)
+
+
 @query("stft_full", f"with {LINE_SPECTRA} select shot, channel, frame, k, {r('re')} as re, {r('im')} as im from ls")
 def stft_full(spark, sf):
     return out(line_spectra(spark, sf))
