@@ -12,8 +12,10 @@ hold any share of the rows; a window is at most ``budget`` tokens.
 
 Defined results: a null text is empty, a null role is empty; turns come by number, those with the same
 number by role and by a hash of the text; a null number comes first, a null conversation is one
-conversation; equal rows are turns each; further columns are not read; an empty table gives no windows. A first system turn that leaves no room in
-the budget, and a role of over half of ``turn_tokens``, are errors.
+conversation; equal rows are turns each; further columns are not read; an empty table gives no windows. Of a first system turn that
+leaves no room in the budget only the leading parts are repeated, as far as one part of ``turn_tokens`` still fits beside them
+and the history; the whole turn stands once, and ``system_cut`` marks such a conversation's windows. A role cannot be cut: where
+it takes over half of ``turn_tokens``, its texts are cut to that half and a window may pass the budget by the roles in it.
 """
 from __future__ import annotations
 
@@ -64,9 +66,9 @@ def _parts(path: str, turn_tokens: int):
 
         def cut(text: str, marks: int) -> list[tuple[str, int]]:
             body = escape(text)
-            n = count(body) + marks
-            if n <= turn_tokens or len(text) < 2:
-                return [(body, n)]
+            n = count(body)
+            if n <= max(turn_tokens - marks, turn_tokens // 2) or len(text) < 2:
+                return [(body, n + marks)]
             half = len(text) // 2
             return cut(text[:half], marks) + cut(text[half:], marks)
 
@@ -76,8 +78,6 @@ def _parts(path: str, turn_tokens: int):
             """Tokens of the control strings and the role, the longer start taken."""
             if role not in frames:
                 n = max(count(f"{start}{role}\n") for start in (START, MORE)) + count(f"{END}\n")
-                if 2 * n > turn_tokens:
-                    raise ValueError(f"a role and its marks take {n} of {turn_tokens} tokens")
                 if len(frames) > 1000:
                     frames.clear()
                 frames[role] = n
@@ -104,7 +104,7 @@ def _parts(path: str, turn_tokens: int):
 def format_windows(rows: DataFrame, tokenizer: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                    text_col: str = "text", budget: int = 4096, history: int = 512, turn_tokens: int = 1024,
                    block_turns: int = 1024) -> DataFrame:
-    """``conv, window, formatted, loss, n_repeated, tokens``: one row per window.
+    """``conv, window, formatted, loss, n_repeated, tokens, system_cut``: one row per window.
 
     ``loss`` holds start and end (characters) of the targets; the first ``n_repeated`` parts of a window
     were in an earlier one.
@@ -128,7 +128,9 @@ def format_windows(rows: DataFrame, tokenizer: str, conv_col: str = "conv_id", t
     # room for the first system turn; as for any part where it is shorter or missing
     system_tokens = F.when(F.col("head.role") == "system", F.greatest("head.whole", F.lit(turn_tokens))).otherwise(turn_tokens)
     room = budget - history - turn_tokens - system_tokens
-    no_room = F.raise_error(F.concat(F.lit("no room beside a system turn of tokens: "), system_tokens.cast("string")))
+    # of a system turn without room its first parts are repeated, beside which one part of any turn fits
+    system_room = budget - history - 2 * turn_tokens
+    system_cut = room < 1
     first_turn = (F.col("role") == "system") & F.col("turn").eqNullSafe(F.col("head.turn")) & (
         F.col("role") == F.col("head.role")) & (F.col("tie") == F.col("head.tie"))
     in_block = W.partitionBy("conv", "block").orderBy(*order)
@@ -137,7 +139,8 @@ def format_windows(rows: DataFrame, tokenizer: str, conv_col: str = "conv_id", t
         .withColumn("rank", F.row_number().over(in_block))
         .join(before, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block")))
         .withColumn("prefix", F.col("base") + F.col("inner"))
-        .withColumn("stride", F.when(room >= 1, room).otherwise(no_room.cast("long")))
+        .withColumn("system_cut", system_cut)
+        .withColumn("stride", F.when(system_cut, turn_tokens).otherwise(room).cast("long"))
         .withColumn("window", F.floor(F.col("prefix") / F.col("stride")))
         .withColumn("system", first_turn)
         .drop("_conv", "_block", "base", "inner", "head", "whole")
@@ -147,7 +150,7 @@ def format_windows(rows: DataFrame, tokenizer: str, conv_col: str = "conv_id", t
     again = placed.where(F.col("prefix") >= (F.col("window") + 1) * F.col("stride") - history).withColumns(
         {"window": F.col("window") + 1, "repeated": F.lit(1)})
     # all parts of the first system turn, once where equal rows tell it twice
-    system = placed.where("system").dropDuplicates(["conv", "part"])
+    system = placed.where("system").dropDuplicates(["conv", "part"]).where(~F.col("system_cut") | (F.col("prefix") + F.col("tokens") <= system_room))
     windows = placed.where("window > 0").select(F.col("conv").alias("_conv"), F.col("window").alias("_window")).distinct()
     kept = system.join(windows, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("window") < F.col("_window"))).withColumns(
         {"window": F.col("_window"), "repeated": F.lit(2)}).drop("_conv", "_window")
@@ -155,7 +158,8 @@ def format_windows(rows: DataFrame, tokenizer: str, conv_col: str = "conv_id", t
 
     inside = F.array_sort(F.collect_list(F.struct(
         (-F.col("repeated")).alias("place"), "prefix", "turn", "rank", "part", "role", "body", "tokens")))
-    grouped = every.groupBy("conv", "window").agg(inside.alias("p"), F.min("repeated").alias("new"))
+    grouped = every.groupBy("conv", "window").agg(
+        inside.alias("p"), F.min("repeated").alias("new"), F.first("system_cut").alias("system_cut"))
     grouped = grouped.where("new = 0")
     # parts of the system turn may also lie in the history; they stand once
     grouped = grouped.withColumn("p", F.filter("p", lambda x: ~((x["place"] == -1) & F.exists("p", lambda y: (y["place"] == -2) & (y["prefix"] == x["prefix"]) & (y["rank"] == x["rank"])))))
@@ -174,7 +178,7 @@ def format_windows(rows: DataFrame, tokenizer: str, conv_col: str = "conv_id", t
         "conv", F.col("window").cast("long"), F.array_join("t", "").alias("formatted"),
         F.filter(F.transform("p", target), lambda s: s.isNotNull()).alias("loss"),
         F.size(F.filter("p", lambda x: x["place"] < 0)).alias("n_repeated"),
-        F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("tokens"))
+        F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("tokens"), "system_cut")
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -123,7 +123,7 @@ def conversations(rows: list[tuple]) -> list[tuple]:
     for c, g in by.items():
         g.sort(key=lambda r: r[1])
         said = "".join(r[3] or "" for r in g if r[2] == "assistant")
-        out.append((c, len(g), sha("".join(f"{r[2]}\n{r[3] or ''}\n" for r in g)), len(said), sha(said)))
+        out.append((c, len(g), sha("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in g)), len(said), sha(said)))
     return sorted(out)
 
 

@@ -234,9 +234,27 @@ def test_chat_budget(spark):
         turns = chat.TURN.findall(r.formatted)
         if r.conv == 1 and any(role != "system" for _, role, _ in turns):
             assert "".join(body for _, role, body in turns if role == "system") == system
-    huge = spark.createDataFrame([(1, 0, "system", system * 9), (1, 1, "user", "x")], df.schema)
-    with pytest.raises(Exception, match="no room"):
-        chat.format_windows(huge, packing.default_tokenizer()).collect()
+
+
+def test_chat_of_huge_system_turns_and_roles(spark):
+    """One odd conversation neither ends the job nor changes the others; everything reads back exactly."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    system = " ".join(f"rule{i} holds" for i in range(4000))
+    rows = [(1, 0, "system", system)] + [(1, i + 1, ("user", "assistant")[i % 2], f"word{i} " * 300) for i in range(30)]
+    rows += [(2, 0, "assistant " * 900, "said " * 900), (2, 1, "assistant " * 900, "said"), (2, 1, "assistant " * 900, "said")]
+    rows += [(3, 0, "system", "short"), (3, 1, "user", "x"), (3, 1, "user", "x"), (3, 2, None, None), (4, 0, "system", system)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = chat.format_windows(df, packing.default_tokenizer())
+    assert ordered(tuple(r)[:5] for r in chat.read_back(windows).collect()) == ordered(brute.conversations(rows))
+    found = windows.collect()
+    assert {r.conv: r.system_cut for r in found} == {1: True, 2: False, 3: False, 4: True}
+    for r in found:
+        if r.conv != 2:
+            assert len(whole.encode(r.formatted).ids) <= 4096
+        if r.conv == 1:  # the beginning of the system turn stands in front of every window
+            assert r.formatted.startswith("<|im_start|>system\n" + system[:2000])
 
 
 def test_language(spark, docs, empty):
