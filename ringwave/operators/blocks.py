@@ -151,40 +151,60 @@ def asof_join(
 
 
 # ---- exact percentiles ----------------------------------------------------------------
-def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str, accuracy: int = 10000) -> DataFrame:
-    """Linear-interpolation percentile per key, exact for groups of any size.
+RANGES = 1 << 12
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], accuracy: int = 10000) -> DataFrame:
+    """Linear-interpolation percentiles per key, exact for groups of any size; NULL and NaN are left out.
 
-    A mergeable quantile sketch brackets the wanted rank; only the rows inside the bracket (about
-    ten in ``accuracy`` of a large group) are ranked, the rest are merely counted.
+    ``wanted`` maps result columns to fractions; all share the same three passes. A mergeable sketch brackets each rank; rows
+    are counted in ``RANGES`` equal ranges of the bracket; only values of the ranges that hold the two
+    neighbouring ranks are put in order. Every count is combined before it is shuffled, and no window holds more than one
+    key's ranges or one range's values.
     """
     keys = list(keys)
     margin = 5.0 / accuracy
-    lo_p, hi_p = max(0.0, p - margin), min(1.0, p + margin)
     known = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("_v"))
-    bracket = known.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", [lo_p, hi_p], accuracy).alias("_b"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-    ).select(
-        *keys, (F.lit(p) * (F.col("_n") - 1)).alias("_pos"),
-        F.when((F.col("_n") < accuracy / 2) | F.lit(lo_p <= 0), F.col("_min")).otherwise(F.col("_b")[0]).alias("_lo"),
-        F.when((F.col("_n") < accuracy / 2) | F.lit(hi_p >= 1), F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
-    )
-    joined = known.join(bracket, keys)
-    counted = (
-        joined.where(F.col("_v") <= F.col("_hi"))
-        .select(*keys, "_pos", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
-        .groupBy(*keys, "_pos", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    )
-    w = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    cum = counted.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    bounds = [x for p in wanted.values() for x in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch = known.groupBy(*keys).agg(
+        F.count("_v").alias("_n"), F.percentile_approx("_v", bounds, accuracy).alias("_b"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    small = F.col("_n") < accuracy / 2
+
+    def bracket(j: int, p: float) -> Column:
+        low = F.when(small | F.lit(bounds[2 * j] <= 0), F.col("_min")).otherwise(F.col("_b")[2 * j])
+        high = F.when(small | F.lit(bounds[2 * j + 1] >= 1), F.col("_max")).otherwise(F.col("_b")[2 * j + 1])
+        return F.struct(F.lit(j).alias("j"), (F.lit(p) * (F.col("_n") - 1)).alias("pos"), low.alias("lo"), high.alias("hi"))
+
+    brackets = sketch.select(*keys, F.array(*[bracket(j, p) for j, p in enumerate(wanted.values())]).alias("_items"))
+    met = known.join(brackets, keys).select(*keys, "_v", F.explode(F.filter("_items", lambda x: F.col("_v") <= x["hi"])).alias("_x"))
+    span = (F.col("_x.hi") - F.col("_x.lo")) / RANGES
+    at = F.when(F.col("_v") < F.col("_x.lo"), -1).when(span > 0, F.least(F.lit(RANGES - 1), F.floor((F.col("_v") - F.col("_x.lo")) / span))).otherwise(0)
+    counted = met.groupBy(*keys, F.col("_x.j").alias("_j"), F.col("_x.pos").alias("_pos"), at.alias("_at")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_j").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = counted.withColumn("_upto", upto).withColumn(
+        "_rank", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
+    before = F.col("_upto") - F.col("_c")
+    held = ranks.where((before <= F.col("_rank")) & (F.col("_rank") < F.col("_upto"))).groupBy(*keys).agg(
+        F.collect_list(F.struct("_j", "_pos", "_rank", (F.col("_rank") - before).alias("_rest"), "_lo", "_hi")).alias("_held"))
+    inside = known.join(held, keys).select(
+        *keys, "_v", F.explode(F.filter("_held", lambda x: (x["_lo"] <= F.col("_v")) & (F.col("_v") <= x["_hi"]))).alias("_x"))
+    group = [*keys, "_j", "_pos", "_rank", "_rest"]
+    values = inside.select(*keys, "_x._j", "_x._pos", "_x._rank", "_x._rest", "_v").groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_j", "_rank").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = values.withColumn("_upto", upto).where((F.col("_upto") - F.col("_c") <= F.col("_rest")) & (F.col("_rest") < F.col("_upto")))
+    frac = F.col("_pos") - F.floor("_pos")
+    out = []
+    for j, name in enumerate(wanted):
+        own = F.col("_j") == j
+        low, high = F.max(F.when(own & (F.col("_rank") == F.floor("_pos")), F.col("_v"))), F.max(F.when(own & (F.col("_rank") == F.ceil("_pos")), F.col("_v")))
+        out.append(F.when(low == high, low).otherwise(low + (high - low) * F.max(F.when(own, frac))).alias(name))
+    return found.groupBy(*keys).agg(*out)
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_cum") - F.col("_c") <= rank) & (rank < F.col("_cum")), F.col("_v")))
 
-    low, frac = F.floor("_pos"), F.col("_pos") - F.floor("_pos")
-    res = cum.groupBy(*keys).agg(at(low).alias("_a"), at(F.ceil("_pos")).alias("_z"), F.max(frac).alias("_f"))
-    return res.select(*keys, (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")).alias(name))
+def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str, accuracy: int = 10000) -> DataFrame:
+    """One of :func:`exact_percentiles`."""
+    return exact_percentiles(df, keys, value, {name: p}, accuracy)
 
 
 # ---- packed blocks for vectorised kernels ----------------------------------------------

@@ -191,3 +191,19 @@ def test_frames_of_sql(spark, n_fft, hop):
     want = [(1, c, f, list(x[f * hop : f * hop + n_fft])) for c in "ab" for f in range((100 - n_fft) // hop + 1)
             if not any(f * hop <= i < f * hop + n_fft for i in (41, 42))]
     assert sorted((r.shot, r.channel, r.frame, list(r.samples)) for r in found) == want
+
+
+def test_percentiles_of_a_key_with_nearly_all_rows(spark):
+    """Ties, a cluster inside the bracket, infinities, and keys of one row, in one call for several ranks."""
+    rng = np.random.default_rng(5)
+    big = np.concatenate([rng.normal(size=30000), np.full(9000, 0.25), 0.25 + 1e-9 * rng.random(9000), [np.inf, -np.inf]])
+    other = {1: rng.normal(size=700), 2: np.array([3.0]), 3: np.array([1.0, 2.0]), 4: np.full(6000, 7.0)}
+    rows = pd.concat([pd.DataFrame({"k": 0, "v": big}), *(pd.DataFrame({"k": k, "v": v}) for k, v in other.items()), pd.DataFrame({"k": [5, 1], "v": [np.nan, np.nan]})])
+    wanted = {"q0": 0.0, "q1": 0.371, "q2": 0.6, "q3": 0.97, "q4": 1.0}
+    found = {r.k: r for r in blocks.exact_percentiles(spark.createDataFrame(rows), ["k"], "v", wanted, accuracy=1000).collect()}
+    assert set(found) == {0, *other}
+    for k, v in {0: big, **other}.items():
+        for name, p in wanted.items():
+            at = p * (len(v) - 1)
+            low, high = np.sort(v)[[int(np.floor(at)), int(np.ceil(at))]]
+            assert found[k][name] == pytest.approx(low if low == high else low + (high - low) * (at % 1), abs=1e-12)

@@ -305,4 +305,4 @@ def shot_window(spark, sf):
 @query("exact_percentiles", f"""with {LI} select shot, {r('quantile_cont(value, 0.37)')} as p37, {r('quantile_cont(value, 0.99)')} as p99 from li0 group by shot""")
 def exact_percentiles(spark, sf):
     d = line_samples(spark, sf)
-    return out(blocks.exact_percentile(d, ["shot"], "value", 0.37, "p37").join(blocks.exact_percentile(d, ["shot"], "value", 0.99, "p99"), "shot"))
+    return out(blocks.exact_percentiles(d, ["shot"], "value", {"p37": 0.37, "p99": 0.99}))
