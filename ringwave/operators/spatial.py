@@ -217,11 +217,13 @@ def fit_meta(inverse: DataFrame, keys: Sequence[str] = ("shot",)) -> DataFrame:
 
 # ---- job 2: apply to every time slice ------------------------------------------------------------
 def fit_coefficients(samples: DataFrame, inverse: DataFrame, n_modes: int, *, keys: Sequence[str] = ("shot",), along: Sequence[str] = ("i", "t_s")) -> DataFrame:
-    """``coef`` (two slots per mode) at every time: one aggregation by (recording, time)."""
+    """``coef`` (two slots per mode) and ``power``, the sum of squared values in units of sigma, at every time: one aggregation by (recording, time)."""
     keys = list(keys)
-    d = samples.join(inverse.select(*keys, "channel", "weights"), [*keys, "channel"])
+    d = samples.join(inverse.select(*keys, "channel", "weights", "sigma"), [*keys, "channel"])
     sums = [F.sum(F.col("weights")[j] * F.col("value")).alias(f"_x{j}") for j in range(2 * n_modes)]
-    return d.groupBy(*keys, *along).agg(*sums).select(*keys, *along, F.array(*[F.col(f"_x{j}") for j in range(2 * n_modes)]).alias("coef"))
+    power = F.sum((F.col("value") / F.col("sigma")) ** 2).alias("power")
+    return d.groupBy(*keys, *along).agg(*sums, power).select(
+        *keys, *along, F.array(*[F.col(f"_x{j}") for j in range(2 * n_modes)]).alias("coef"), "power")
 
 
 def mode_rows(coef: DataFrame, meta: DataFrame, n_modes: int, *, keys: Sequence[str] = ("shot",), along: Sequence[str] = ("i", "t_s")) -> DataFrame:
@@ -246,10 +248,23 @@ def fitted_signal(samples: DataFrame, coef: DataFrame, inverse: DataFrame, n_mod
         .select(*keys, "channel", *along, "sigma", "value", "fit", "residual")
 
 
-def chi_square(fitted: DataFrame, meta: DataFrame, *, keys: Sequence[str] = ("shot",), along: Sequence[str] = ("i", "t_s")) -> DataFrame:
-    d = fitted.groupBy(*keys, *along).agg(F.sum((F.col("residual") / F.col("sigma")) ** 2).alias("chi_sq"))
+def chi_square(coef: DataFrame, inverse: DataFrame, n_modes: int, *, keys: Sequence[str] = ("shot",), along: Sequence[str] = ("i", "t_s")) -> DataFrame:
+    """Chi-square and its reduced value at every time, from the coefficients alone.
+
+    A least-squares fit is orthogonal to its residual, so chi-square is the ``power`` less c' G c, with G the products of the
+    design columns, a small table per recording; no sample is read again. Every time must hold all channels of the fit,
+    as stacked samples do. Rounding may take 1e-16 of the power away; below zero it counts as zero.
+    """
+    width = range(2 * n_modes)
+    pairs = [(i, j) for i in width for j in width if i <= j]
+    gram = F.array(*[F.sum(F.col("design")[i] * F.col("design")[j]) for i, j in pairs])
+    meta = inverse.groupBy(*keys).agg(gram.alias("_g"), F.first("n_sensors").alias("n_sensors"), F.first("rank").alias("rank"))
+    fitted = F.lit(0.0)
+    for k, (i, j) in enumerate(pairs):
+        fitted = fitted + (1.0 if i == j else 2.0) * F.col("_g")[k] * F.col("coef")[i] * F.col("coef")[j]
     nu = F.greatest(F.col("n_sensors") - F.col("rank"), F.lit(1))
-    return d.join(meta.select(*keys, "n_sensors", "rank"), list(keys)).select(*keys, *along, "chi_sq", (F.col("chi_sq") / nu).alias("red_chi_sq"))
+    return coef.join(meta, list(keys)).withColumn("chi_sq", F.greatest(F.lit(0.0), F.col("power") - fitted)).select(
+        *keys, *along, "chi_sq", (F.col("chi_sq") / nu).alias("red_chi_sq"))
 
 
 def amplitude_phase(rows: DataFrame) -> DataFrame:
@@ -268,10 +283,18 @@ def amplitude_phase(rows: DataFrame) -> DataFrame:
 
 # ---- field maps -----------------------------------------------------------------------------------
 def _field(rows: DataFrame, keys: Sequence[str], cells: Column, scale: float) -> DataFrame:
-    """Sum over modes of Re[c exp(-i(n x + m y))] at the exploded cells."""
-    arg = F.col("n") * F.radians(F.col("c.x")) + F.col("m") * F.radians(F.col("c.y"))
-    term = F.col("re") * F.cos(arg) + F.col("im") * F.sin(arg)
-    return rows.withColumn("c", F.explode(cells)).groupBy(*keys, F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg((F.sum(term) * scale).alias("z"))
+    """Sum over modes of Re[c exp(-i(n x + m y))] at all cells.
+
+    The few modes of a key come together before its cells are made, so what is shuffled does not grow with the map.
+    """
+    modes = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("n", "m", "re", "im"))).alias("_modes"))
+
+    def add(z: Column, mode: Column) -> Column:
+        arg = mode["n"] * F.radians(F.col("c.x")) + mode["m"] * F.radians(F.col("c.y"))
+        return z + mode["re"] * F.cos(arg) + mode["im"] * F.sin(arg)
+
+    return modes.withColumn("c", F.explode(cells)).select(
+        *keys, F.col("c.x").alias("x"), F.col("c.y").alias("y"), (F.aggregate("_modes", F.lit(0.0), add) * scale).alias("z"))
 
 
 def linspace_col(lo: float, hi: float, points: int) -> Column:

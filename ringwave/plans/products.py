@@ -502,7 +502,7 @@ def phase_t(a: Archive, **kw) -> DataFrame:
 
 def fit_quality(a: Archive, **kw) -> DataFrame:
     run = run_fit(a, **kw)
-    chi = spatial.chi_square(run.fitted(), run.meta).groupBy("shot").agg(F.avg("red_chi_sq").alias("mean_red_chi_sq"))
+    chi = spatial.chi_square(run.coef, run.inverse, run.n_modes).groupBy("shot").agg(F.avg("red_chi_sq").alias("mean_red_chi_sq"))
     return run.meta.join(chi, "shot").select(
         "shot", "raw_cn", X.k_quality("raw_cn").alias("raw_quality"), "eff_cn", X.k_quality("eff_cn").alias("eff_quality"), "mean_red_chi_sq",
         F.col("n_sensors").alias("channels"), F.size("mode_n").alias("modes"))
@@ -515,7 +515,7 @@ def fit_quality_geometry(a: Archive) -> DataFrame:
 
 def chi_sq_t(a: Archive, **kw) -> DataFrame:
     run = run_fit(a, **kw)
-    return spatial.chi_square(run.fitted(), run.meta).select("shot", F.round(F.col("t_s") * 1e3, 2).alias("t_ms"), F.round("red_chi_sq", 6).alias("red_chi_sq"))
+    return spatial.chi_square(run.coef, run.inverse, run.n_modes).select("shot", F.round(F.col("t_s") * 1e3, 2).alias("t_ms"), F.round("red_chi_sq", 6).alias("red_chi_sq"))
 
 
 def fit_signals(a: Archive, **kw) -> DataFrame:

@@ -25,11 +25,11 @@ def wave(phi, theta, seed, modes=MODES, noise=0.02):
 def probes():
     """(channel, family, phi, theta): derivative probes, integrated midplane and off-midplane probes."""
     out = []
-    for c in SIGNAL_GROUPS["MPI_BDOT"].split():
+    for c in SIGNAL_GROUPS["MPI_BDOT"]:
         out.append((c, "MPI_BDOT", float(c[6:9]), 0.0))
-    for c in SIGNAL_GROUPS["MPID"].split()[:10]:
+    for c in SIGNAL_GROUPS["MPID"][:10]:
         out.append((c, "MPID", float(c[-3:]), 0.0))
-    for j, c in enumerate(SIGNAL_GROUPS["MPID"].split()[10:26]):
+    for j, c in enumerate(SIGNAL_GROUPS["MPID"][10:26]):
         out.append((c, "MPID", float(c[-3:]), 30.0 + 300.0 * j / 15))
     return out
 

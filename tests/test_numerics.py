@@ -207,3 +207,22 @@ def test_percentiles_of_a_key_with_nearly_all_rows(spark):
             at = p * (len(v) - 1)
             low, high = np.sort(v)[[int(np.floor(at)), int(np.ceil(at))]]
             assert found[k][name] == pytest.approx(low if low == high else low + (high - low) * (at % 1), abs=1e-12)
+
+
+@pytest.mark.parametrize("ns,phis", [((1, 2), [0, 40, 95, 160, 215, 290, 330]), ((1, 7), [0, 60, 120, 180, 240, 300]), ((1, 2, 3), [0, 10, 200, 210])])
+def test_chi_square_without_samples(spark, ns, phis):
+    """Coefficients and the products of the design give what the residuals give, also where columns depend on each other."""
+    phi = [float(p) for p in phis]
+    sensors = spark.createDataFrame([(1, f"p{j}", p, p - 1, p + 1, -1.0, 1.0, 0.5 + 0.1 * j) for j, p in enumerate(phi)],
+                                    "shot long, channel string, phi double, phi_end1 double, phi_end2 double, theta_end1 double, theta_end2 double, sigma double")
+    values = RNG.normal(size=(40, len(phi)))
+    samples = spark.createDataFrame([(1, f"p{j}", i, i * 0.1, float(values[i, j])) for i in range(40) for j in range(len(phi))],
+                                    "shot long, channel string, i long, t_s double, value double")
+    inverse = spatial.invert_design(spatial.basis_rows(sensors, ns=ns, basis="sinusoidal-point"))
+    coef = spatial.fit_coefficients(samples, inverse, len(ns))
+    told = {r.i: r for r in spatial.chi_square(coef, inverse, len(ns)).collect()}
+    seen = spatial.fitted_signal(samples, coef, inverse, len(ns)).groupBy("i").agg(F.sum((F.col("residual") / F.col("sigma")) ** 2).alias("c")).collect()
+    rank = inverse.first()["rank"]
+    for r in seen:
+        assert told[r.i].chi_sq == pytest.approx(r.c, abs=1e-9)
+        assert told[r.i].red_chi_sq == pytest.approx(r.c / max(1, len(phi) - rank), abs=1e-9)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ringwave.functions import scalar as X
 from ringwave.operators import spatial, summaries
+from ringwave.session import cut_lineage
 from workload.inputs import R64, ring_samples, ring_sensors, table
 from workload.registry import out, query, r
 
@@ -13,7 +14,7 @@ MODES = 3
 
 def ring_fit(spark, sf, basis="sinusoidal-point"):
     sensors = spatial.basis_rows(spatial.fill_sigma(ring_sensors(spark, sf)), ns=(1, 2, 3), basis=basis)
-    inv = spatial.invert_design(sensors)
+    inv = cut_lineage(spatial.invert_design(sensors))  # read for the coefficients and for what is told of the fit
     samples = ring_samples(spark, sf)
     return samples, inv, spatial.fit_meta(inv), spatial.fit_coefficients(samples, inv, MODES)
 
@@ -42,7 +43,7 @@ c as (select i, sum((v - fit) ** 2) as chi from ft group by i)
 select label as shot, i, {r('chi')} as chi_sq, {r('chi / 58')} as red_chi_sq from c join embeddings e on e.vec_id = c.i""")
 def fit_chi_square(spark, sf):
     samples, inv, meta, coef = ring_fit(spark, sf)
-    return out(spatial.chi_square(spatial.fitted_signal(samples, coef, inv, MODES), meta).drop("t_s"))
+    return out(spatial.chi_square(coef, inv, MODES).drop("t_s"))
 
 
 @query("fit_residuals", f"""with {COEF} select label as shot, vec_id as i, lpad(p::varchar, 2, '0') as channel, {r('any_value(v)')} as value,
@@ -87,7 +88,7 @@ c as (select shot, i, sum((v - fit) ** 2) / 58 as chi from ft group by all)
 select shot, 1e0 as raw_cn, 1e0 as eff_cn, 'good' as quality, {r('avg(chi)')} as mean_chi, 64 as channels, 3 as modes from c group by shot""")
 def fit_quality(spark, sf):
     samples, inv, meta, coef = ring_fit(spark, sf)
-    chi = spatial.chi_square(spatial.fitted_signal(samples, coef, inv, MODES), meta).groupBy("shot").agg(F.avg("red_chi_sq").alias("mean_chi"))
+    chi = spatial.chi_square(coef, inv, MODES).groupBy("shot").agg(F.avg("red_chi_sq").alias("mean_chi"))
     d = meta.join(chi, "shot")
     return out(d.select("shot", "raw_cn", "eff_cn", X.k_quality("raw_cn").alias("quality"), "mean_chi", F.col("n_sensors").alias("channels"), F.size("mode_n").alias("modes")))
 
