@@ -32,7 +32,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
+def cut_lineage(df: DataFrame, *by: str, codec: str = "snappy") -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     Used where several steps read the same expensive result. The table is columnar, so later reads
@@ -40,5 +40,5 @@ def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
     recomputing the lineage. With ``by`` there is a folder for each value of these columns.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/ringwave-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    df.write.option("compression", codec).partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
