@@ -145,7 +145,7 @@ def format_windows(rows: DataFrame, tokenizer: str, conv_col: str = "conv_id", t
         .withColumn("system", first_turn)
         .drop("_conv", "_block", "base", "inner", "head", "whole")
     )
-    placed = cut_lineage(placed)  # four readers below, and the tokens come from Python
+    placed = cut_lineage(placed, codec="zstd")  # four readers below, and the tokens come from Python
     own = placed.withColumn("repeated", F.lit(0))
     again = placed.where(F.col("prefix") >= (F.col("window") + 1) * F.col("stride") - history).withColumns(
         {"window": F.col("window") + 1, "repeated": F.lit(1)})

@@ -186,7 +186,7 @@ def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", leas
         found = found.withColumn("slot", slot_of(F.col("lang"), F.col("phrase"), F.col("words"), slots))
         # at the end of its cycle a phrase that no shard holds a share of cannot be one of those asked for
         found = _flagged(found, heavy).where("flag or not last or n >= {}".format(share))
-        tables.append(cut_lineage(found.drop("last", "flag")))
+        tables.append(cut_lineage(found.drop("last", "flag"), codec="zstd"))
         step += 1
         new = _bits(tables[-1], slots, heavy=F.col("n") >= share, reached=F.col("n") >= least)
         for k in heavy:
@@ -199,7 +199,7 @@ def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", leas
             for k, a in began.items():
                 a[sums[k] & (a == NEVER)] = step
     totals = reduce(DataFrame.unionByName, tables).where("words = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    return cut_lineage(_among(tables, heavy).where(F.col("n") >= least).drop("slot")), totals
+    return cut_lineage(_among(tables, heavy).where(F.col("n") >= least).drop("slot"), codec="zstd"), totals
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 10, longest: int = 3, inside_percent: int = 50,
