@@ -37,22 +37,21 @@ def _resample_direct(vals: pd.Series, num: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(COMPLEX_ARRAYS)
-def _fft_line(re: pd.Series, im: pd.Series) -> pd.DataFrame:
-    z = [np.fft.fft(np.asarray(a) + 1j * np.asarray(b)) for a, b in zip(re, im)]
-    return pd.DataFrame({"re": [x.real for x in z], "im": [x.imag for x in z]})
+def _fft_line(at: pd.Series, re: pd.Series, im: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """Transform of a line of ``n`` places of which those ``at`` are given and the others zero."""
+    out = []
+    for place, a, b, size in zip(at, re, im, n):
+        line = np.zeros(int(size), dtype=complex)
+        line[np.asarray(place, dtype=np.int64)] = np.asarray(a) + 1j * np.asarray(b)
+        out.append(np.fft.fft(line))
+    return pd.DataFrame({"re": [x.real for x in out], "im": [x.imag for x in out]})
 
 
 def _lines(df: DataFrame, keys: Sequence[str], line: Column, pos: Column, length: Column) -> DataFrame:
     """Transform every line of a two-dimensional layout; missing positions are zero."""
     g = df.select(*keys, line.alias("_l"), pos.cast("int").alias("_p"), "re", "im", length.cast("int").alias("_n"))
-    g = g.groupBy(*keys, "_l", "_n").agg(F.map_from_entries(F.collect_list(F.struct("_p", F.struct("re", "im")))).alias("m"))
-
-    def dense(part: str) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.col("_n") - 1),
-                           lambda j: F.coalesce(F.try_element_at("m", j)[part], F.lit(0.0)))
-
-    g = g.select(*keys, "_l", dense("re").alias("re"), dense("im").alias("im"))
-    g = g.select(*keys, "_l", _fft_line("re", "im").alias("z"))
+    g = g.groupBy(*keys, "_l", "_n").agg(F.collect_list(F.struct("_p", "re", "im")).alias("_r"))
+    g = g.select(*keys, "_l", _fft_line("_r._p", "_r.re", "_r.im", "_n").alias("z"))
     return g.select(*keys, "_l", F.posexplode(F.arrays_zip("z.re", "z.im")).alias("_k", "c")).select(
         *keys, "_l", "_k", F.col("c.re").alias("re"), F.col("c.im").alias("im"))
 
@@ -88,19 +87,22 @@ def _range_rows(sizes: DataFrame, keys: Sequence[str], length: Column) -> DataFr
 
 
 def chirp_dft(df: DataFrame, keys: Sequence[str], length: str, pos: str = "n", sign: int = -1) -> DataFrame:
-    """DFT of any ``length`` per key (``sign`` -1 forward, +1 backward, unscaled). Output position ``k``."""
+    """DFT of any ``length`` per key (``sign`` -1 forward, +1 backward, unscaled). Output position ``k``.
+
+    The chirp depends on the length alone and is transformed once for all records of a length.
+    """
     keys = list(keys)
     n = F.col(length)
     size = F.pow(F.lit(2.0), F.ceil(F.log2(2 * n - 1))).cast("long")
     group = [*keys, length, "_m"]
     a = _turn(df.select(*keys, F.col(length).cast("long"), F.col(pos).cast("long").alias("n"), "re", "im"), sign * _chirp_angle(F.col(pos), n)).withColumn("_m", size)
-    sizes = a.select(*group).distinct()
-    chirp = _range_rows(sizes, group, n).withColumn("_t", -sign * _chirp_angle(F.col("n"), n))
-    chirp = chirp.select(*group, F.explode(F.when(F.col("n") > 0, F.array("n", F.col("_m") - F.col("n"))).otherwise(F.array("n"))).alias("n"),
+    alike = [length, "_m"]
+    chirp = _range_rows(a.select(*alike).distinct(), alike, n).withColumn("_t", -sign * _chirp_angle(F.col("n"), n))
+    chirp = chirp.select(*alike, F.explode(F.when(F.col("n") > 0, F.array("n", F.col("_m") - F.col("n"))).otherwise(F.array("n"))).alias("n"),
                          F.cos("_t").alias("re"), F.sin("_t").alias("im"))
     inner = [*keys, length]
-    fa, fb = split_fft(a, inner, "_m"), split_fft(chirp, inner, "_m")
-    prod = fa.join(fb.select(*group, "k", F.col("re").alias("br"), F.col("im").alias("bi")), [*group, "k"]).select(
+    fa, fb = split_fft(a, inner, "_m"), split_fft(chirp, [length], "_m")
+    prod = fa.join(fb.select(*alike, "k", F.col("re").alias("br"), F.col("im").alias("bi")), [*alike, "k"]).select(
         *group, F.col("k").alias("n"), (F.col("re") * F.col("br") - F.col("im") * F.col("bi")).alias("re"),
         (-(F.col("re") * F.col("bi") + F.col("im") * F.col("br"))).alias("im"))
     conv = split_fft(prod, inner, "_m").where(F.col("k") < n)

@@ -211,13 +211,22 @@ def shifted_raw(spark, sf):
 
 
 # ---- resampling ---------------------------------------------------------------------------------------------
-@query("resample_fft", f"""with {EV}, c as (select {CH}, count(*) as n, cast(floor((max(t_s) - min(t_s)) * 500) as bigint) as m from ev group by all),
+RESAMPLED = f"""with {EV}, c as (select {CH}, count(*) as n, cast(floor((max(t_s) - min(t_s)) * 500) as bigint) as m from ev group by all),
 x as (select ev.shot, ev.channel, n, m, k, sum(value * cos(2 * pi() * ((k * i) % n) / n)) as re, -sum(value * sin(2 * pi() * ((k * i) % n) / n)) as im
   from ev join c on c.shot = ev.shot and c.channel = ev.channel, range(0, 100) t(k) where k <= least(n, m) // 2 group by all),
 y as (select x.shot, x.channel, q as i, any_value(n) as n, any_value(m) as m, sum(case when k = 0 then re when m % 2 = 0 and k = m // 2 then 2 * re * cos(pi() * q)
    else 2 * (re * cos(2 * pi() * ((k * q) % m) / m) - im * sin(2 * pi() * ((k * q) % m) / m)) end) / any_value(n) as value
   from x, range(0, 100) t(q) where q < m group by x.shot, x.channel, q)
-select shot, channel, i, {r('i * 1e-3 * n / m', 9)} as t_s, {r('value')} as value from y""")
+select shot, channel, i, {r('i * 1e-3 * n / m', 9)} as t_s, {r('value')} as value from y"""
+
+
+@query("resample_fft_long", RESAMPLED)
+def resample_fft_long(spark, sf):
+    """The same by the split chirp transform of long records, for all records of over 16 samples."""
+    return out(resample.resample(event_samples(spark, sf), 500.0, direct_limit=16), 9, value=6)
+
+
+@query("resample_fft", RESAMPLED)
 def resample_fft(spark, sf):
     """Fourier resampling to half the rate."""
     return out(resample.resample(event_samples(spark, sf), 500.0), 9, value=6)
