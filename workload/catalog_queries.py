@@ -1,13 +1,17 @@
 """Device catalog rules: eras, names, sets, groups, reports, geometry records."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ringwave.functions import scalar as X
 from ringwave.operators import catalog, summaries
+from ringwave.session import checkpoint_dir, cut_lineage
 from ringwave.sources import lake
-from workload.inputs import event_samples, micros, table
-from workload.registry import out, query
+from ringwave.sources.lake import Lake
+from workload.inputs import LI, event_samples, micros, stacked_lines, table
+from workload.registry import out, query, r
 
 DAY = 86400e6
 ERA = """er as (select o_custkey as sensor, epoch_us(o_orderdate) / 86400000000 as since, max(o_orderkey) as okey, arg_max(o_totalprice, o_orderkey) as price,
@@ -384,3 +388,40 @@ def kappa_median(spark, sf):
 
     d = event_samples(spark, sf).where(F.col("channel") == "c3").withColumn("v", F.col("value") / 10)
     return out(blocks.exact_percentile(d, ["shot"], "v", 0.5, "kappa").withColumn("kappa", X.sane_kappa("kappa")))
+
+
+# ---- the lake ---------------------------------------------------------------------------------------------------
+def filled_lake(spark, sf):
+    """A lake of the line-item recordings, written in two batches: the odd probes first, then all others."""
+    lake = Lake(spark, f"{checkpoint_dir(spark).rstrip('/')}/lake-{uuid.uuid4().hex}")
+    d = cut_lineage(stacked_lines(spark, sf).withColumn("t_ms", F.col("i") / 100).select("shot", "channel", "i", "t_ms", "value"))
+    shots = d.select("shot").distinct().selectExpr(
+        "shot", "'d' as device_id", "'D' as device", "'rotating' as analysis", "'b' as backend", "'s' as source", "cast(null as double) as tmin",
+        "cast(null as double) as tmax", "1 as decimate")
+    odd = F.substring("channel", 2, 9).cast("int") % 2 == 1
+    lake.ingest(0, d.where(odd), shots)
+    lake.ingest(1, d.where(~odd), shots)
+    return lake
+
+
+@query("lake_round_trip", f"with {LI} select shot, channel, i, {r('i / 100')} as t_ms, {r('value::float::double')} as value from li")
+def lake_round_trip(spark, sf):
+    """All samples of a lake with the times joined back from the time bases."""
+    d = filled_lake(spark, sf).samples()
+    return out(d.select(F.col("shot").cast("long").alias("shot"), "channel", "i", "t_ms", F.col("value").cast("double").alias("value")))
+
+
+@query("lake_time_bases", f"""with {LI}, c as (select distinct shot, channel, n, (substr(channel, 2)::int % 2 = 0)::int as batch from li),
+b as (select batch, sum(n) as stored from (select distinct batch, n from c) group by batch)
+select c.batch, count(*) as channels, count(distinct n) as bases, cast(8 * any_value(stored) as bigint) as time_bytes, cast(8 * (sum(n) - any_value(stored)) as bigint) as saved_bytes
+from c join b using (batch) group by c.batch""")
+def lake_time_bases(spark, sf):
+    """Channels, distinct time vectors and bytes of times per batch."""
+    return filled_lake(spark, sf).time_report()
+
+
+@query("lake_channel_names", f"with {LI} select shot, channel, count(*) as n from li group by all")
+def lake_channel_names(spark, sf):
+    """Live channels with the samples they hold."""
+    d = filled_lake(spark, sf).channels().where(F.col("status") == "fetched")
+    return d.select(F.col("shot").cast("long").alias("shot"), "channel", F.col("n").cast("long").alias("n"))
