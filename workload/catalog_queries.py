@@ -67,20 +67,45 @@ def geometry_nearest(spark, sf):
     return catalog.geometry_nearest(lookups(spark, sf), eras(spark, sf), width=365.0).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "price")
 
 
-@query("alias_resolution", f"""with {ERA}, rq as (select distinct l_suppkey as shot, case when l_partkey % 3 = 0 then 'x' || (l_partkey % 50) else (l_partkey % 1000)::varchar end as sensor from lineitem),
+ALIAS = f"""with {ERA}, rq as (select distinct l_suppkey as shot, case when l_partkey % 3 = 0 then 'x' || (l_partkey % 50) else (l_partkey % 1000)::varchar end as sensor from lineitem),
 kn as (select distinct sensor::varchar as sensor from er)
 select rq.shot, rq.sensor as sensor_id, case when kn.sensor is null then rq.sensor when since is null or lower(coalesce(pt0, 'x')) = 'notavailable' then null else coalesce(pt0, rq.sensor) end as query,
   kn.sensor is not null and (since is null or lower(coalesce(pt0, 'x')) = 'notavailable') as skipped
-from rq left join kn on kn.sensor = rq.sensor left join eu on eu.sensor::varchar = rq.sensor and 9000 + rq.shot * 20 >= since and (until is null or 9000 + rq.shot * 20 < until)""")
-def alias_resolution(spark, sf):
-    """Names to query per recording; unmodelled ids pass through, unavailable ones are skipped."""
+from rq left join kn on kn.sensor = rq.sensor left join eu on eu.sensor::varchar = rq.sensor and 9000 + rq.shot * 20 >= since and (until is null or 9000 + rq.shot * 20 < until)"""
+
+
+def resolved_names(spark, sf):
     k = F.col("l_partkey")
     rq = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), F.when(k % 3 == 0, F.concat(F.lit("x"), k % 50)).otherwise((k % 1000).cast("string")).alias("sensor_id")).distinct()
     rq = rq.select(F.lit("d").alias("device_id"), "sensor_id", (9000 + F.col("s") * 20).cast("double").alias("shot"))
-    d = catalog.resolve_pointnames(rq, eras(spark, sf), width=365.0)
+    return catalog.resolve_pointnames(rq, eras(spark, sf), width=365.0)
+
+
+@query("alias_resolution", ALIAS)
+def alias_resolution(spark, sf):
+    """Names to query per recording; unmodelled ids pass through, unavailable ones are skipped."""
+    d = resolved_names(spark, sf)
     return d.select(((F.col("shot") - 9000) / 20).cast("long").alias("shot"), "sensor_id", "query", "skipped")
 
 
+@query("relabel", f"select shot, sensor_id as channel, case when sensor_id <> query then query end as pointname from ({ALIAS}) where not skipped")
+def relabel(spark, sf):
+    """Fetched channels by their canonical id again; a name that several sensors share gives a row each."""
+    names = cut_lineage(resolved_names(spark, sf))
+    fetched = names.where(~F.col("skipped")).select("shot", F.col("query").alias("channel")).distinct()
+    d = catalog.relabel(fetched, names)
+    return d.select(((F.col("shot") - 9000) / 20).cast("long").alias("shot"), "channel", "pointname")
+
+
+@query("feature_at", f"""with {LOOK}, {ERA}
+select l_orderkey, l_linenumber, l_partkey, l_extendedprice, since as since_shot, price from lk left join eu on eu.sensor = lk.sensor and day >= since and (until is null or day < until)""")
+def feature_at(spark, sf):
+    """Walls, vessels and coils keep eras like sensors do, by device and kind."""
+    walls = eras(spark, sf).drop("pointname").withColumnRenamed("sensor_id", "kind")
+    d = catalog.feature_at(lookups(spark, sf).withColumnRenamed("sensor_id", "kind"), walls, width=365.0)
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "since_shot", "price")
+
+
 @query("era_intervals", f"with {ERA} select sensor::varchar as sensor_id, since as since_shot, until as until_shot, price from eu")
 def era_intervals(spark, sf):
     return catalog.with_until(eras(spark, sf)).select("sensor_id", "since_shot", "until_shot", "price")
