@@ -216,7 +216,7 @@ def test_trie_of_copies_and_bare_conversations(spark):
 
 
 def test_trie_over_blocks(spark):
-    rows = [(0, t, "u", f"{t % 3}") for t in range(2500)] + [(100, t, "u", f"{t % 3}") for t in range(2300)] + [(100, 2300, "u", "else")]
+    rows = [(0, t, "u", f"{t % 3}") for t in range(1060)] + [(100, t, "u", f"{t % 3}") for t in range(1040)] + [(100, 1040, "u", "else")]
     assert nodes(spark, rows) == brute_trie(rows)
 
 
