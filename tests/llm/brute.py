@@ -133,3 +133,53 @@ def remainder(doc_id: int, n: int) -> int:
 
 def token_bytes(tokenizer, text: str | None) -> bytes:
     return np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [1], "<u4").tobytes()
+
+
+def toxic_terms(text: str | None) -> dict[str, int]:
+    """Words cut to four letters, with counts."""
+    out: dict[str, int] = {}
+    word = ""
+    for c in (text or "").lower() + " ":
+        if c.isalnum():
+            word += c
+            continue
+        if word:
+            out[word[:4]] = out.get(word[:4], 0) + 1
+        word = ""
+    return out
+
+
+def keyed(counted: dict[str, int]) -> list[tuple[str, int]]:
+    """Each term's hash, by the polynomial of its code points."""
+    base, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def spread(h: int) -> int:
+        h ^= h >> 31
+        h = h * 0x7FB5D329728EA185 & mask
+        h ^= h >> 27
+        h = h * 0x81DADEF4BC2DD44D & mask
+        return h ^ h >> 33
+
+    return [(w, spread(sum((ord(c) + 1) * pow(base, i, 1 << 64) for i, c in enumerate(w)) & mask)) for w in counted]
+
+
+def idf(counted: list[dict[str, int]]) -> dict[str, float]:
+    n: dict[str, int] = {}
+    for t in counted:
+        for w in t:
+            n[w] = n.get(w, 0) + 1
+    return {w: float(np.log((2 + len(counted)) / (1 + k))) for w, k in n.items()}
+
+
+def neighbours(text: str, sample: list[tuple], idf: dict[str, float]) -> list[tuple[float, int]]:
+    """Cosine to every example within the terms of the examples, with the example's id."""
+    parts = [toxic_terms(t) for _, t in sample]
+    space = set().union(*parts)
+
+    def vector(counted):
+        v = {w: c * idf[w] for w, c in counted.items() if w in space}
+        size = sum(x * x for x in v.values()) ** 0.5 or 1.0
+        return {w: x / size for w, x in v.items()}
+
+    own = vector(toxic_terms(text))
+    return [(sum(x * v.get(w, 0.0) for w, x in own.items()), i) for (i, _), v in zip(sample, map(vector, parts))]

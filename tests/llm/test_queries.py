@@ -93,16 +93,50 @@ def test_toxicity(spark):
     assert hit >= 0.9 * sum(r.predicted for r in held)
 
 
-def test_nearest_is_exact():
-    rng = np.random.default_rng(3)
-    vectors = np.where(rng.random((500, 40)) < 0.1, rng.random((500, 40)), 0).astype(np.float32)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    index = toxicity.Index(np.zeros(40, np.uint64), np.ones(40, np.float32), np.arange(500), np.zeros(500), vectors, np.zeros(1), np.zeros(1), 0.0)
-    index.arrange()
-    queries = vectors[rng.permutation(500)[:60]]
-    _, near = index.nearest(queries)
-    exact = -np.sort(-(queries @ vectors.T), axis=1)[:, :15]
-    assert np.allclose(near, exact, atol=1e-5)
+@pytest.mark.parametrize("lists", [0, 40, 1024])
+def test_neighbours_by_brute_force(docs, lists):
+    """Terms, weights, neighbours, votes and evidence against dictionaries, with none, some and all lists long."""
+    sample, rest = docs[:70], docs[70:]
+    sample = [*sample, (900, "zorp quax blem drast"), (901, "zorp quax blem drast"), (902, "zorp")]
+    counted = [brute.toxic_terms(t) for _, t in docs + sample[-3:]]
+    idf = brute.idf(counted)
+    label = np.array([i % 3 == 0 for i, _ in sample])
+    row, key, count = toxicity.terms([t for _, t in sample])
+    vocabulary, at = np.unique(key, return_inverse=True)
+    named = {w: k for t in [brute.toxic_terms(t) for _, t in sample] for w, k in brute.keyed(t)}
+    assert len(named) == len(set(named.values())) == len(vocabulary)
+    weights = np.zeros(len(vocabulary))
+    for w, k in named.items():
+        weights[np.searchsorted(vocabulary, np.uint64(k))] = idf[w]
+    index = toxicity.build(np.array([i for i, _ in sample]), label, vocabulary, weights, row, at, count, lists=lists, block=8)
+    index.steps = index.scores = np.array([0.0, 1.0])
+    asked = [t for _, t in rest] + ["zorp quax blem drast", "", "!!", "zorp zorp neverseen"]
+    found, evidence = index.score(asked)
+    toxic = dict(zip((i for i, _ in sample), label))
+    for text, got, ids in zip(asked, found, evidence):
+        near = {i: s for s, i in brute.neighbours(text, sample, idf)}
+        if not any(near.values()):
+            assert got == label.mean() and not ids
+            continue
+        sums = []
+        for side in (True, False):
+            top = sorted((s for i, s in near.items() if toxic[i] == side), reverse=True)[: index.neighbours]
+            mine = [near[i] for i in ids if toxic[i] == side]
+            assert len(mine) >= sum(s > 1e-5 for s in top) and np.allclose(mine, top[: len(mine)], atol=3e-6)
+            sums.append(sum(x * x for x in top))
+        assert abs(got - sums[0] / sum(sums)) < 1e-4
+    assert set(evidence[len(rest)]) >= {900, 901}
+
+
+def test_rare_words_teach(spark):
+    """An exact copy of labelled toxic texts of words that stand nowhere else is found, with evidence."""
+    sf = "/root/testdata/sf0.001"
+    own = [(10**6 + i, "zorp quax blem drast") for i in range(4)]
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(own, "doc_id long, text string"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    labels = labels.union(spark.createDataFrame([(i, 1) for i, _ in own[:3]], "doc_id long, toxic int"))
+    found = {r.id: r for r in toxicity.score(table, toxicity.fit(table, labels)).where("id >= 1000000").collect()}
+    assert all(found[i].score >= 0.7 and {j for j, _ in own[:3]} <= set(found[i].evidence) for i, _ in own)
 
 
 def test_packing(spark, docs):
