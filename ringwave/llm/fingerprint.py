@@ -2,11 +2,13 @@
 
 A k-mer of code points is an anchor if the least hash of its s-mers is that of the first or the last one.
 Whether a k-mer is an anchor depends on nothing outside it, so equal passages give equal anchors at any
-place, and anchors with their positions serve positional matching. The fingerprint holds the smallest 64
-distinct 32-bit anchor hashes; likeness is the Dice share estimated from two fingerprints.
+place. Likeness is positional and sees all anchors: two neighbouring anchors with the distance between their
+positions form a link, so texts share a link only where two anchors match at the same offset; likeness is the
+Dice share of the links, repeats counted. The written fingerprint is a short digest: the smallest 64 distinct
+32-bit anchor hashes.
 
 Defined results: null and empty text have the empty fingerprint, two of which are alike to 1; a text
-without any anchor is its own anchor; equal texts have equal fingerprints; rows with the same id follow
+without any anchor is its own anchor and a single anchor its own link; equal texts have equal fingerprints; rows with the same id follow
 each other by a hash of their text, rows without an id come last in the order; further columns are not
 read; an empty table gives no rows.
 """
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ringwave.llm.registry import query, table
 from ringwave.llm.substrings import sliding_least
-from ringwave.llm.text import BATCH_BYTES, Rolling, bounded, code_points, mix, texts
+from ringwave.llm.text import BASE, BATCH_BYTES, Rolling, bounded, code_points, mix, texts
 
 K, S, SIZE = 12, 6, 64
 
@@ -52,26 +54,34 @@ def anchors(parts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
     return own, at - begins[own], hashed
 
 
-def sketches(parts: list[str], size: int = SIZE) -> list[np.ndarray]:
+def sketches(row: np.ndarray, hashed: np.ndarray, rows: int, size: int = SIZE) -> list[np.ndarray]:
     """The smallest distinct 32-bit anchor hashes of each text, rising."""
-    row, _, hashed = anchors(parts)
     key = np.unique((row.astype(np.uint64) << np.uint64(32)) | (hashed >> np.uint64(32)))
-    edges = np.searchsorted(key, np.arange(len(parts) + 1, dtype=np.uint64) << np.uint64(32))
+    edges = np.searchsorted(key, np.arange(rows + 1, dtype=np.uint64) << np.uint64(32))
     low = key.astype(np.uint32)
     return [low[a : min(a + size, b)] for a, b in zip(edges[:-1], edges[1:])]
 
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
-    """Dice share of the anchors of two texts, from the smallest hashes of their union."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = np.sort(np.concatenate([a, b]))
-    same = both[1:] == both[:-1]
-    first = np.r_[True, ~same]
-    union = int(min(size, first.sum()))
-    last = both[np.flatnonzero(first)[union - 1]]
-    j = int((both[1:][same] <= last).sum()) / union
-    return 2 * j / (1 + j)
+def links(row: np.ndarray, at: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and hashes of all pairs of neighbouring anchors with their distance; a lone anchor stands alone."""
+    same = row[1:] == row[:-1]
+    first = np.flatnonzero(same)
+    pair = mix(hashed[first] * np.uint64(BASE) + mix(hashed[first + 1] + (at[first + 1] - at[first]).astype(np.uint64)))
+    alone = np.flatnonzero(~(np.r_[False, same] | np.r_[same, False])[: len(row)])
+    return np.r_[row[first], row[alone]], np.r_[pair, hashed[alone]]
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], rows: int) -> np.ndarray:
+    """Dice share of the links of each row's two texts, repeats counted; two texts without any are alike."""
+    counted = []
+    for row, link in (a, b):
+        key, first, n = np.unique(mix(link ^ mix(row.astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
+        counted.append((key, row[first], n))
+    (left, row, n), (right, _, m) = counted
+    _, i, j = np.intersect1d(left, right, assume_unique=True, return_indices=True)
+    shared = np.bincount(row[i], np.minimum(n[i], m[j]), rows)
+    total = np.bincount(a[0], minlength=rows) + np.bincount(b[0], minlength=rows)
+    return np.where(total > 0, 2 * shared / np.maximum(total, 1), 1.0)
 
 
 def _text(sketch: np.ndarray) -> str:
@@ -117,22 +127,29 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done(rows: list[tuple]) -> pa.RecordBatch:
         """All but the last row, which only follows."""
         old = [r[2] for r in rows]
-        own = sketches(old)
-        out, changed = [], []
-        for (block, id_, text, halo), after in zip(rows[:-1], rows[1:]):
-            if halo or after[0] != block:
-                continue
-            half = len(text) // 2
-            changed.append(text[: len(text) - half] + after[2][:half])
-        new = iter(zip(changed, sketches(changed)))
-        for i, ((block, id_, text, halo), after) in enumerate(zip(rows[:-1], rows[1:])):
-            if halo or after[0] != block:
-                continue
-            text_, sketch = next(new)
-            digest = hashlib.sha256(text_.encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((id_, len(text), digest, _text(own[i]), _text(sketch), likeness(own[i], sketch), likeness(own[i], own[i + 1])))
+        kept = [i for i, (r, after) in enumerate(zip(rows[:-1], rows[1:])) if not r[3] and after[0] == r[0]]
+        changed = [old[i][: len(old[i]) - len(old[i]) // 2] + old[i + 1][: len(old[i]) // 2] for i in kept]
+        own, new = anchors(old), anchors(changed)
+        prints, edited = sketches(own[0], own[2], len(old)), sketches(new[0], new[2], len(changed))
+        row, link = links(*own)
+        place = np.full(len(old) + 1, -1)
+        place[kept] = np.arange(len(kept))
+
+        def of(shift: int) -> tuple[np.ndarray, np.ndarray]:
+            """Links of the kept rows' own texts, or of those after them."""
+            to = place[row - shift]
+            return to[to >= 0], link[to >= 0]
+
+        cols = [
+            [rows[i][1] for i in kept],
+            [len(old[i]) for i in kept],
+            [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
+            [_text(prints[i]) for i in kept],
+            [_text(e) for e in edited],
+            likeness(of(0), links(*new), len(kept)),
+            likeness(of(0), of(1), len(kept)),
+        ]
         names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        cols = list(zip(*out)) if out else [()] * 7
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -149,18 +150,53 @@ def toxic_terms(text: str | None) -> dict[str, int]:
     return out
 
 
+MASK = (1 << 64) - 1
+BASE = 0x9E3779B97F4A7C15
+POWERS = [pow(BASE, i, 1 << 64) for i in range(64)]
+
+
+def spread(h: int) -> int:
+    h ^= h >> 31
+    h = h * 0x7FB5D329728EA185 & MASK
+    h ^= h >> 27
+    h = h * 0x81DADEF4BC2DD44D & MASK
+    return h ^ h >> 33
+
+
+def hashed(text: str) -> int:
+    """Hash of a short text by the polynomial of its code points."""
+    return spread(sum((ord(c) + 1) * p for c, p in zip(text, POWERS)) & MASK)
+
+
 def keyed(counted: dict[str, int]) -> list[tuple[str, int]]:
-    """Each term's hash, by the polynomial of its code points."""
-    base, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    return [(w, hashed(w)) for w in counted]
+
+
+def syncmers(text: str, k: int = 12, s: int = 6) -> list[tuple[int, str]]:
+    inner = [hashed(text[i : i + s]) for i in range(len(text) - s + 1)]
+    out = []
+    for i in range(len(text) - k + 1):
+        part = inner[i : i + k - s + 1]
+        if min(part) in (part[0], part[-1]):
+            out.append((i, text[i : i + k]))
+    return out or ([(0, text)] if text else [])
+
+
+def linked(text: str) -> Counter:
+    at = syncmers(text)
+    pairs = [(a, b, q - p) for (p, a), (q, b) in zip(at, at[1:])] or [(a,) for _, a in at]
+    return Counter(pairs)
+
+
+def dice(a: str, b: str) -> float:
+    x, y = linked(a), linked(b)
+    total = sum(x.values()) + sum(y.values())
+    return 2 * sum(min(n, y.get(p, 0)) for p, n in x.items()) / total if total else 1.0
 
-    def spread(h: int) -> int:
-        h ^= h >> 31
-        h = h * 0x7FB5D329728EA185 & mask
-        h ^= h >> 27
-        h = h * 0x81DADEF4BC2DD44D & mask
-        return h ^ h >> 33
 
-    return [(w, spread(sum((ord(c) + 1) * pow(base, i, 1 << 64) for i, c in enumerate(w)) & mask)) for w in counted]
+def digest(text: str, size: int = 64) -> str:
+    low = sorted({hashed(a) >> 32 for _, a in syncmers(text)})[:size]
+    return "".join(f"{h:08x}" for h in low)
 
 
 def idf(counted: list[dict[str, int]]) -> dict[str, float]:

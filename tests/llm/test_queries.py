@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import brute
-from ringwave.llm import packing, toxicity
+from ringwave.llm import fingerprint, packing, toxicity
 from ringwave.llm.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -77,11 +77,30 @@ def test_fingerprint(spark, docs):
     docs = sorted(docs, key=lambda d: -d[0])
     for (d, text), (_, after) in zip(docs, docs[1:] + docs[:1]):
         half = len(text) // 2
-        assert found[d][1:3] == (len(text), brute.sha(text[: len(text) - half] + after[:half]))
+        edited = text[: len(text) - half] + after[:half]
+        assert found[d][1:3] == (len(text), brute.sha(edited))
+        if len(text) <= 64 or d % 5 == 0:  # values by brute force
+            assert found[d][3:5] == (brute.digest(text), brute.digest(edited))
+            assert np.allclose(found[d][5:7], (brute.dice(text, edited), brute.dice(text, after)))
     near = [r for r in found.values() if r[1] > 200]
     assert np.mean([r[5] for r in near]) > 0.4 > 10 * np.mean([r[6] for r in near])
 
 
+def test_shared_passage_of_long_texts(spark):
+    """200 words shared by texts of 21,000 words, at other places, are always seen."""
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(w) for w in rng.choice(list("abcdefghijklmnop"), (4000, 5))])
+    made = []
+    for i in range(8):
+        shared = list(rng.choice(words, 200))
+        for at in (1000, 15000):
+            own = list(rng.choice(words, 21000))
+            made.append((2 * i + (at > 1000), " ".join([*own[:at], *shared, *own[at:]])))
+    found = fingerprint.compare_with_edited(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    # half of the followers are the text with the same passage
+    assert sum(r.near_next > 0.004 for r in found) >= 8 and all(r.near_next > 0.004 for r in found if r.id % 2)
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
