@@ -107,8 +107,10 @@ def thin_path(points: DataFrame, n: int, keys: Sequence[str], ord_col: str = "or
     size = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     d = points.join(size, keys)
     step = F.col("_n") / n
-    j = F.ceil(F.col(ord_col) / step)
-    taken = (F.floor(j * step) == F.col(ord_col)) & (j < n)
+    near = F.floor(F.col(ord_col) / step)  # the quotient is rounded, so its neighbours are tried as well
+    taken = F.lit(False)
+    for j in (near - 1, near, near + 1, near + 2):
+        taken = taken | ((F.floor(j * step) == F.col(ord_col)) & j.between(0, n - 1))
     last = F.col(ord_col) == F.col("_n") - 1
     copies = F.when(F.col("_n") <= n, 1).otherwise(F.when(taken, 1).otherwise(0) + F.when(last, 1).otherwise(0))
     return d.withColumn("_c", F.explode(F.array_repeat(F.lit(1), copies))).drop("_n", "_c")
