@@ -29,7 +29,7 @@ def window_points(window: float, dt) -> Column:
 
 def remove_mean(samples: DataFrame, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
     mean = samples.groupBy(*keys).agg(F.avg(value).alias("_m"))
-    return samples.join(mean, list(keys)).withColumn(value, F.col(value) - F.col("_m")).drop("_m")
+    return blocks.join_small(samples, mean, list(keys)).withColumn(value, F.col(value) - F.col("_m")).drop("_m")
 
 
 def remove_running_mean(samples: DataFrame, points, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
@@ -93,7 +93,7 @@ def band_filter(samples: DataFrame, clock: DataFrame, f_low: float, f_high: floa
     """
     nyq = 0.5 / F.col("dt")
     active = F.lit(f_low > 0) | (nyq > f_high)
-    d = samples.join(clock.select("shot", "n", "dt"), "shot")
+    d = blocks.join_small(samples, clock.select("shot", "n", "dt"), "shot")
     d = d.withColumn("_step", F.when(active, filter_step("n", "dt", f_high)).otherwise(1))
     d = align.decimate(d, "_step").withColumn("dt", F.col("dt") * F.col("_step"))
     highpass = F.lit(f_high) >= nyq_before("dt", "_step")
@@ -141,7 +141,7 @@ def detrend(samples: DataFrame, kind: str, bands: Sequence[tuple], keys: Sequenc
             F.when(two, F.col("_v0") - slope * F.col("_t0")).otherwise(0.0).alias("_b"))
     else:
         raise ValueError("detrend kind must be none, baseline, linear or endpoints")
-    return samples.join(trend, list(keys)).withColumn("value", v - (F.col("_a") * F.col(t) + F.col("_b"))).drop("_a", "_b")
+    return blocks.join_small(samples, trend, list(keys)).withColumn("value", v - (F.col("_a") * F.col(t) + F.col("_b"))).drop("_a", "_b")
 
 
 # ---- noise removal by singular values --------------------------------------------------------
@@ -241,7 +241,7 @@ def project(samples: DataFrame, basis: DataFrame, keys: Sequence[str] = ("shot",
     keys = list(keys)
     d = samples.select(*keys, F.col("channel").cast("string").alias("channel"), "i", "t_s", F.col("value").cast("double").alias("value"))
     packed = d.groupBy(*keys, F.floor(F.col("i") / TIME_BLOCK).alias("_tb")).agg(F.collect_list(F.struct("channel", "i", "t_s", "value")).alias("r"))
-    done = packed.join(basis.select(*keys, "channels", "projector"), keys).select(
+    done = blocks.join_small(packed, basis.select(*keys, "channels", "projector"), keys).select(
         *keys, "r", _project("r.channel", "r.i", "r.value", "channels", "projector").alias("y"))
     return done.select(*keys, F.inline(F.arrays_zip(F.col("r.channel").alias("channel"), F.col("r.i").alias("i"), F.col("r.t_s").alias("t_s"), F.col("y").alias("value"))))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ringwave.functions import spectral as S
 from ringwave.functions.scalar import wrap180, wrap360
+from ringwave.operators import blocks
 from ringwave.operators import spectra as spectral
 from ringwave.operators.spectra import TINY, _col
 
@@ -28,7 +29,7 @@ def mode_map(spectra: DataFrame, angles: DataFrame, n_max: int = 5, keys: Sequen
     on = [c for c in angles.columns if c != "phi"]
     ns = list(range(-n_max, n_max + 1))
     phi = F.radians("phi")
-    d = spectra.join(angles, on)
+    d = blocks.join_small(spectra, angles, on)
     sums = []
     for n in ns:
         c, s = F.cos(n * phi), F.sin(n * phi)
@@ -49,11 +50,9 @@ def mode_map(spectra: DataFrame, angles: DataFrame, n_max: int = 5, keys: Sequen
 
 def gate_mode_map(modes: DataFrame, *, n_gate: float = 0.3, n_amp_pct: float = 80.0, keys: Sequence[str] = ("shot",)) -> DataFrame:
     """|n| where the fit is clean and among the strongest cells of its recording, NULL elsewhere."""
-    from ringwave.operators import blocks
-
     floor = blocks.exact_percentile(modes, list(keys), "amplitude", min(100.0, max(0.0, n_amp_pct)) / 100.0, "_floor")
     show = (F.col("quality") >= n_gate) & (F.col("amplitude") >= F.col("_floor"))
-    return modes.join(floor, list(keys)).withColumn("z", F.when(show, F.abs("n").cast("double"))).drop("_floor")
+    return blocks.join_small(modes, floor, list(keys)).withColumn("z", F.when(show, F.abs("n").cast("double"))).drop("_floor")
 
 
 # ---- per-probe phase at a cursor ---------------------------------------------------------
@@ -67,7 +66,7 @@ def cursor_frames(cursors: DataFrame, frames: DataFrame, window_s: float = 0.004
     grid = frames.groupBy(*keys).agg(
         F.min("t_s").alias("_t_first"), F.max("t_s").alias("_t_last"), F.max("frame").alias("_top"),
     ).withColumn("_step", F.when(F.col("_top") > 0, (F.col("_t_last") - F.col("_t_first")) / F.col("_top")).otherwise(1.0))
-    c = cursors.join(grid, keys)
+    c = blocks.join_small(cursors, grid, keys)
     lo = F.floor((F.col("t0") - window_s / 2 - F.col("_t_first")) / F.col("_step")) - 1
     hi = F.ceil((F.col("t0") + window_s / 2 - F.col("_t_first")) / F.col("_step")) + 1
     mid = F.rint((F.col("t0") - F.col("_t_first")) / F.col("_step"))
@@ -96,10 +95,8 @@ def mode_at(spectra: DataFrame, angles: DataFrame, slices: DataFrame, ref: DataF
     """
     keys = list(keys)
     on = [c for c in angles.columns if c != "phi"]
-    cells = (
-        spectra.join(slices.select(*keys, "slice", "frame", "k"), [*keys, "frame", "k"])
-        .join(angles, on).join(ref.select(*keys, "ref"), keys)
-    )
+    cells = spectra.join(slices.select(*keys, "slice", "frame", "k"), [*keys, "frame", "k"])
+    cells = blocks.join_small(blocks.join_small(cells, angles, on), ref.select(*keys, "ref"), keys)
     frame = Window.partitionBy(*keys, "slice", "frame")  # the probes of one frame
     is_ref = F.col("channel") == F.col("ref")
     cells = cells.withColumns({"rr": F.max(F.when(is_ref, F.col("re"))).over(frame), "ri": F.max(F.when(is_ref, F.col("im"))).over(frame)})
@@ -137,9 +134,9 @@ def cursor_samples(samples: DataFrame, cursors: DataFrame, ref: DataFrame, rate:
     """
     keys = list(keys)
     width = bucket / rate
-    clock = samples.join(ref.withColumnRenamed("ref", "channel"), [*keys, "channel"], "left_semi").select(*keys, "i", "t_s")
+    clock = blocks.join_small(samples, ref.withColumnRenamed("ref", "channel"), [*keys, "channel"], "left_semi").select(*keys, "i", "t_s")
     span = clock.groupBy(*keys).agg(F.min("t_s").alias("_a"), F.max("t_s").alias("_b"))
-    c = cursors.join(span, keys).withColumns({"_lo": F.greatest("_a", F.coalesce("t_lo", "_a")), "_hi": F.least("_b", F.coalesce("t_hi", "_b"))})
+    c = blocks.join_small(cursors, span, keys).withColumns({"_lo": F.greatest("_a", F.coalesce("t_lo", "_a")), "_hi": F.least("_b", F.coalesce("t_hi", "_b"))})
     c = c.where(F.col("_lo") <= F.col("_hi")).select(*keys, "cursor", "f_hz", "nperseg", "_lo", "_hi")
     bins = F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))
     inside = clock.withColumn("_bin", F.floor(F.col("t_s") / width)).join(c.withColumn("_bin", F.explode(bins)), [*keys, "_bin"])
@@ -165,7 +162,7 @@ def mode_from_signals(samples: DataFrame, angles: DataFrame, cursors: DataFrame,
     keys = list(keys)
     cursor = [*keys, "cursor"]
     d = cursor_samples(samples, cursors, ref, rate, keys)
-    own = d.join(ref.withColumnRenamed("ref", "channel"), [*keys, "channel"], "left_semi").where("f_hz is null")
+    own = blocks.join_small(d, ref.withColumnRenamed("ref", "channel"), [*keys, "channel"], "left_semi").where("f_hz is null")
     bins = spectral.stft(own, F.col("n_fft"), F.col("hop"), keys=(*cursor, "n_fft"))
     size = F.when((F.col("k") == 0) | ((F.col("n_fft") % 2 == 0) & (2 * F.col("k") == F.col("n_fft"))), 1.0).otherwise(2.0)
     power = bins.groupBy(*cursor, "n_fft", "k").agg((F.avg(F.col("re") ** 2 + F.col("im") ** 2)).alias("p")).withColumn("p", F.col("p") * size)
@@ -175,12 +172,12 @@ def mode_from_signals(samples: DataFrame, angles: DataFrame, cursors: DataFrame,
     k = F.greatest(F.lit(0), F.least(F.floor(F.col("n_fft") / 2), F.ceil(F.col("f_hz") * F.col("n_fft") / rate - 0.5)))
     one = spectral.stft(d.withColumn("bin", k.cast("long")), F.col("n_fft"), F.col("hop"), F.col("bin"), F.col("bin"),
                         keys=(*cursor, "channel", "n_fft", "f_hz", "bin"))
-    pairs = one.select(*cursor, "channel").distinct().join(ref, keys).select(*cursor, F.col("ref").alias("ch1"), F.col("channel").alias("ch2"))
+    pairs = blocks.join_small(one.select(*cursor, "channel").distinct(), ref, keys).select(*cursor, F.col("ref").alias("ch1"), F.col("channel").alias("ch2"))
     about = one.select(*cursor, "n_fft", F.col("f_hz").alias("asked_hz")).distinct()
     products = spectral.pair_products(one.select(*cursor, "channel", "frame", "k", "re", "im"), pairs, pair_keys=cursor).join(about, cursor)
     m = spectral.cross_spectrum(products, F.col("n_fft"), rate, (*cursor, "ch1", "ch2", "n_fft", "asked_hz"), 0.375 * F.col("n_fft"))
     is_ref, nan = F.col("ch1") == F.col("ch2"), F.lit(float("nan"))
-    return m.join(angles.withColumnRenamed("channel", "ch2"), [c if c != "channel" else "ch2" for c in angles.columns if c != "phi"]).select(
+    return blocks.join_small(m, angles.withColumnRenamed("channel", "ch2"), [c if c != "channel" else "ch2" for c in angles.columns if c != "phi"]).select(
         *cursor, F.col("ch2").alias("channel"), "phi", F.col("asked_hz").alias("f_hz"), "k", F.col("power").alias("amplitude"),
         F.when(F.col("phase") < 0, F.col("phase") + 360).otherwise(F.col("phase")).alias("phase"), "coherence", "n_segments",
         F.when(is_ref, nan).otherwise(F.col("phase_error")).alias("phase_error"),
@@ -287,7 +284,7 @@ def active_window(spectra: DataFrame, frames: DataFrame, *, power_floor_frac: fl
     p = frame_power(spectra, keys).join(frames.select(*keys, "frame", "t_s"), [*keys, "frame"])
     peak = p.groupBy(*keys).agg(F.max("power").alias("_peak"), F.min("t_s").alias("_t0"), F.max("t_s").alias("_t1"))
     on = (F.col("_peak") <= 0) | (F.col("power") >= power_floor_frac * F.col("_peak"))
-    span = p.join(peak, keys).where(on).groupBy(*keys, "_t0", "_t1", "_peak").agg(F.min("t_s").alias("a"), F.max("t_s").alias("b"))
+    span = blocks.join_small(p, peak, keys).where(on).groupBy(*keys, "_t0", "_t1", "_peak").agg(F.min("t_s").alias("a"), F.max("t_s").alias("b"))
     pad = F.when(F.col("_peak") > 0, pad_frac * (F.col("b") - F.col("a"))).otherwise(0.0)
     return span.select(*keys, F.greatest(F.col("_t0"), F.col("a") - pad).alias("t_lo"), F.least(F.col("_t1"), F.col("b") + pad).alias("t_hi"))
 
@@ -308,7 +305,7 @@ def frames_in_window(frames: DataFrame, window: DataFrame | None, keys: Sequence
     if window is None:
         return frames.groupBy(*keys).agg(F.lit(0).cast("long").alias("lo"), F.max("frame").alias("hi"))
     inside = F.col("t_s").between(F.col("t_lo"), F.col("t_hi"))
-    d = frames.join(window, keys).groupBy(*keys).agg(
+    d = blocks.join_small(frames, window, keys).groupBy(*keys).agg(
         F.count_if(inside).alias("_n"), F.min(F.when(inside, F.col("frame"))).alias("_lo"),
         F.max(F.when(inside, F.col("frame"))).alias("_hi"), F.max("frame").alias("_top"),
     )

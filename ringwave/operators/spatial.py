@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringwave.functions.scalar import TESLA_TO_GAUSS, delta_degrees, k_quality, mode_label
+from ringwave.operators import blocks
 from ringwave.operators.spectra import _col
 
 SINGULAR_RATIO = 1e15  # columns this much shallower than the deepest depend on the others; such a mode has one component
@@ -219,7 +220,7 @@ def fit_meta(inverse: DataFrame, keys: Sequence[str] = ("shot",)) -> DataFrame:
 def fit_coefficients(samples: DataFrame, inverse: DataFrame, n_modes: int, *, keys: Sequence[str] = ("shot",), along: Sequence[str] = ("i", "t_s")) -> DataFrame:
     """``coef`` (two slots per mode) and ``power``, the sum of squared values in units of sigma, at every time: one aggregation by (recording, time)."""
     keys = list(keys)
-    d = samples.join(inverse.select(*keys, "channel", "weights", "sigma"), [*keys, "channel"])
+    d = blocks.join_small(samples, inverse.select(*keys, "channel", "weights", "sigma"), [*keys, "channel"])
     sums = [F.sum(F.col("weights")[j] * F.col("value")).alias(f"_x{j}") for j in range(2 * n_modes)]
     power = F.sum((F.col("value") / F.col("sigma")) ** 2).alias("power")
     return d.groupBy(*keys, *along).agg(*sums, power).select(
@@ -229,7 +230,7 @@ def fit_coefficients(samples: DataFrame, inverse: DataFrame, n_modes: int, *, ke
 def mode_rows(coef: DataFrame, meta: DataFrame, n_modes: int, *, keys: Sequence[str] = ("shot",), along: Sequence[str] = ("i", "t_s")) -> DataFrame:
     """Long form: one row per (time, mode) with re, im and their sigmas."""
     j = F.array(*[F.lit(k) for k in range(n_modes)])
-    d = coef.join(meta.select(*keys, "mode_n", "mode_m", "sigmas"), list(keys)).withColumn("mode", F.explode(j))
+    d = blocks.join_small(coef, meta.select(*keys, "mode_n", "mode_m", "sigmas"), list(keys)).withColumn("mode", F.explode(j))
     k = 2 * F.col("mode")
     return d.select(
         *keys, *along, "mode", F.get("mode_n", F.col("mode")).alias("n"), F.get("mode_m", F.col("mode")).alias("m"),
@@ -240,7 +241,7 @@ def mode_rows(coef: DataFrame, meta: DataFrame, n_modes: int, *, keys: Sequence[
 def fitted_signal(samples: DataFrame, coef: DataFrame, inverse: DataFrame, n_modes: int, *, keys: Sequence[str] = ("shot",), along: Sequence[str] = ("i", "t_s")) -> DataFrame:
     """Measured, fitted and residual signal per channel and time."""
     keys = list(keys)
-    d = samples.join(inverse.select(*keys, "channel", "sigma", "design"), [*keys, "channel"]).join(coef, [*keys, *along])
+    d = blocks.join_small(samples, inverse.select(*keys, "channel", "sigma", "design"), [*keys, "channel"]).join(coef, [*keys, *along])
     fit = F.lit(0.0)
     for j in range(2 * n_modes):
         fit = fit + F.col("design")[j] * F.col("coef")[j]
@@ -263,7 +264,7 @@ def chi_square(coef: DataFrame, inverse: DataFrame, n_modes: int, *, keys: Seque
     for k, (i, j) in enumerate(pairs):
         fitted = fitted + (1.0 if i == j else 2.0) * F.col("_g")[k] * F.col("coef")[i] * F.col("coef")[j]
     nu = F.greatest(F.col("n_sensors") - F.col("rank"), F.lit(1))
-    return coef.join(meta, list(keys)).withColumn("chi_sq", F.greatest(F.lit(0.0), F.col("power") - fitted)).select(
+    return blocks.join_small(coef, meta, list(keys)).withColumn("chi_sq", F.greatest(F.lit(0.0), F.col("power") - fitted)).select(
         *keys, *along, "chi_sq", (F.col("chi_sq") / nu).alias("red_chi_sq"))
 
 

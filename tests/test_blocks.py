@@ -1,10 +1,11 @@
 """Steps on long records: linear fills and exact thinning."""
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from ringwave.operators import align, blocks, summaries
+from ringwave.operators import align, blocks, condition, modes, spectra, summaries
 
 
 @pytest.mark.parametrize("n", [28, 92, 43704])
@@ -30,3 +31,31 @@ def test_interpolation_inside_one_large_block(spark):
     grid = spark.range(99999).select(F.lit(1).alias("shot"), (F.col("id") * 2.0 + 0.5).alias("t_s"))
     got = align.interpolate(s, grid, ["shot"], 1e9).select(F.max(F.abs(F.col("value") - 3.0 * F.col("t_s"))).alias("e"), F.count(F.lit(1)).alias("n")).first()
     assert got.n == 99999 and got.e < 1e-6
+
+
+def test_one_long_recording_stays_spread_over_tasks(spark):
+    """Joined by recording with its small tables, all its samples would go to one task and stay there."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        i = F.col("id")
+        d = spark.range(0, 8000, numPartitions=8).select(
+            F.lit(1).alias("shot"), F.concat(F.lit("p"), i % 2).alias("channel"), F.floor(i / 2).alias("i"),
+            (F.floor(i / 2) * 1e-5).alias("t_s"), (i * 1.0).alias("value"))
+        clock = spark.createDataFrame([(1, 4000, 1e-5)], "shot int, n long, dt double")
+        angles = spark.createDataFrame([(1, "p0", 0.0), (1, "p1", 90.0)], "shot int, channel string, phi double")
+        spec = d.select("shot", "channel", F.col("i").alias("frame"), F.lit(1).alias("k"), F.col("value").alias("re"), F.lit(0.0).alias("im"))
+        arrays = spec.select("shot", "channel", "frame", F.lit(0).alias("k_lo"), F.array("re").alias("re"), F.array("im").alias("im"))
+        pair = spark.createDataFrame([(1, "p0", "p1", 90.0)], "shot int, ch1 string, ch2 string, delta_phi double")
+        steps = {
+            "stack": align.stack(d), "reindex": align.reindex(d), "detrend": condition.detrend(d, "baseline", [(0.0, 1.0)]),
+            "band_filter": condition.band_filter(d, clock, 0.0, 1e9), "gram": condition.gram(align.stack(d)),
+            "mode_map": modes.mode_map(spec, angles, 1), "pairs": spectra.pair_products_of_frames(arrays, pair)}
+        for name, got in steps.items():
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            joins = re.findall(r"SortMergeJoin \[([^\]]*)\]", plan)
+            assert all({"frame"} & set(re.findall(r"(\w+)#", x)) for x in joins), (name, joins)
+        assert align.stack(d).select(F.spark_partition_id()).distinct().count() == 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", True)

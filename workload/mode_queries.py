@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ringwave.operators import modes, shape, spectra
+from ringwave.operators import blocks, modes, shape, spectra
 from ringwave.session import cut_lineage
 from workload.inputs import DT, HOP, LI, LINE_SPECTRA, N_FFT, R32, line_angles, ring32, stacked_lines
 from workload.registry import out, query, r
@@ -78,7 +78,7 @@ def cursor_mode(spark, sf, window):
     d = cut_lineage(stacked_lines(spark, sf))
     s = cut_lineage(spectra.stft(d, N_FFT, HOP))
     frames = spectra.frame_times(d.where(F.col("channel") == "p1"), N_FFT, HOP, DT)
-    frames = frames.join(s.groupBy("shot").agg(F.max("frame").alias("_top")), "shot").where(F.col("frame") <= F.col("_top")).drop("_top")
+    frames = blocks.join_small(frames, s.groupBy("shot").agg(F.max("frame").alias("_top")), "shot").where(F.col("frame") <= F.col("_top")).drop("_top")
     sl = modes.even_slices(modes.frames_in_window(frames, None), 10).join(frames, ["shot", "frame"])
     cursors = sl.select("shot", F.col("frame").alias("slice"), F.col("t_s").alias("t0"))
     phased = s.where(F.col("k").between(1, N_FFT // 2 - 1))  # a mode needs a phase, which real bins lack
