@@ -59,3 +59,10 @@ def test_one_long_recording_stays_spread_over_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", True)
+
+
+def test_colour_range_makes_its_map_once(spark):
+    import workload
+
+    got = workload.QUERIES["colour_range"](spark, "/root/testdata/sf0.001")
+    assert "posexplode(" not in got._jdf.queryExecution().executedPlan().toString()

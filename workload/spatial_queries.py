@@ -127,7 +127,7 @@ def phi_peak_rms(spark, sf):
 
 @query("colour_range", f"with {PHIT} select shot, {r('quantile_cont(abs(z), 0.99)')} as p99, {r('max(abs(z))')} as top from z group by shot")
 def colour_range(spark, sf):
-    z = phi_time(spark, sf)
+    z = cut_lineage(phi_time(spark, sf).select("shot", "z"))  # read four times
     return out(summaries.colour_range(z, ["shot"], p=0.99).withColumnRenamed("zmax", "p99").join(summaries.colour_range(z, ["shot"]).withColumnRenamed("zmax", "top"), "shot"))
 
 
