@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ringwave.functions import tables
+from ringwave.functions import scalar, tables
 from ringwave.operators import blocks, catalog, condition, modes, resample, shape, spatial, spectra
 from ringwave.sources.signal_catalog import decimate_allowed
 
@@ -226,3 +226,43 @@ def test_chi_square_without_samples(spark, ns, phis):
     for r in seen:
         assert told[r.i].chi_sq == pytest.approx(r.c, abs=1e-9)
         assert told[r.i].red_chi_sq == pytest.approx(r.c / max(1, len(phi) - rank), abs=1e-9)
+
+
+def test_stacked_shape_fits_equal_single_ones(spark):
+    rng, rows = np.random.default_rng(5), []
+    for g in range(150):  # more than a stack, of different sizes
+        n = 5 + g % 4
+        rows += [(g, float(a), *rng.normal(size=2).tolist(), 0.1 + 0.01 * g) for a in rng.uniform(0, 360, n)]
+    rows += [(150, 10.0 * j, 1.0, 0.5, 0.0) for j in range(8)]  # without noise: long scales are not positive definite
+    d = spark.createDataFrame(rows, "g long, phi double, re double, im double, noise double")
+    got = dict(list(shape.gp_mode_shape(d, ["g"]).toPandas().sort_values(["g", "grid_deg"]).groupby("g")))
+    pdf, grid = d.toPandas().sort_values(["g", "phi"]), np.linspace(0.0, 2 * np.pi, 181, endpoint=False)
+    assert len(got) == 151
+    for g, one in pdf.groupby("g"):
+        phi, scale = np.deg2rad(one.phi.to_numpy()), np.sqrt(np.mean(one.re**2 + one.im**2))
+        cols, var = [one.re.to_numpy() / scale, one.im.to_numpy() / scale], (one.noise.to_numpy() / scale) ** 2
+        length = shape.choose_length(phi, cols, var)
+        assert np.allclose(got[g].length_scale, length, rtol=1e-9)
+        for name, c in zip(("re", "im"), cols):
+            mean, sig = shape.posterior(phi, c, grid, length, var)
+            assert np.allclose(got[g][f"{name}_mean"], mean * scale, atol=1e-6) and np.allclose(got[g][f"{name}_sigma"], sig * scale, atol=1e-6)
+
+
+def test_pattern_fits_each_shape_once_and_equals_the_product_of_shapes(spark):
+    rng = np.random.default_rng(7)
+    tor, pol = (spark.createDataFrame([(g, 45.0 * j, *rng.normal(size=2).tolist(), 0.1) for g in keys for j in range(8)],
+                                      "g long, phi double, re double, im double, noise double") for keys in ((1, 2), (2, 3)))
+    got = shape.gp_pattern(tor, pol, ["g"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and plan.count("Exchange") == 1
+    want = shape.pattern(shape.gp_mode_shape(tor, ["g"]), shape.gp_mode_shape(pol, ["g"]), ["g"])
+    a, b = (d.toPandas().sort_values(["g", "phi", "theta"]).reset_index(drop=True) for d in (got, want))
+    assert len(a) == 181 * 181 and np.allclose(a, b, atol=1e-9)
+
+
+def test_round_to_equals_round(spark):
+    rng = np.random.default_rng(6)
+    xs = [0.0, -0.0, 2.5e-6, -0.5e-6, 1.0000005, -3.0000015, 1e300, -1e15, 1234567.1234565, float("nan"), float("inf"), None]
+    xs += (rng.integers(-10**9, 10**9, 500) / 2e6).tolist() + (rng.normal(size=2000) * 10.0 ** rng.integers(-8, 9, 2000)).tolist()
+    d = spark.createDataFrame([(x,) for x in xs], "x double").select(scalar.round_to("x", 6).alias("a"), F.round("x", 6).alias("b"))
+    assert d.where("not (a <=> b)").count() == 0

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ringwave.functions import scalar as X
 from ringwave.operators import blocks, modes, shape, spectra
 from ringwave.session import cut_lineage
 from workload.inputs import DT, HOP, LI, LINE_SPECTRA, N_FFT, R32, line_angles, ring32, stacked_lines
@@ -279,9 +280,8 @@ def mode_pattern(spark, sf):
     d = ring32(spark, sf).withColumn("noise", F.lit(0.05))
     half = F.floor(F.col("p") / 16)
     d = d.withColumns({"half": half, "phi": (F.col("p") % 16) * 22.5, "p": F.col("p") % 16})
-    tor = shape.gp_mode_shape(d.where("half = 0").drop("half"), ["vec_id"])
-    pol = shape.gp_mode_shape(d.where("half = 1").drop("half"), ["vec_id"])
-    return out(shape.pattern(tor, pol, ["vec_id"]))
+    m = shape.gp_pattern(d.where("half = 0").drop("half"), d.where("half = 1").drop("half"), ["vec_id"])
+    return m.select("vec_id", *[(X.round_to(c, 6) + F.lit(0.0)).alias(c) for c in ("phi", "theta", "z")])
 
 
 @query("shape_noise", f"""with {R32}, a as (select vec_id, p, sqrt(re * re + im * im) as amp from r32),
