@@ -266,3 +266,20 @@ def test_round_to_equals_round(spark):
     xs += (rng.integers(-10**9, 10**9, 500) / 2e6).tolist() + (rng.normal(size=2000) * 10.0 ** rng.integers(-8, 9, 2000)).tolist()
     d = spark.createDataFrame([(x,) for x in xs], "x double").select(scalar.round_to("x", 6).alias("a"), F.round("x", 6).alias("b"))
     assert d.where("not (a <=> b)").count() == 0
+
+
+def test_python_runs_once_a_block_and_hands_back_pieces(spark):
+    n = 3 * blocks.BLOCK + 100
+    x = RNG.standard_normal(n)
+    d = spark.createDataFrame(pd.DataFrame({"shot": 1, "channel": "a", "i": np.arange(n), "value": x})).coalesce(1)
+    spec = spectra.stft_frames(d, 64, 32)
+    box = blocks.filtered(d, ["shot", "channel"], "i", {"y": "value"}, lambda q: np.full(3, 1 / 3), "reflect", before=1, after=1)
+    for made in (spec, box):
+        made.collect()
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    got = spec.toPandas().sort_values("frame")
+    frames = np.lib.stride_tricks.sliding_window_view(x, 64)[::32]
+    want = np.fft.rfft((frames - frames.mean(axis=1, keepdims=True)) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(64) / 64)), axis=1)
+    assert got.frame.tolist() == list(range(len(frames)))
+    assert np.allclose(np.stack(got.re) + 1j * np.stack(got.im), want, atol=1e-9)
+    assert np.allclose(box.toPandas().sort_values("i").y, np.convolve(np.pad(x, 1, mode="symmetric"), np.full(3, 1 / 3), "valid"))
