@@ -23,13 +23,13 @@ def best_of(values: Sequence[tuple[int, Column]]) -> Column:
 def mode_map(spectra: DataFrame, angles: DataFrame, n_max: int = 5, keys: Sequence[str] = ("shot", "frame", "k")) -> DataFrame:
     """Best n, amplitude and energy fraction per cell from all probes.
 
-    One aggregation with a pair of sums per candidate n: nothing is multiplied by the number of
-    candidates before the shuffle and partial sums are combined on the map side.
+    One aggregation with a pair of sums per candidate n. The probes of a cell come from different tasks, so
+    partial sums would not combine before the shuffle and be many times a cell's own size: the cells are dealt out first.
     """
     on = [c for c in angles.columns if c != "phi"]
     ns = list(range(-n_max, n_max + 1))
     phi = F.radians("phi")
-    d = blocks.join_small(spectra, angles, on)
+    d = blocks.join_small(spectra, angles, on).select(*keys, "phi", "re", "im").repartition(*keys)
     sums = []
     for n in ns:
         c, s = F.cos(n * phi), F.sin(n * phi)

@@ -283,3 +283,13 @@ def test_python_runs_once_a_block_and_hands_back_pieces(spark):
     assert got.frame.tolist() == list(range(len(frames)))
     assert np.allclose(np.stack(got.re) + 1j * np.stack(got.im), want, atol=1e-9)
     assert np.allclose(box.toPandas().sort_values("i").y, np.convolve(np.pad(x, 1, mode="symmetric"), np.full(3, 1 / 3), "valid"))
+
+
+def test_mode_map_deals_out_cells_not_sums(spark):
+    rows = [(1, f"p{c}", f, k, float(np.cos(c + k)), float(np.sin(c + k))) for c in range(7) for f in range(3) for k in range(4)]
+    d = spark.createDataFrame(rows, "shot long, channel string, frame long, k int, re double, im double")
+    angles = spark.createDataFrame([(f"p{c}", c * 360 / 7) for c in range(7)], "channel string, phi double")
+    m = modes.mode_map(d, angles, 3)
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_sum") < plan.index("Exchange hashpartitioning")  # the plan is listed from its end
+    assert m.count() == 12
