@@ -61,6 +61,15 @@ def test_one_long_recording_stays_spread_over_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", True)
 
 
+def test_numbering_gives_a_task_no_more_of_more_rows(spark, monkeypatch):
+    """In 8 shuffle partitions a task would hold an eighth of the rows, however many there are."""
+    monkeypatch.setattr(blocks, "ROWS", 500)
+    d = spark.range(20000).select((F.col("id") % 2).alias("k"), F.floor(F.col("id") / 2).alias("t"))
+    got = blocks.row_index(d, ["k"], ["t"], F.floor(F.col("t") / 25), rows=20000)
+    assert got.where("i <> t").count() == 0 and got.count() == 20000
+    assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1500
+
+
 def test_colour_range_makes_its_map_once(spark):
     import workload
 
