@@ -11,6 +11,7 @@ from ringwave.functions.scalar import wrap180, wrap360
 from ringwave.operators import blocks
 from ringwave.operators import spectra as spectral
 from ringwave.operators.spectra import TINY, _col
+from ringwave.session import cut_lineage
 
 
 def best_of(values: Sequence[tuple[int, Column]]) -> Column:
@@ -170,8 +171,8 @@ def mode_from_signals(samples: DataFrame, angles: DataFrame, cursors: DataFrame,
     d = d.join(peak, cursor, "left").withColumn("f_hz", F.coalesce("f_hz", "peak_hz"))
     # the nearest bin, the lower one of two
     k = F.greatest(F.lit(0), F.least(F.floor(F.col("n_fft") / 2), F.ceil(F.col("f_hz") * F.col("n_fft") / rate - 0.5)))
-    one = spectral.stft(d.withColumn("bin", k.cast("long")), F.col("n_fft"), F.col("hop"), F.col("bin"), F.col("bin"),
-                        keys=(*cursor, "channel", "n_fft", "f_hz", "bin"))
+    one = cut_lineage(spectral.stft(d.withColumn("bin", k.cast("long")), F.col("n_fft"), F.col("hop"), F.col("bin"), F.col("bin"),
+                                    keys=(*cursor, "channel", "n_fft", "f_hz", "bin")))  # four readers
     pairs = blocks.join_small(one.select(*cursor, "channel").distinct(), ref, keys).select(*cursor, F.col("ref").alias("ch1"), F.col("channel").alias("ch2"))
     about = one.select(*cursor, "n_fft", F.col("f_hz").alias("asked_hz")).distinct()
     products = spectral.pair_products(one.select(*cursor, "channel", "frame", "k", "re", "im"), pairs, pair_keys=cursor).join(about, cursor)

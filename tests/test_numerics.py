@@ -293,3 +293,18 @@ def test_mode_map_deals_out_cells_not_sums(spark):
     plan = m._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_sum") < plan.index("Exchange hashpartitioning")  # the plan is listed from its end
     assert m.count() == 12
+
+
+def test_one_frequency_transforms_the_probes_once(spark):
+    n, t = 900, np.arange(900) * 1e-3
+    d = frame(spark, np.sin(2 * np.pi * 125 * t), channel="a").unionByName(frame(spark, 2 * np.sin(2 * np.pi * 125 * t - 1.0), channel="b"))
+    angles = spark.createDataFrame([("a", 0.0), ("b", 90.0)], "channel string, phi double")
+    cursors = spark.createDataFrame([(1, 0, None, 0.3995, 125.0, 64), (1, 1, 0.4, None, None, 64)], "shot long, cursor long, t_lo double, t_hi double, f_hz double, nperseg long")
+    made = modes.mode_from_signals(d, angles, cursors, spark.createDataFrame([(1, "a")], "shot long, ref string"), 1000.0)
+    rows = {(r.cursor, r.channel): r for r in made.collect()}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 0  # its four readers find the spectra written
+    assert len(rows) == 4 and all(r.f_hz == 125.0 and r.k == 8 for r in rows.values())
+    for cursor, size in ((0, 400), (1, 500)):
+        b = rows[cursor, "b"]
+        assert b.n_segments == (size - 64) // 32 + 1 and np.isclose(b.coherence, 1) and np.isclose(b.phase, np.degrees(1.0))
+        assert np.isclose(b.amplitude, 2 * rows[cursor, "a"].amplitude)
