@@ -1,4 +1,6 @@
 """Brute-force checks of the queries that have no SQL, and edge cases."""
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from ringwave.functions import scalar, tables
 from ringwave.operators import blocks, catalog, condition, modes, resample, shape, spatial, spectra
 from ringwave.sources.signal_catalog import decimate_allowed
+from workload import mode_queries
 
 RNG = np.random.default_rng(3)
 
@@ -260,6 +263,25 @@ def test_pattern_fits_each_shape_once_and_equals_the_product_of_shapes(spark):
     assert len(a) == 181 * 181 and np.allclose(a, b, atol=1e-9)
 
 
+def test_pattern_bounds_a_task_and_begins_with_small_maps(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    tor, pol = (spark.createDataFrame([(g, 45.0 * j, *(rng.normal(size=2) * 10.0 ** (g * 5 % 7)).tolist(), 0.1) for g in range(40) for j in range(8)],
+                                      "g long, phi double, re double, im double, noise double") for _ in range(2))
+    got = shape.gp_pattern(tor, pol, ["g"]).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    order = got.groupBy("part", "g").agg(F.min("at").alias("at"), F.count("z").alias("n")).toPandas().sort_values("at")
+    assert len(order) == 40 and (order.n == 181 * 181).all()
+    assert order.groupby("part").size().max() > 1
+    for _, one in order.groupby("part"):
+        assert (one.g * 5 % 7).is_monotonic_increasing
+
+    n = 2000
+    vectors = rng.normal(size=(n, 64)) / 8
+    pd.DataFrame({"vec_id": np.arange(n), "label": 0, "embedding": list(vectors.astype("float32"))}).to_parquet(tmp_path / "embeddings.parquet")
+    plan = mode_queries.mode_pattern(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and plan.count("Exchange") == 1
+    assert re.search(rf"hashpartitioning\(vec_id#\d+L?, {-(-n // shape.MAPS)}\), REPARTITION_BY_NUM", plan)  # the session's shuffles have 8
+
+
 def test_round_to_equals_round(spark):
     rng = np.random.default_rng(6)
     xs = [0.0, -0.0, 2.5e-6, -0.5e-6, 1.0000005, -3.0000015, 1e300, -1e15, 1234567.1234565, float("nan"), float("inf"), None]

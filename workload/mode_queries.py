@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ringwave.functions import scalar as X
 from ringwave.operators import blocks, modes, shape, spectra
 from ringwave.session import cut_lineage
-from workload.inputs import DT, HOP, LI, LINE_SPECTRA, N_FFT, R32, line_angles, ring32, stacked_lines
+from workload.inputs import DT, HOP, LI, LINE_SPECTRA, N_FFT, R32, line_angles, ring32, stacked_lines, table
 from workload.registry import out, query, r
 from workload.spectral_queries import _smooth_sql, line_spectra
 
@@ -280,7 +280,8 @@ def mode_pattern(spark, sf):
     d = ring32(spark, sf).withColumn("noise", F.lit(0.05))
     half = F.floor(F.col("p") / 16)
     d = d.withColumns({"half": half, "phi": (F.col("p") % 16) * 22.5, "p": F.col("p") % 16})
-    m = shape.gp_pattern(d.where("half = 0").drop("half"), d.where("half = 1").drop("half"), ["vec_id"])
+    halves = [d.where(F.col("half") == j).drop("half") for j in (0, 1)]
+    m = shape.gp_pattern(*halves, ["vec_id"], maps=table(spark, sf, "embeddings").count())
     return m.select("vec_id", *[(X.round_to(c, 6) + F.lit(0.0)).alias(c) for c in ("phi", "theta", "z")])
 
 
